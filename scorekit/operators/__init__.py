@@ -7,6 +7,8 @@ from .positions import (  # noqa: F401
     order_exprs,
     rank_all,
     rank_within,
+    ranks_within,
+    native_window_ok,
     row_positions,
 )
 from .stats import group_stats, topk_within  # noqa: F401

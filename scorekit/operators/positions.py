@@ -29,6 +29,33 @@ from ..session import materialize, small_side
 
 Order = Sequence[tuple[str, str]]  # [(column, "asc"|"desc"), ...]
 
+# Largest group (rows) a single task may sort for a native window.  Above it
+# the sort-based distributed path runs.  0 forces the distributed path.
+MAX_GROUP_ROWS_CONF = "scorekit.window.maxGroupRows"
+MAX_GROUP_ROWS_DEFAULT = 2_000_000
+
+
+def _max_group_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(MAX_GROUP_ROWS_DEFAULT)))
+
+
+def native_window_ok(df: DataFrame, group: Sequence[str]) -> bool:
+    """Size check: may one task hold the largest group?  (One aggregation job
+    with map-side combine; the answer decides between a native window and the
+    distributed path.)"""
+    limit = _max_group_rows(df)
+    if limit <= 0:
+        return False
+    if not group:
+        return df.limit(limit + 1).count() <= limit
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
+    return (largest or 0) <= limit
+
+
+def _spec(group: Sequence[str], order: Order | None = None):
+    spec = Window.partitionBy(*group) if group else Window.partitionBy()
+    return spec.orderBy(*order_exprs(order)) if order else spec
+
 
 def order_exprs(order: Order) -> list[Column]:
     """Spark/MySQL default null ordering: ASC nulls first, DESC nulls last."""
@@ -89,6 +116,9 @@ def row_positions(df: DataFrame, group: Sequence[str], order: Order,
 
     ``order`` should be a total order (end it with a unique key) for
     deterministic results."""
+    if native_window_ok(df, group):
+        return (df.withColumn(row_col, F.row_number().over(_spec(group, order)).cast("long"))
+                  .withColumn(n_col, F.count(F.lit(1)).over(_spec(group))))
     out = group_positions(df, group, order, None, label)
     return (out.withColumn(row_col, F.col("_before") + 1)
                .withColumnRenamed("_total", n_col).drop("_before"))
@@ -114,28 +144,44 @@ def ntile_within(df: DataFrame, group: Sequence[str], order: Order, k: int,
     return pos.withColumn(out_col, ntile_of("_row", "_n", k)).drop("_row", "_n")
 
 
-def rank_within(df: DataFrame, group: Sequence[str], order: Order, out_col: str,
-                method: str = "rank", label: str = "rank") -> DataFrame:
-    """RANK() / DENSE_RANK() OVER (PARTITION BY group ORDER BY order).
+def ranks_within(df: DataFrame, group: Sequence[str],
+                 specs: Sequence[tuple[Order, str, str]], label: str = "rank") -> DataFrame:
+    """Several RANK()/DENSE_RANK() OVER (PARTITION BY group ORDER BY ...) at once.
 
-    Ranks are computed on the histogram of distinct (group, key) values,
-    then joined back to the rows (broadcast after a size check)."""
+    ``specs`` is a list of ``(order, out_col, method)``.  Distributed path:
+    the rows are materialised once; each rank is computed on the histogram of
+    distinct (group, key) values (map-side combined) and joined back, with a
+    broadcast only after a size check.  Tied rows never need to meet."""
     group = list(group)
-    keys = [name for name, _ in order]
-    hist = df.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    weight = None if method == "dense_rank" else F.col("_cnt")
-    pos = group_positions(hist, group, order, weight, label)
-    cols = group + keys
-    renamed = {c: f"_rk{i}" for i, c in enumerate(cols)}
-    pos = pos.select(*[F.col(c).alias(a) for c, a in renamed.items()],
-                     (F.col("_before") + 1).alias(out_col))
-    pos, is_small = small_side(pos, label + "-hist")
-    cond = None
-    for c, a in renamed.items():
-        e = F.col(c).eqNullSafe(F.col(a))
-        cond = e if cond is None else cond & e
-    out = df.join(F.broadcast(pos) if is_small else pos, cond, "inner")
-    return out.drop(*renamed.values())
+    fns = {"rank": F.rank, "dense_rank": F.dense_rank}
+    if native_window_ok(df, group):
+        out = df
+        for order, out_col, method in specs:
+            out = out.withColumn(out_col, fns[method]().over(_spec(group, order)).cast("long"))
+        return out
+    out = materialize(df, label + "-rows")
+    for i, (order, out_col, method) in enumerate(specs):
+        keys = [name for name, _ in order]
+        hist = out.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_cnt"))
+        weight = None if method == "dense_rank" else F.col("_cnt")
+        pos = group_positions(hist, group, order, weight, f"{label}{i}")
+        cols = group + keys
+        renamed = {c: f"_rk{j}" for j, c in enumerate(cols)}
+        pos = pos.select(*[F.col(c).alias(a) for c, a in renamed.items()],
+                         (F.col("_before") + 1).alias(out_col))
+        pos, is_small = small_side(pos, f"{label}{i}-hist")
+        cond = None
+        for c, a in renamed.items():
+            e = F.col(c).eqNullSafe(F.col(a))
+            cond = e if cond is None else cond & e
+        out = out.join(F.broadcast(pos) if is_small else pos, cond, "inner").drop(*renamed.values())
+    return out
+
+
+def rank_within(df: DataFrame, group: Sequence[str], order: Order, out_col: str,
+                method: str = "rank", label: str = "rank") -> DataFrame:
+    """RANK() / DENSE_RANK() OVER (PARTITION BY group ORDER BY order)."""
+    return ranks_within(df, group, [(order, out_col, method)], label)
 
 
 def rank_all(df: DataFrame, order: Order, out_col: str, method: str = "dense_rank",

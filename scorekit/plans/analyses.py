@@ -43,6 +43,7 @@ from ..operators import (
     order_exprs,
     rank_all,
     rank_within,
+    ranks_within,
     row_positions,
     topk_within,
 )
@@ -397,9 +398,10 @@ def composite_rank(df: DataFrame, as_of_year: int | None = None, weights=(0.50,
         "id", "Name", group, "Rating", "Employees_Count", "company_age")
     sized = group_stats(base, [group], [F.count(F.lit(1)).alias("country_company_count")],
                         label="q13-sizes")
-    r = rank_within(sized, [group], [("Rating", "desc")], "rating_rank", label="q13-r1")
-    r = rank_within(r, [group], [("Employees_Count", "desc")], "employee_rank", label="q13-r2")
-    r = rank_within(r, [group], [("company_age", "desc")], "age_rank", label="q13-r3")
+    r = ranks_within(sized, [group], [([("Rating", "desc")], "rating_rank", "rank"),
+                                      ([("Employees_Count", "desc")], "employee_rank", "rank"),
+                                      ([("company_age", "desc")], "age_rank", "rank")],
+                     label="q13-ranks")
     n = F.col("country_company_count")
     ranks = ["rating_rank", "employee_rank", "age_rank"]
     score = weighted([(w, rank_score(rk, n)) for w, rk in zip(weights, ranks)])
@@ -438,10 +440,10 @@ def concentration(df: DataFrame, group: str = "Country", member: str = "Headquar
         round_half_away(F.sum("rs").cast("double") / n, 3).alias("avg_rating"),
         round_half_away(F.sum("es").cast("double") / n, 0).alias("avg_employees"))
     per_group = materialize(per_group, "q14-groups")
-    r = rank_all(per_group, [("hhi_concentration_index", "desc")], "concentration_rank",
-                 label="q14-r1")
-    r = rank_all(r, [("avg_rating", "desc")], "rating_rank", label="q14-r2")
-    r = rank_all(r, [("avg_employees", "desc")], "size_rank", label="q14-r3")
+    r = ranks_within(per_group, [], [
+        ([("hhi_concentration_index", "desc")], "concentration_rank", "dense_rank"),
+        ([("avg_rating", "desc")], "rating_rank", "dense_rank"),
+        ([("avg_employees", "desc")], "size_rank", "dense_rank")], label="q14-ranks")
     return (r.select(group, "company_count", "unique_headquarters", "hhi_concentration_index",
                      "largest_hq_share", "avg_rating", "avg_employees", "concentration_rank",
                      "rating_rank", "size_rank")

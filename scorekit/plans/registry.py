@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import companies
+from ..sources.bindings import stored
 from . import analyses as A
 from .oracle_sql import AS_OF_YEAR
 
@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _on_companies(fn, **kw) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(companies(spark, sf_dir), **kw)
+        return fn(stored(spark, sf_dir, "companies"), **kw)
     run.__name__ = fn.__name__
     return run
 
