@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..functions.text import country_of, employee_count, suffixed_count
 from ..sources.bindings import stored
 from . import analyses as A
+from . import cleaning as C
+from . import quality as Q
 from .oracle_sql import AS_OF_YEAR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +44,74 @@ ANALYSIS_QUERIES: dict[str, Query] = {
 }
 
 
+def _on_raw(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(stored(spark, sf_dir, "companies_raw"))
+    run.__name__ = fn.__name__
+    return run
+
+
+def _clean_employees(raw):
+    return raw.select("batch", "pos", F.col("Employees Count").alias("employees_text"),
+                      employee_count("Employees Count").alias("employees"))
+
+
+def _clean_rating_count(raw):
+    return raw.select("batch", "pos", F.col("Rating Count").alias("rating_count_text"),
+                      suffixed_count("Rating Count").alias("RatingCount"))
+
+
+def _extract_country(raw):
+    return raw.select("batch", "pos", "Headquarters", country_of("Headquarters").alias("Country"))
+
+
+def _impute_median(raw):
+    return C.impute_median(C.parse_fields(raw)).select(
+        "batch", "pos", F.col("Employees Count").alias("employees"))
+
+
+def _impute_constants(raw):
+    return C.impute_constants(C.parse_fields(raw)).select(
+        "batch", "pos", "Headquarters", "Country", "Company_year")
+
+
+def _merge_dedup(raw):
+    return C.clean_companies(raw, keep_order_columns=True).select(
+        "batch", "pos", "Name", "Headquarters")
+
+
+def _load_companies(raw):
+    return C.to_companies(C.clean_companies(raw, keep_order_columns=True))
+
+
+def _null_profile(raw):
+    return Q.null_profile(raw, ["Name", "Rating", "Rating Count", "Headquarters",
+                                "Company_year", "Employees Count"])
+
+
+def _point_corrections(raw):
+    return C.apply_point_corrections(raw).select("batch", "pos", "row_index", "Headquarters")
+
+
+CLEANING_QUERIES: dict[str, Query] = {
+    "clean_employees": _on_raw(_clean_employees),
+    "clean_rating_count": _on_raw(_clean_rating_count),
+    "extract_country": _on_raw(_extract_country),
+    "impute_median": _on_raw(_impute_median),
+    "impute_constants": _on_raw(_impute_constants),
+    "merge_dedup_batches": _on_raw(_merge_dedup),
+    "clean_companies": _on_raw(C.clean_companies),
+    "load_companies": _on_raw(_load_companies),
+    "null_profile": _on_raw(_null_profile),
+    "point_corrections": _on_raw(_point_corrections),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return dict(ANALYSIS_QUERIES)
+    return {**ANALYSIS_QUERIES, **CLEANING_QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
+    from .oracle_cleaning import CLEANING
     from .oracle_sql import ANALYSES
-    return dict(ANALYSES)
+    return {**ANALYSES, **CLEANING}
