@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import country_of, employee_count, suffixed_count
-from ..sources.bindings import stored
+from ..sources import card_pages as P
+from ..sources.bindings import scraped_fields, stored
+from ..sources.tables import read_table
+from . import extraction as X
 from . import analyses as A
 from . import cleaning as C
 from . import quality as Q
@@ -107,11 +110,49 @@ CLEANING_QUERIES: dict[str, Query] = {
 }
 
 
+def _pages(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(read_table(spark, sf_dir, "pages"))
+    run.__name__ = fn.__name__
+    return run
+
+
+def _cards_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.extract_cards(P.listing_pages(spark, sf_dir))
+
+
+def _detail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = X.extract_cards(P.listing_pages(spark, sf_dir))
+    return X.enrich_cards(cards, X.extract_details(P.detail_pages(spark, sf_dir)))
+
+
+def _url_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = (F.floor(F.col("pos") / P.PAGE_SIZE) + 1).cast("long")
+    return (scraped_fields(spark, sf_dir).select(page.alias("page")).distinct()
+            .select("page", F.concat(F.lit(P.LISTING_URL), F.col("page").cast("string"))
+                    .alias("url")))
+
+
+EXTRACTION_QUERIES: dict[str, Query] = {
+    "cards_extract": _cards_extract,
+    "detail_enrich": _detail_enrich,
+    "url_frontier": _url_frontier,
+    "page_ads": _pages(X.extract_class_text),
+    "page_headings": _pages(X.page_headings),
+    "page_links": _pages(X.page_links),
+    "distinct_links": _pages(X.distinct_links),
+    "link_counts": _pages(X.link_counts),
+    "page_charset": _pages(X.page_charset),
+    "page_preview": _pages(X.page_preview),
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**ANALYSIS_QUERIES, **CLEANING_QUERIES}
+    return {**ANALYSIS_QUERIES, **CLEANING_QUERIES, **EXTRACTION_QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
     from .oracle_cleaning import CLEANING
     from .oracle_sql import ANALYSES
-    return {**ANALYSES, **CLEANING}
+    from .oracle_extraction import EXTRACTION
+    return {**ANALYSES, **CLEANING, **EXTRACTION}

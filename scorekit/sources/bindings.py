@@ -105,8 +105,8 @@ def entities_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).toDF(*COMPANY_COLUMNS)
 
 
-def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scraped-text layout in two overlapping batches (rows with k % 3 = 2 are in both)."""
+def scraped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scraped-text row per customer (``pos`` = customer key)."""
     cust = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     act = customer_activity(spark, sf_dir)
@@ -141,6 +141,12 @@ def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k % 6 == 4, F.concat(F.lit("1,"), (n + 100).cast("string")))
          .otherwise(F.lit("unknown")).alias("Employees Count"),
     )
+    return fields
+
+
+def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped-text layout in two overlapping batches (rows with k % 3 = 2 are in both)."""
+    fields = scraped_fields(spark, sf_dir)
     b1 = fields.filter(F.col("pos") % 3 != 0).withColumn("batch", F.lit(1))
     b2 = fields.filter(F.col("pos") % 3 != 1).withColumn("batch", F.lit(2))
     cols = ["batch", "pos", "Name", "Rating", "Rating Count", "Headquarters",
