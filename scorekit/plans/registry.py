@@ -47,6 +47,24 @@ ANALYSIS_QUERIES: dict[str, Query] = {
 }
 
 
+def _on_orders(fn, **kw) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(stored(spark, sf_dir, "entities_orders"), **kw)
+    run.__name__ = fn.__name__ + "_orders"
+    return run
+
+
+ORDERS_QUERIES: dict[str, Query] = {
+    "credibility_rank_orders": _on_orders(A.credibility_rank),
+    "hidden_popular_leaders_orders": _on_orders(A.leader_classes),
+    "size_overperformers_orders": _on_orders(A.overperformers),
+    "review_volume_bias_orders": _on_orders(A.review_bias),
+    "mature_underperformers_orders": _on_orders(A.mature_underperformers, as_of_year=AS_OF_YEAR),
+    "composite_rank_orders": _on_orders(A.composite_rank, as_of_year=AS_OF_YEAR),
+    "hq_concentration_orders": _on_orders(A.concentration),
+}
+
+
 def _on_raw(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(stored(spark, sf_dir, "companies_raw"))
@@ -148,7 +166,7 @@ EXTRACTION_QUERIES: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    return {**ANALYSIS_QUERIES, **CLEANING_QUERIES, **EXTRACTION_QUERIES}
+    return {**ANALYSIS_QUERIES, **ORDERS_QUERIES, **CLEANING_QUERIES, **EXTRACTION_QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
