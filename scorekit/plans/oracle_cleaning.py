@@ -154,3 +154,7 @@ CLEANING["point_corrections"] = "WITH " + RAW + """, numbered AS (
 SELECT batch, pos, row_index,
        CASE WHEN row_index = 17 THEN 'Noida, Uttar Pradesh' ELSE Headquarters END AS Headquarters
 FROM numbered"""
+
+CLEANING["streaming_ingest"] = "WITH " + PARSED + """
+SELECT batch, pos, Name, Rating, Headquarters, Company_year, "Employees Count", RatingCount, Country
+FROM clean"""

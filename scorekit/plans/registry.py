@@ -114,7 +114,13 @@ def _point_corrections(raw):
     return C.apply_point_corrections(raw).select("batch", "pos", "row_index", "Headquarters")
 
 
+def _streaming_ingest(raw):
+    from ..streaming.batch_ingest import ingest_batches
+    return ingest_batches(raw)
+
+
 CLEANING_QUERIES: dict[str, Query] = {
+    "streaming_ingest": _on_raw(_streaming_ingest),
     "clean_employees": _on_raw(_clean_employees),
     "clean_rating_count": _on_raw(_clean_rating_count),
     "extract_country": _on_raw(_extract_country),
