@@ -47,7 +47,7 @@ from ..operators import (
     row_positions,
     topk_within,
 )
-from ..session import materialize
+from ..session import materialize, with_scalars
 
 # Labels and thresholds of the analyses.
 SIZE_CUTS = ((2000, "Large"), (300, "Mid size"))
@@ -124,11 +124,11 @@ def size_distribution(df: DataFrame, cuts=SIZE_CUTS, other: str = SIZE_OTHER,
 def credibility_rank(df: DataFrame, group: str = "Country", score: str = "Rating",
                      weight: str = "RatingCount", name: str = "Name", k: int = 5) -> DataFrame:
     base = _not_null(df, [score, weight]).select(name, group, score, weight)
-    prior_mean = base.agg(exact_avg(score, 1)).scalar()
-    prior_weight = base.agg(exact_avg(weight, 0)).scalar()
-    scored = base.withColumn(
+    stats = base.agg(exact_avg(score, 1).alias("prior_mean"),
+                     exact_avg(weight, 0).alias("prior_weight"))
+    scored = with_scalars(base, stats).withColumn(
         "credibility_score",
-        round_half_away(bayesian_score(score, weight, prior_mean, prior_weight), 3))
+        round_half_away(bayesian_score(score, weight, "_g.prior_mean", "_g.prior_weight"), 3))
     ranked = topk_within(scored, [group],
                          [("credibility_score", "desc"), (weight, "desc"), (name, "asc")],
                          k, "country_rank", method="rank")
@@ -286,11 +286,13 @@ def competitive_intensity(df: DataFrame, as_of_year: int | None = None,
         round_half_away(exact_avg("company_age", 0), 1).alias("avg_company_age"))
     metrics = materialize(metrics, "q9-metrics")
     cols = ["company_count", "avg_rating", "avg_employees", "avg_company_age"]
-    # global min/max as scalar subqueries (merged into one aggregate by Catalyst)
-    norm = [minmax(c, metrics.agg(F.min(c)).scalar(), metrics.agg(F.max(c)).scalar())
-            for c in cols]
-    scored = metrics.withColumn(
-        "competitive_intensity_score", round_half_away(weighted(list(zip(weights, norm))), 4))
+    # global min/max: one aggregate, attached as one scalar subquery
+    stats = metrics.agg(*[F.min(c).alias(f"min_{c}") for c in cols],
+                        *[F.max(c).alias(f"max_{c}") for c in cols])
+    norm = [minmax(c, f"_g.min_{c}", f"_g.max_{c}") for c in cols]
+    scored = with_scalars(metrics, stats).withColumn(
+        "_raw_score", weighted(list(zip(weights, norm)))).withColumn(
+        "competitive_intensity_score", round_half_away("_raw_score", 4))
     ranked = rank_all(scored, [("competitive_intensity_score", "desc"), ("avg_rating", "desc"),
                                ("company_count", "desc")], "competitive_rank", "dense_rank",
                       label="q9-rank")

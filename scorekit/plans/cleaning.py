@@ -48,6 +48,7 @@ def global_median(df: DataFrame, col: str) -> Column:
 
 
 def impute_median(df: DataFrame, col: str = "Employees Count") -> DataFrame:
+    """Fill NULLs with the exact global median (one scalar subquery)."""
     return df.withColumn(col, F.coalesce(F.col(col), global_median(df, col)))
 
 

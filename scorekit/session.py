@@ -105,3 +105,12 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     skewed partitions)."""
     m, ok = small_side(small, label, max_rows)
     return big.join(F.broadcast(m) if ok else m, on, how)
+
+
+def with_scalars(df: DataFrame, stats: DataFrame, name: str = "_g") -> DataFrame:
+    """Attach the single row of ``stats`` to every row of ``df`` as struct ``name``.
+
+    One scalar subquery (run once, its value broadcast with the plan) instead
+    of a cross join; the struct is projected once, so later references to
+    ``name.field`` do not re-plan the subquery."""
+    return df.withColumn(name, stats.select(F.struct(*stats.columns)).scalar())
