@@ -34,3 +34,17 @@ def topk_within(df: DataFrame, group: Sequence[str], order: Order, k: int,
         else Window.orderBy(*order_exprs(order))
     fn = {"row_number": F.row_number(), "rank": F.rank(), "dense_rank": F.dense_rank()}[method]
     return df.withColumn(out_col, fn.over(spec)).filter(F.col(out_col) <= k)
+
+
+def group_median(df: DataFrame, group: Sequence[str], col: str, out_col: str = "median",
+                 approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Per-group median of ``col`` (mean of the two middle values for even counts).
+
+    Exact ``percentile`` keeps a value -> count map per group and merges the
+    partial maps of every task, so a hot group costs memory proportional to
+    its distinct values, not its rows.  ``approx=True`` switches to
+    ``percentile_approx`` (bounded sketch) for high-cardinality values."""
+    agg = (F.percentile_approx(F.col(col), 0.5, accuracy) if approx
+           else F.percentile(F.col(col), 0.5))
+    return df.filter(F.col(col).isNotNull()).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), agg.cast("double").alias(out_col))

@@ -28,7 +28,13 @@ def _on_companies(fn, **kw) -> Query:
     return run
 
 
+def _group_median(df):
+    from ..operators import group_median
+    return group_median(df, ["Country"], "RatingCount", "median_ratingcount")
+
+
 ANALYSIS_QUERIES: dict[str, Query] = {
+    "group_median": _on_companies(_group_median),
     "top_rated": _on_companies(A.top_rated),
     "top_rated_min_reviews": _on_companies(A.top_rated, min_reviews=10000, k=5),
     "low_review_high_rating": _on_companies(A.low_review_bias),

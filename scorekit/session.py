@@ -53,7 +53,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     none configured (tests); on a cluster a missing setting is an error, since a
     machine-local folder would not be visible to other executors.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no driver-side context (e.g. a remote session): use the conf only
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("spark.checkpoint.dir is not set")
+        return conf_dir.rstrip("/")
     root = sc.getCheckpointDir()
     if not root:
         conf_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -114,3 +120,11 @@ def with_scalars(df: DataFrame, stats: DataFrame, name: str = "_g") -> DataFrame
     of a cross join; the struct is projected once, so later references to
     ``name.field`` do not re-plan the subquery."""
     return df.withColumn(name, stats.select(F.struct(*stats.columns)).scalar())
+
+
+def session_key(spark: SparkSession) -> str:
+    """Identifier of the running application (keys per-session caches)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return spark.conf.get("spark.app.id", "app")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import COMPANY_COLUMNS
-from ..session import materialize
+from ..session import materialize, session_key
 from .tables import read_table
 
 _STORED: dict = {}
@@ -25,7 +25,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The binding ``name`` written once per session as a Parquet table (the
     stored ``companies`` table the analyses query), then read back."""
     import os
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    key = (session_key(spark), os.path.abspath(sf_dir), name)
     if key not in _STORED:
         build = {"companies": companies, "companies_raw": companies_raw,
                  "entities_orders": entities_orders}[name]
