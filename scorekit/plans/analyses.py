@@ -69,15 +69,30 @@ def _year_now(as_of_year: int | None) -> Column:
     return F.year(F.current_date()) if as_of_year is None else F.lit(int(as_of_year))
 
 
-def _age_rows(df: DataFrame, as_of_year, required: Sequence[str]) -> DataFrame:
-    """Base rows with a known, non-future founding year and the required columns."""
+def _age_rows(df: DataFrame, as_of_year, required: Sequence[str],
+zero_year_as_null: bool = False) -> DataFrame:
+    """Base rows with a known, non-future founding year and the required columns.
+
+    A missing year stored as 0 counts as known (age ~2000, "Legacy") unless
+    ``zero_year_as_null``."""
     now = _year_now(as_of_year)
     cond = F.col("Company_year").isNotNull() & (F.col("Company_year") <= now)
+    if zero_year_as_null:
+        cond = cond & (F.col("Company_year") != 0)
     for c in required:
         cond = cond & F.col(c).isNotNull()
     return df.filter(cond).withColumn("company_age", now - F.col("Company_year"))
 
 
+def case_insensitive(df: DataFrame, cols: Sequence[str] = ("Country",),
+                     collation: str = "UTF8_LCASE") -> DataFrame:
+    """Give grouping columns a case-insensitive collation (MySQL's default
+    behaviour): every later GROUP BY / PARTITION BY / join / sort on them then
+    treats 'India' and 'india' as one key.  Use ``"UNICODE_CI_AI"`` to ignore
+    accents as well."""
+    return df.withColumns({c: F.collate(F.col(c), collation) for c in cols})
+
+
 def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cond = None
     for c in cols:
@@ -173,8 +188,10 @@ def leader_classes(df: DataFrame, group: str = "Country", score: str = "Rating",
 
 def age_segments(df: DataFrame, as_of_year: int | None = None, buckets=AGE_BUCKETS,
                  other: str = AGE_OTHER, weights=(0.70, 0.30),
-                 group: str = "Country") -> DataFrame:
-    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"]).withColumn(
+                 group: str = "Country",
+                 zero_year_as_null: bool = False) -> DataFrame:
+    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"],
+                     zero_year_as_null).withColumn(
         "age_segment", bucket_range("company_age", buckets, other))
     seg = base.groupBy(group, "age_segment").agg(
         F.count(F.lit(1)).alias("company_count"),
@@ -277,8 +294,9 @@ def review_bias(df: DataFrame, tiles: int = 10, group: str = "Country", score: s
 
 
 def competitive_intensity(df: DataFrame, as_of_year: int | None = None,
-                          weights=(0.35, 0.30, 0.20, 0.15), group: str = "Country") -> DataFrame:
-    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"])
+                          weights=(0.35, 0.30, 0.20, 0.15), group: str = "Country",
+                          zero_year_as_null: bool = False) -> DataFrame:
+    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"], zero_year_as_null)
     metrics = base.groupBy(group).agg(
         F.count(F.lit(1)).alias("company_count"),
         round_half_away(exact_avg("Rating", 1), 3).alias("avg_rating"),
@@ -305,8 +323,9 @@ def competitive_intensity(df: DataFrame, as_of_year: int | None = None,
 
 
 def mature_underperformers(df: DataFrame, as_of_year: int | None = None,
-                           group: str = "Country") -> DataFrame:
-    base = _age_rows(df, as_of_year, ["Rating"]).select(
+                           group: str = "Country",
+                           zero_year_as_null: bool = False) -> DataFrame:
+    base = _age_rows(df, as_of_year, ["Rating"], zero_year_as_null).select(
         "Name", group, "Rating", "company_age")
     bench = group_stats(base, [group], [
         F.percentile(F.col("company_age"), 0.5).alias("median_company_age"),
@@ -329,8 +348,9 @@ def mature_underperformers(df: DataFrame, as_of_year: int | None = None,
 
 
 def emerging_employers(df: DataFrame, as_of_year: int | None = None, max_age: int = 10,
-                       weights=(0.60, 0.40), k: int = 3, group: str = "Country") -> DataFrame:
-    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"]).select(
+                       weights=(0.60, 0.40), k: int = 3, group: str = "Country",
+                       zero_year_as_null: bool = False) -> DataFrame:
+    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"], zero_year_as_null).select(
         "id", "Name", group, "Rating", "Employees_Count", "Company_year", "company_age")
     bench = group_stats(base, [group], [
         exact_avg("Rating", 1).alias("country_avg_rating"),
@@ -357,8 +377,9 @@ def emerging_employers(df: DataFrame, as_of_year: int | None = None, max_age: in
 
 
 def combined_segments(df: DataFrame, as_of_year: int | None = None,
-                      group: str = "Country") -> DataFrame:
-    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"]).select(
+                      group: str = "Country",
+                      zero_year_as_null: bool = False) -> DataFrame:
+    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"], zero_year_as_null).select(
         "Name", group, "Rating", "Employees_Count", "company_age")
     bench = group_stats(base, [group], [
         F.percentile(F.col("company_age"), 0.5).alias("median_company_age"),
@@ -395,8 +416,9 @@ def combined_segments(df: DataFrame, as_of_year: int | None = None,
 
 
 def composite_rank(df: DataFrame, as_of_year: int | None = None, weights=(0.50, 0.30, 0.20),
-                   top_share: float = 0.25, group: str = "Country") -> DataFrame:
-    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"]).select(
+                   top_share: float = 0.25, group: str = "Country",
+                   zero_year_as_null: bool = False) -> DataFrame:
+    base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"], zero_year_as_null).select(
         "id", "Name", group, "Rating", "Employees_Count", "company_age")
     sized = group_stats(base, [group], [F.count(F.lit(1)).alias("country_company_count")],
                         label="q13-sizes")

@@ -41,3 +41,15 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.option("header", True).csv(path)
     else:
         writer.format(fmt).save(path)
+
+
+def normalize_layout(df: DataFrame) -> DataFrame:
+    """Map the earlier 5-column scrape layout (``Founded Year``, no employees)
+    onto the 6-column layout: ``Founded Year`` -> ``Company_year`` and a NULL
+    ``Employees Count``; other layouts pass through unchanged."""
+    from pyspark.sql import functions as F
+    if "Founded Year" in df.columns:
+        df = df.withColumnRenamed("Founded Year", "Company_year")
+    if "Employees Count" not in df.columns:
+        df = df.withColumn("Employees Count", F.lit(None).cast("string"))
+    return df

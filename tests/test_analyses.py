@@ -108,3 +108,32 @@ def test_native_and_distributed_paths_agree(spark, fn):
     finally:
         spark.conf.unset(MAX_GROUP_ROWS_CONF)
     assert native == dist
+
+
+def test_zero_year_option(spark):
+    df = companies(spark, SF_SMALL)
+    with_zero = A.age_segments(df, as_of_year=2002)
+    without = A.age_segments(df, as_of_year=2002, zero_year_as_null=True)
+    n_zero = df.filter("Company_year = 0 AND Rating IS NOT NULL AND Employees_Count IS NOT NULL"
+                       ).count()
+    total = lambda d: sum(r.company_count for r in d.collect())
+    assert n_zero > 0 and total(with_zero) - total(without) == n_zero
+
+
+def test_case_insensitive_grouping(spark):
+    rows = [(1, "A", 4.0, "x", 2000, 10, 100, "India"),
+            (2, "B", 3.0, "x", 2000, 10, 100, "india"),
+            (3, "C", 2.0, "x", 2000, 10, 100, "INDIA")]
+    df = spark.createDataFrame(rows, COMPANIES)
+    assert A.credibility_rank(df).select("Country").distinct().count() == 3
+    ci = A.credibility_rank(A.case_insensitive(df))
+    assert sorted(r.country_rank for r in ci.collect()) == [1, 2, 3]
+
+
+def test_five_column_layout(spark):
+    from scorekit.sources.files import normalize_layout
+    df = spark.createDataFrame([("N", "4.0", "(1k)", "1999", "HQ")],
+                               "Name string, Rating string, `Rating Count` string, "
+                               "`Founded Year` string, Headquarters string")
+    out = normalize_layout(df)
+    assert "Company_year" in out.columns and out.first()["Employees Count"] is None
