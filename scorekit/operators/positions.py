@@ -111,12 +111,14 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Order,
 
 
 def row_positions(df: DataFrame, group: Sequence[str], order: Order,
-                  row_col: str = "_row", n_col: str = "_n", label: str = "rows") -> DataFrame:
+                  row_col: str = "_row", n_col: str = "_n", label: str = "rows",
+                  native: bool | None = None) -> DataFrame:
     """ROW_NUMBER() and COUNT(*) OVER (PARTITION BY group ORDER BY order).
 
     ``order`` should be a total order (end it with a unique key) for
-    deterministic results."""
-    if native_window_ok(df, group):
+    deterministic results.  ``native`` overrides the size check (pass the
+    result of :func:`native_window_ok` on a coarser grouping)."""
+    if native_window_ok(df, group) if native is None else native:
         return (df.withColumn(row_col, F.row_number().over(_spec(group, order)).cast("long"))
                   .withColumn(n_col, F.count(F.lit(1)).over(_spec(group))))
     out = group_positions(df, group, order, None, label)
@@ -138,14 +140,15 @@ def ntile_of(row, n, k: int) -> Column:
 
 
 def ntile_within(df: DataFrame, group: Sequence[str], order: Order, k: int,
-                 out_col: str, label: str = "ntile") -> DataFrame:
+                 out_col: str, label: str = "ntile", native: bool | None = None) -> DataFrame:
     """NTILE(k) OVER (PARTITION BY group ORDER BY order) without a per-group task."""
-    pos = row_positions(df, group, order, "_row", "_n", label)
+    pos = row_positions(df, group, order, "_row", "_n", label, native)
     return pos.withColumn(out_col, ntile_of("_row", "_n", k)).drop("_row", "_n")
 
 
 def ranks_within(df: DataFrame, group: Sequence[str],
-                 specs: Sequence[tuple[Order, str, str]], label: str = "rank") -> DataFrame:
+                 specs: Sequence[tuple[Order, str, str]], label: str = "rank",
+                 native: bool | None = None) -> DataFrame:
     """Several RANK()/DENSE_RANK() OVER (PARTITION BY group ORDER BY ...) at once.
 
     ``specs`` is a list of ``(order, out_col, method)``.  Distributed path:
@@ -154,7 +157,7 @@ def ranks_within(df: DataFrame, group: Sequence[str],
     broadcast only after a size check.  Tied rows never need to meet."""
     group = list(group)
     fns = {"rank": F.rank, "dense_rank": F.dense_rank}
-    if native_window_ok(df, group):
+    if native_window_ok(df, group) if native is None else native:
         out = df
         for order, out_col, method in specs:
             out = out.withColumn(out_col, fns[method]().over(_spec(group, order)).cast("long"))
@@ -179,9 +182,10 @@ def ranks_within(df: DataFrame, group: Sequence[str],
 
 
 def rank_within(df: DataFrame, group: Sequence[str], order: Order, out_col: str,
-                method: str = "rank", label: str = "rank") -> DataFrame:
+                method: str = "rank", label: str = "rank",
+                native: bool | None = None) -> DataFrame:
     """RANK() / DENSE_RANK() OVER (PARTITION BY group ORDER BY order)."""
-    return ranks_within(df, group, [(order, out_col, method)], label)
+    return ranks_within(df, group, [(order, out_col, method)], label, native)
 
 
 def rank_all(df: DataFrame, order: Order, out_col: str, method: str = "dense_rank",

@@ -39,6 +39,7 @@ from ..functions import (
 from ..operators import (
     group_stats,
     ntile_of,
+    native_window_ok,
     ntile_within,
     order_exprs,
     rank_all,
@@ -162,7 +163,10 @@ def leader_classes(df: DataFrame, group: str = "Country", score: str = "Rating",
                    tiles: int = 4) -> DataFrame:
     base = _not_null(df, [score, weight]).select(key, name, group, score, weight)
     order = [(score, "desc"), (weight, "desc"), (name, "asc"), (key, "asc")]
-    tiled = ntile_within(base, [group], order, tiles, "rating_quartile", label="q5-tile")
+    # one size check serves both windows: (group, class) parts are no larger than groups
+    native = native_window_ok(base, [group])
+    tiled = ntile_within(base, [group], order, tiles, "rating_quartile", label="q5-tile",
+                         native=native)
     bench = group_stats(tiled, [group],
                         [F.percentile(F.col(weight), 0.5).alias("median_ratingcount")],
                         label="q5-median")
@@ -175,7 +179,7 @@ def leader_classes(df: DataFrame, group: str = "Country", score: str = "Rating",
                                .otherwise(LEADER_ORDER[2]))
                   .withColumn("review_gap_to_median", round_half_away(med - w, 2)))
     ranked = row_positions(classified, [group, "performance_group"], order,
-                           "segment_rank", "_seg_n", label="q5-rank")
+                           "segment_rank", "_seg_n", label="q5-rank", native=native)
     return (ranked.select(group, name, score, weight, "median_ratingcount", "performance_group",
                           "review_gap_to_median", F.col("segment_rank").cast("long"))
                   .orderBy(group, field_position("performance_group", LEADER_ORDER),
@@ -422,10 +426,11 @@ def composite_rank(df: DataFrame, as_of_year: int | None = None, weights=(0.50,
         "id", "Name", group, "Rating", "Employees_Count", "company_age")
     sized = group_stats(base, [group], [F.count(F.lit(1)).alias("country_company_count")],
                         label="q13-sizes")
+    native = native_window_ok(sized, [group])
     r = ranks_within(sized, [group], [([("Rating", "desc")], "rating_rank", "rank"),
                                       ([("Employees_Count", "desc")], "employee_rank", "rank"),
                                       ([("company_age", "desc")], "age_rank", "rank")],
-                     label="q13-ranks")
+                     label="q13-ranks", native=native)
     n = F.col("country_company_count")
     ranks = ["rating_rank", "employee_rank", "age_rank"]
     score = weighted([(w, rank_score(rk, n)) for w, rk in zip(weights, ranks)])
@@ -436,7 +441,8 @@ def composite_rank(df: DataFrame, as_of_year: int | None = None, weights=(0.50,
     final = row_positions(scored, [group],
                           [("composite_score", "desc"), ("rating_rank", "asc"),
                            ("employee_rank", "asc"), ("age_rank", "asc"), ("Name", "asc"),
-                           ("id", "asc")], "composite_rank", "_cn", label="q13-final")
+                           ("id", "asc")], "composite_rank", "_cn", label="q13-final",
+                          native=native)
     return (final.select(group, "Name", "Rating", "Employees_Count", "company_age",
                          *[F.col(c).cast("long").alias(c) for c in ranks], "composite_score",
                          "profile_type", F.col("composite_rank").cast("long"))
