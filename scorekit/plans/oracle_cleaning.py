@@ -158,3 +158,22 @@ FROM numbered"""
 CLEANING["streaming_ingest"] = "WITH " + PARSED + """
 SELECT batch, pos, Name, Rating, Headquarters, Company_year, "Employees Count", RatingCount, Country
 FROM clean"""
+
+
+# Analyses over the cleaned and loaded table (scrape text -> clean -> load -> analysis).
+def _loaded_companies() -> str:
+    return PARSED + """, companies AS (
+    SELECT CAST(ROW_NUMBER() OVER (ORDER BY batch, pos) AS BIGINT) AS id, Name, Rating,
+           Headquarters, CAST(Company_year AS INTEGER) AS Company_year,
+           CAST(FLOOR("Employees Count" + 0.5) AS INTEGER) AS Employees_Count,
+           CAST(FLOOR(RatingCount + 0.5) AS INTEGER) AS RatingCount, Country
+    FROM clean)"""
+
+
+def _on_loaded(name: str) -> str:
+    from .oracle_sql import ANALYSES, COMPANIES
+    return ANALYSES[name].replace(COMPANIES, _loaded_companies(), 1)
+
+
+for _name in ("credibility_rank", "composite_rank", "hq_concentration"):
+    CLEANING[_name + "_clean"] = _on_loaded(_name)

@@ -125,7 +125,19 @@ def _streaming_ingest(raw):
     return ingest_batches(raw)
 
 
+def _on_loaded(fn, **kw) -> Query:
+    """An analysis over the cleaned rows loaded into the companies layout."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw = stored(spark, sf_dir, "companies_raw")
+        return fn(C.to_companies(C.clean_companies(raw, keep_order_columns=True)), **kw)
+    run.__name__ = fn.__name__ + "_clean"
+    return run
+
+
 CLEANING_QUERIES: dict[str, Query] = {
+    "credibility_rank_clean": _on_loaded(A.credibility_rank),
+    "composite_rank_clean": _on_loaded(A.composite_rank, as_of_year=AS_OF_YEAR),
+    "hq_concentration_clean": _on_loaded(A.concentration),
     "streaming_ingest": _on_raw(_streaming_ingest),
     "clean_employees": _on_raw(_clean_employees),
     "clean_rating_count": _on_raw(_clean_rating_count),
