@@ -73,9 +73,13 @@ def _unbounded_before(spec):
 
 
 def group_positions(df: DataFrame, group: Sequence[str], order: Order,
-                    weight: Column | None = None, label: str = "pos") -> DataFrame:
+                    weight: Column | None = None, label: str = "pos",
+                    keep_partition: bool = False) -> DataFrame:
     """Add ``_before`` (exclusive prefix of ``weight``, default 1 per row, within
-    the group in ``order``) and ``_total`` (group total of the weight)."""
+    the group in ``order``) and ``_total`` (group total of the weight).
+
+    ``keep_partition`` keeps ``_pid``, the sort partition that numbered the row
+    (for inspecting how a hot group was spread)."""
     group = list(group)
     sort_cols = [F.col(g).asc_nulls_first() for g in group] + order_exprs(order)
     s = df.sort(*sort_cols).withColumn("_pid", F.spark_partition_id())
@@ -107,7 +111,8 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Order,
         cond = cond & F.col(g).eqNullSafe(F.col(a))
     out = s.join(F.broadcast(seg) if is_small else seg, cond, "inner")
     out = out.withColumn("_before", F.col("_lpre") - F.col("_seg_start") + F.col("_seg_off"))
-    return out.drop("_pid", "_spid", "_lpre", "_w", "_seg_start", "_seg_off", *renamed.values())
+    drop = ["_spid", "_lpre", "_w", "_seg_start", "_seg_off", *renamed.values()]
+    return out.drop(*(drop if keep_partition else ["_pid", *drop]))
 
 
 def row_positions(df: DataFrame, group: Sequence[str], order: Order,
