@@ -83,11 +83,30 @@ def materialize(df: DataFrame, label: str = "tmp") -> DataFrame:
     recomputing a non-deterministic sort) and gives later reads column pruning.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/scorekit/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Per-application folder for materialised intermediates (under the checkpoint dir)."""
+    return f"{checkpoint_root(spark)}/scorekit/{session_key(spark)}"
+
+
+def release_intermediates(spark: SparkSession) -> None:
+    """Delete this application's materialised intermediates.
+
+    Call once every result that depends on them has been written; DataFrames
+    built before the call must not be used afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
+    from .sources import bindings
+    bindings.forget_stored(spark)
+
+
 # Largest number of rows we ever ship to every executor as a broadcast side.
 BROADCAST_MAX_ROWS = int(os.environ.get("SCOREKIT_BROADCAST_MAX_ROWS", "2000000"))
 

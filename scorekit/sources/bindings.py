@@ -33,6 +33,13 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _STORED[key]
 
 
+def forget_stored(spark: SparkSession) -> None:
+    """Drop this session's stored-table handles (their files were released)."""
+    key = session_key(spark)
+    for k in [k for k in _STORED if k[0] == key]:
+        del _STORED[k]
+
+
 def _nation(spark, sf_dir):
     # TPC-H fixes nation at 25 rows, so broadcasting it is size-bounded by spec.
     return F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))

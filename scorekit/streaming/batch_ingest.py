@@ -84,9 +84,9 @@ def ingest_batches(raw: DataFrame, label: str = "ingest") -> DataFrame:
     return the ingested table (used by the registered streaming query)."""
     import uuid
 
-    from ..session import checkpoint_root
+    from ..session import scratch_dir
     spark = raw.sparkSession
-    base = f"{checkpoint_root(spark)}/scorekit/{label}-{uuid.uuid4().hex}"
+    base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/checkpoint"
     batches = sorted(r[0] for r in raw.select("batch").distinct().collect())
     for b in batches:  # one landing file set per crawl run, ingested before the next lands

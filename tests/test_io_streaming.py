@@ -56,3 +56,16 @@ def test_streaming_ingest_equals_batch_cleaning(spark):
     got = read_ingested(spark, out)
     expect = clean_companies(raw, keep_order_columns=True)
     assert _rows(got) == _rows(expect)
+
+
+def test_release_intermediates(spark):
+    import os
+
+    from scorekit.session import materialize, release_intermediates, scratch_dir
+    m = materialize(spark.range(5), "tmp-release")
+    assert m.count() == 5
+    root = scratch_dir(spark)
+    local = root[len("file:"):] if root.startswith("file:") else root
+    assert os.path.exists(local)
+    release_intermediates(spark)
+    assert not os.path.exists(local)
