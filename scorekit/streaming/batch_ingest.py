@@ -1,72 +1,106 @@
 """Structured Streaming ingest of scraped batches into a de-duplicated table.
 
 Crawl runs drop CSV batches (``batch``, ``pos`` + scraped columns) into a
-landing folder.  The stream parses each micro-batch with the same native
-expressions as the batch cleaning job, fills the constant defaults, drops rows
-without name or rating, keeps the first row per (Name, Headquarters) inside
-the micro-batch and appends only keys not already stored (left anti join).
-Files are taken oldest first, one per trigger by default, so "first" follows
-the crawl order across batches too.
-
-Writes are idempotent: micro-batch ``n`` replaces ``<out>/epoch=n`` and the
-anti join reads only ``epoch < n``, so a replay after a failure rewrites the
-same rows.  The global median of employees depends on every row, including
-rows later dropped; each micro-batch therefore also writes the histogram of
-its parsed employee values (``<out>_employees``, one row per distinct value)
-and the median is computed from the merged histogram when the table is read
-(:func:`read_ingested`).  The result equals the batch cleaning job.
+landing folder.  Two streaming queries read it:
+
+* **rows**: the same native parsing as the batch cleaning job, constant
+  defaults, rows without name or rating dropped, then a stateful keep-first
+  per (Name, Headquarters) with ``applyInPandasWithState``.  The state store
+  remembers which keys were already emitted, so a micro-batch costs its own
+  size (no re-reading of the stored table).  Within a micro-batch the row with
+  the smallest (batch, pos) wins; across micro-batches the earlier one wins,
+  since files are taken oldest first.  The Parquet file sink is exactly-once.
+* **employee histogram**: the global median of employees depends on every row,
+  including rows later dropped.  Each micro-batch writes the histogram of its
+  parsed employee values (one row per distinct value) to ``<out>_employees``;
+  ``epoch=n`` folders are overwritten on replay, so the writes are idempotent.
+
+:func:`read_ingested` fills missing employees with the exact median of the
+merged histogram; the result equals the batch cleaning job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from ..plans.cleaning import CLEAN_COLUMNS, impute_constants, keep_first
-from ..plans.cleaning import parse_fields
+from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import (
+    BooleanType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
+
+from ..plans.cleaning import CLEAN_COLUMNS, impute_constants, parse_fields
 from ..schema import COMPANIES_RAW
 
 KEYS = ("Name", "Headquarters")
 ORDER = ("batch", "pos")
 
-
-def _stored(spark: SparkSession, out: str, before_epoch: int) -> DataFrame | None:
-    try:
-        df = spark.read.parquet(out)
-    except Exception:  # nothing written yet
-        return None
-    return df.filter(F.col("epoch") < before_epoch)
-
-
-def _process(out: str):
+ROW_SCHEMA = StructType([
+    StructField("batch", IntegerType()),
+    StructField("pos", LongType()),
+    StructField("Name", StringType()),
+    StructField("Rating", DoubleType()),
+    StructField("Headquarters", StringType()),
+    StructField("Company_year", LongType()),
+    StructField("Employees Count", DoubleType()),
+    StructField("RatingCount", DoubleType()),
+    StructField("Country", StringType()),
+])
+STATE_SCHEMA = StructType([StructField("emitted", BooleanType())])
+COLUMNS = [f.name for f in ROW_SCHEMA.fields]
+
+
+def _keep_first(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Emit the first row of a key once; later rows of the key are dropped."""
+    rows = pd.concat(list(batches), ignore_index=True)
+    if state.exists or rows.empty:
+        return
+    state.update((True,))
+    yield rows.sort_values(list(ORDER), kind="stable").head(1)[COLUMNS]
+
+
+def _cleaned(stream: DataFrame) -> DataFrame:
+    df = impute_constants(parse_fields(stream))
+    df = df.withColumn("Rating", F.col("Rating").try_cast("double"))
+    return df.dropna(subset=["Name", "Rating"]).select(*ORDER, *CLEAN_COLUMNS)
+
+
+def _write_histogram(out: str):
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        parsed = parse_fields(batch)
-        (parsed.groupBy(F.col("Employees Count").alias("value")).count()
-               .write.mode("overwrite").parquet(f"{out}_employees/epoch={epoch}"))
-        df = impute_constants(parsed)
-        df = df.withColumn("Rating", F.col("Rating").try_cast("double"))
-        df = df.dropna(subset=["Name", "Rating"])
-        df = keep_first(df, list(KEYS), list(ORDER))
-        seen = _stored(spark, out, epoch)
-        if seen is not None:
-            df = df.join(seen.select(*KEYS), list(KEYS), "left_anti")
-        (df.select(*ORDER, *CLEAN_COLUMNS).write.mode("overwrite")
-           .parquet(f"{out}/epoch={epoch}"))
-        batch.unpersist()
+        (parse_fields(batch).groupBy(F.col("Employees Count").alias("value")).count()
+         .write.mode("overwrite").parquet(f"{out}_employees/epoch={epoch}"))
     return run
 
 
+def _source(spark: SparkSession, landing: str, files_per_trigger: int) -> DataFrame:
+    return (spark.readStream.schema(COMPANIES_RAW).option("header", True)
+                 .option("maxFilesPerTrigger", files_per_trigger).csv(landing))
+
+
 def start_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
-                 files_per_trigger: int = 1, once: bool = False) -> StreamingQuery:
-    stream = (spark.readStream.schema(COMPANIES_RAW).option("header", True)
-                   .option("maxFilesPerTrigger", files_per_trigger).csv(landing))
-    writer = (stream.writeStream.foreachBatch(_process(out))
-                    .option("checkpointLocation", checkpoint))
-    writer = writer.trigger(availableNow=True) if once else writer
-    return writer.start()
+                 files_per_trigger: int = 1, once: bool = False) -> list[StreamingQuery]:
+    """Start the row and histogram queries; returns both handles."""
+    firsts = (_cleaned(_source(spark, landing, files_per_trigger))
+              .groupBy(*KEYS)
+              .applyInPandasWithState(_keep_first, ROW_SCHEMA, STATE_SCHEMA, "append",
+                                      GroupStateTimeout.NoTimeout))
+    rows = (firsts.writeStream.format("parquet").option("path", out)
+                  .option("checkpointLocation", f"{checkpoint}/rows").outputMode("append"))
+    hist = (_source(spark, landing, files_per_trigger).writeStream
+            .foreachBatch(_write_histogram(out))
+            .option("checkpointLocation", f"{checkpoint}/employees"))
+    if once:
+        rows, hist = rows.trigger(availableNow=True), hist.trigger(availableNow=True)
+    return [rows.start(), hist.start()]
 
 
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
@@ -74,7 +108,7 @@ def read_ingested(spark: SparkSession, out: str) -> DataFrame:
     hist = (spark.read.parquet(f"{out}_employees").groupBy("value")
                  .agg(F.sum("count").alias("n")))
     median = hist.agg(F.percentile(F.col("value"), F.lit(0.5), F.col("n"))).scalar()
-    rows = spark.read.parquet(out).drop("epoch")
+    rows = spark.read.parquet(out)
     return (rows.withColumn("Employees Count", F.coalesce(F.col("Employees Count"), median))
                 .select(*ORDER, *CLEAN_COLUMNS))
 
@@ -91,6 +125,6 @@ def ingest_batches(raw: DataFrame, label: str = "ingest") -> DataFrame:
     batches = sorted(r[0] for r in raw.select("batch").distinct().collect())
     for b in batches:  # one landing file set per crawl run, ingested before the next lands
         raw.filter(F.col("batch") == b).write.mode("append").option("header", True).csv(landing)
-        q = start_ingest(spark, landing, out, ckpt, files_per_trigger=1000, once=True)
-        q.awaitTermination()
+        for q in start_ingest(spark, landing, out, ckpt, files_per_trigger=1000, once=True):
+            q.awaitTermination()
     return read_ingested(spark, out)

@@ -51,8 +51,8 @@ def test_streaming_ingest_equals_batch_cleaning(spark):
     for b in (1, 2):  # two crawl runs, in order
         raw.filter(F.col("batch") == b).coalesce(1).write.mode("append") \
            .option("header", True).csv(landing)
-        q = start_ingest(spark, landing, out, ckpt, once=True)
-        q.awaitTermination(300)
+        for q in start_ingest(spark, landing, out, ckpt, once=True):
+            q.awaitTermination(300)
     got = read_ingested(spark, out)
     expect = clean_companies(raw, keep_order_columns=True)
     assert _rows(got) == _rows(expect)
