@@ -46,3 +46,21 @@ def test_scalar_subqueries_instead_of_cross_join(spark):
     plan = _plan(A.credibility_rank(df))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Subquery" in plan
+
+
+def test_benchmark_join_broadcast_only_after_size_check(spark):
+    from pyspark.sql import functions as F
+
+    from scorekit.session import join_checked
+    rows = stored(spark, SF_SMALL, "companies")
+    stats = rows.groupBy("Country").agg(F.count(F.lit(1)).alias("n"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # only our checked hint may broadcast
+    try:
+        small = join_checked(rows, stats, ["Country"], label="t-small")
+        big = join_checked(rows, stats, ["Country"], label="t-big", max_rows=0)
+        assert "BroadcastHashJoin" in _plan(small)
+        assert "SortMergeJoin" in _plan(big) and "BroadcastHashJoin" not in _plan(big)
+    finally:
+        spark.conf.set(key, old)
