@@ -151,6 +151,14 @@ def tag_texts(html: Column, tag: str) -> Column:
     return F.transform(inner, lambda s: decode_entities(F.regexp_replace(s, "<[^>]*>", "")))
 
 
+def all_tag_texts(pages: DataFrame, tag: str, out_col: str = "text") -> DataFrame:
+    """Every ``<tag>`` text of every page, stripped, with its position on the page."""
+    from ..functions.text import strip_ws
+    return (pages.select("page_id", F.posexplode(tag_texts(F.col("html"), tag)))
+                 .select("page_id", F.col("pos").cast("int").alias("pos"),
+                         strip_ws(F.col("col")).alias(out_col)))
+
+
 def page_headings(pages: DataFrame) -> DataFrame:
     """First ``h1`` text of each page (NULL when the page has none)."""
     return pages.select("page_id", F.try_element_at(tag_texts(F.col("html"), "h1"), F.lit(1))

@@ -84,3 +84,8 @@ FROM pages"""
 
 EXTRACTION["page_preview"] = """
 SELECT page_id, substring(html, 1, 2000) AS preview FROM pages"""
+
+EXTRACTION["listing_names"] = "WITH " + FIELDS + """
+SELECT page_id,
+       CAST(ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos, name
+FROM expected_cards WHERE name IS NOT NULL"""

@@ -168,6 +168,10 @@ def _detail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.enrich_cards(cards, X.extract_details(P.detail_pages(spark, sf_dir)))
 
 
+def _listing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.all_tag_texts(P.listing_pages(spark, sf_dir), "h2", "name")
+
+
 def _url_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = (F.floor(F.col("pos") / P.PAGE_SIZE) + 1).cast("long")
     return (scraped_fields(spark, sf_dir).select(page.alias("page")).distinct()
@@ -179,6 +183,7 @@ EXTRACTION_QUERIES: dict[str, Query] = {
     "cards_extract": _cards_extract,
     "detail_enrich": _detail_enrich,
     "url_frontier": _url_frontier,
+    "listing_names": _listing_names,
     "page_ads": _pages(X.extract_class_text),
     "page_headings": _pages(X.page_headings),
     "page_links": _pages(X.page_links),
