@@ -11,4 +11,4 @@ from .positions import (  # noqa: F401
     native_window_ok,
     row_positions,
 )
-from .stats import group_median, group_stats, topk_within  # noqa: F401
+from .stats import group_median, group_stats, median_table, topk_within  # noqa: F401

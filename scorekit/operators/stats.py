@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import join_checked
-from .positions import Order, order_exprs
+from .positions import Order, group_positions, order_exprs
 
 
 def group_stats(rows: DataFrame, group: Sequence[str], aggs: Sequence[Column],
@@ -38,13 +38,56 @@ def topk_within(df: DataFrame, group: Sequence[str], order: Order, k: int,
 
 def group_median(df: DataFrame, group: Sequence[str], col: str, out_col: str = "median",
                  approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Per-group median of ``col`` (mean of the two middle values for even counts).
-
-    Exact ``percentile`` keeps a value -> count map per group and merges the
-    partial maps of every task, so a hot group costs memory proportional to
-    its distinct values, not its rows.  ``approx=True`` switches to
-    ``percentile_approx`` (bounded sketch) for high-cardinality values."""
-    agg = (F.percentile_approx(F.col(col), 0.5, accuracy) if approx
-           else F.percentile(F.col(col), 0.5))
-    return df.filter(F.col(col).isNotNull()).groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), agg.cast("double").alias(out_col))
+    """Per-group row count and median of ``col`` (mean of the two middle values).
+
+    Exact by default: ``percentile`` when every group fits one task, else the
+    distributed histogram median of :func:`median_table`.  ``approx=True``
+    uses ``percentile_approx`` (bounded sketch)."""
+    from .positions import native_window_ok
+    group = list(group)
+    rows = df.filter(F.col(col).isNotNull())
+    if approx:
+        return rows.groupBy(*group).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile_approx(F.col(col), 0.5, accuracy).cast("double").alias(out_col))
+    if native_window_ok(rows, group):
+        return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"),
+                                        F.percentile(F.col(col), 0.5).alias(out_col))
+    med = median_table(rows, group, col, out_col, distributed=True)
+    if not group:
+        return med.select(rows.agg(F.count(F.lit(1))).scalar().alias("n"), out_col)
+    counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    renamed = {g: f"_m{i}" for i, g in enumerate(group)}
+    med = med.select(*[F.col(g).alias(a) for g, a in renamed.items()], out_col)
+    cond = None
+    for g, a in renamed.items():  # NULL keys form a group of their own
+        e = F.col(g).eqNullSafe(F.col(a))
+        cond = e if cond is None else cond & e
+    return counts.join(med, cond).drop(*renamed.values())
+
+
+def median_table(df: DataFrame, group: Sequence[str], col: str, out_col: str,
+                 distributed: bool = False, label: str = "median") -> DataFrame:
+    """One row per group: the exact median of ``col`` (NULLs ignored).
+
+    ``distributed=False``: ``percentile`` (value -> count map per group).
+    ``distributed=True``: the (group, value) histogram is aggregated with
+    map-side combine, its running counts come from the sort-based position
+    operator, and the one or two histogram entries covering the middle
+    positions give the median: no task ever holds a whole group or its whole
+    set of distinct values."""
+    group = list(group)
+    rows = df.filter(F.col(col).isNotNull())
+    if not distributed:
+        return rows.groupBy(*group).agg(F.percentile(F.col(col), 0.5).alias(out_col))
+    hist = rows.groupBy(*group, col).agg(F.count(F.lit(1)).alias("_cnt"))
+    pos = group_positions(hist, group, [(col, "asc")], F.col("_cnt"), label)
+    lo = F.floor((F.col("_total") - 1) / 2)
+    hi = F.floor(F.col("_total") / 2)
+    end = F.col("_before") + F.col("_cnt")
+    covers_lo = (F.col("_before") <= lo) & (lo < end)
+    covers_hi = (F.col("_before") <= hi) & (hi < end)
+    picked = pos.filter(covers_lo | covers_hi)
+    v = F.col(col).cast("double")
+    return picked.groupBy(*group).agg(
+        ((F.max(F.when(covers_lo, v)) + F.max(F.when(covers_hi, v))) / 2).alias(out_col))

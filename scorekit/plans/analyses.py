@@ -38,6 +38,7 @@ from ..functions import (
 )
 from ..operators import (
     group_stats,
+    median_table,
     ntile_of,
     native_window_ok,
     ntile_within,
@@ -48,7 +49,7 @@ from ..operators import (
     row_positions,
     topk_within,
 )
-from ..session import materialize, with_scalars
+from ..session import join_checked, materialize, with_scalars
 
 # Labels and thresholds of the analyses.
 SIZE_CUTS = ((2000, "Large"), (300, "Mid size"))
@@ -167,9 +168,9 @@ def leader_classes(df: DataFrame, group: str = "Country", score: str = "Rating",
     native = native_window_ok(base, [group])
     tiled = ntile_within(base, [group], order, tiles, "rating_quartile", label="q5-tile",
                          native=native)
-    bench = group_stats(tiled, [group],
-                        [F.percentile(F.col(weight), 0.5).alias("median_ratingcount")],
-                        label="q5-median")
+    medians = median_table(base, [group], weight, "median_ratingcount",
+                           distributed=not native, label="q5-median")
+    bench = join_checked(tiled, medians, [group], label="q5-median-side")
     top = F.col("rating_quartile") == 1
     w, med = F.col(weight), F.col("median_ratingcount")
     classified = (bench
@@ -331,16 +332,18 @@ def mature_underperformers(df: DataFrame, as_of_year: int | None = None,
                            zero_year_as_null: bool = False) -> DataFrame:
     base = _age_rows(df, as_of_year, ["Rating"], zero_year_as_null).select(
         "Name", group, "Rating", "company_age")
-    bench = group_stats(base, [group], [
-        F.percentile(F.col("company_age"), 0.5).alias("median_company_age"),
-        exact_avg("Rating", 1).alias("country_avg_rating")], label="q10-bench")
+    native = native_window_ok(base, [group])
+    stats = base.groupBy(group).agg(exact_avg("Rating", 1).alias("country_avg_rating")).join(
+        median_table(base, [group], "company_age", "median_company_age",
+                     distributed=not native, label="q10-median"), group)
+    bench = join_checked(base, stats, [group], label="q10-bench")
     under = (bench.filter((F.col("company_age") > F.col("median_company_age"))
                           & (F.col("Rating") < F.col("country_avg_rating")))
                   .withColumn("rating_gap",
                               round_half_away(F.col("country_avg_rating") - F.col("Rating"), 3)))
     ranked = rank_within(under, [group], [("rating_gap", "desc"), ("company_age", "desc"),
                                           ("Name", "asc")], "underperformance_rank", "rank",
-                         label="q10-rank")
+                         label="q10-rank", native=native)
     return (ranked.select(group, "Name", "company_age", "median_company_age", "Rating",
                           "country_avg_rating", "rating_gap",
                           F.col("underperformance_rank").cast("long"))
@@ -385,10 +388,12 @@ def combined_segments(df: DataFrame, as_of_year: int | None = None,
                       zero_year_as_null: bool = False) -> DataFrame:
     base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"], zero_year_as_null).select(
         "Name", group, "Rating", "Employees_Count", "company_age")
-    bench = group_stats(base, [group], [
-        F.percentile(F.col("company_age"), 0.5).alias("median_company_age"),
-        F.percentile(F.col("Employees_Count"), 0.5).alias("median_employees")],
-        label="q12-medians")
+    native = native_window_ok(base, [group])
+    medians = median_table(base, [group], "company_age", "median_company_age",
+                           distributed=not native, label="q12-age").join(
+        median_table(base, [group], "Employees_Count", "median_employees",
+                     distributed=not native, label="q12-emp"), group)
+    bench = join_checked(base, medians, [group], label="q12-medians")
     labeled = bench.withColumn("combined_segment", F.concat(
         F.when(F.col("company_age") <= F.col("median_company_age"), "Young").otherwise("Old"),
         F.lit(" + "),

@@ -107,3 +107,24 @@ def test_hot_group_is_spread_over_partitions(spark):
     expect = sorted((i, pos) for pos, (i, _) in enumerate(
         sorted(((r[0], r[2]) for r in rows if r[1] == "HOT"), key=lambda t: (t[1], t[0]))))
     assert got == expect
+
+
+def test_distributed_median_brute_force(spark, distributed):
+    import statistics
+
+    from scorekit.operators import group_median, median_table
+    rows = _skewed_rows(5, 333)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.g: r.m for r in median_table(df, ["g"], "y", "m", distributed=True).collect()}
+    groups = {}
+    for _, g, _, y in rows:
+        groups.setdefault(g, []).append(y)
+    assert got == {g: float(statistics.median(v)) for g, v in groups.items()}
+    n_and_m = {r.g: (r.n, r.m) for r in group_median(df, ["g"], "x", "m").collect()}
+    xs = {}
+    for _, g, x, _ in rows:
+        if x is not None:
+            xs.setdefault(g, []).append(x)
+    assert n_and_m == {g: (len(v), float(statistics.median(v))) for g, v in xs.items()}
+    overall = group_median(df, [], "y", "m").first()
+    assert (overall.n, overall.m) == (len(rows), float(statistics.median(r[3] for r in rows)))
