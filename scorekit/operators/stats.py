@@ -67,9 +67,13 @@ def group_median(df: DataFrame, group: Sequence[str], col: str, out_col: str = "
 
 
 def median_table(df: DataFrame, group: Sequence[str], col: str, out_col: str,
-                 distributed: bool = False, label: str = "median") -> DataFrame:
+                 distributed: bool = False, label: str = "median",
+                 weight: str | None = None) -> DataFrame:
     """One row per group: the exact median of ``col`` (NULLs ignored).
 
+    ``weight`` names an integer column giving each row's multiplicity (a
+    histogram input); by default every row counts once.
+
     ``distributed=False``: ``percentile`` (value -> count map per group).
     ``distributed=True``: the (group, value) histogram is aggregated with
     map-side combine, its running counts come from the sort-based position
@@ -78,9 +82,12 @@ def median_table(df: DataFrame, group: Sequence[str], col: str, out_col: str,
     set of distinct values."""
     group = list(group)
     rows = df.filter(F.col(col).isNotNull())
+    freq = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     if not distributed:
-        return rows.groupBy(*group).agg(F.percentile(F.col(col), 0.5).alias(out_col))
-    hist = rows.groupBy(*group, col).agg(F.count(F.lit(1)).alias("_cnt"))
+        pct = (F.percentile(F.col(col), F.lit(0.5), freq) if weight
+               else F.percentile(F.col(col), 0.5))
+        return rows.groupBy(*group).agg(pct.alias(out_col))
+    hist = rows.groupBy(*group, col).agg(F.sum(freq).alias("_cnt"))
     pos = group_positions(hist, group, [(col, "asc")], F.col("_cnt"), label)
     lo = F.floor((F.col("_total") - 1) / 2)
     hi = F.floor(F.col("_total") / 2)

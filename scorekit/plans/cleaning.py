@@ -43,8 +43,15 @@ def parse_fields(raw: DataFrame, on_error: str = "raise") -> DataFrame:
 
 
 def global_median(df: DataFrame, col: str) -> Column:
-    """Exact median of a column over all rows, as a scalar subquery."""
-    return df.agg(F.percentile(F.col(col), 0.5)).scalar()
+    """Exact median of a column over all rows, as a scalar subquery.
+
+    ``percentile`` merges per-task value maps in one task; beyond the
+    size bound the distributed histogram median is used instead."""
+    from ..operators import median_table, native_window_ok
+    rows = df.select(col)
+    distributed = not native_window_ok(rows, [])
+    return median_table(rows, [], col, "_median", distributed=distributed,
+                        label="global-median").scalar()
 
 
 def impute_median(df: DataFrame, col: str = "Employees Count") -> DataFrame:

@@ -105,9 +105,12 @@ def start_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
 
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
     """The ingested rows with the global median of employees filled in."""
+    from ..operators import median_table, native_window_ok
     hist = (spark.read.parquet(f"{out}_employees").groupBy("value")
                  .agg(F.sum("count").alias("n")))
-    median = hist.agg(F.percentile(F.col("value"), F.lit(0.5), F.col("n"))).scalar()
+    median = median_table(hist, [], "value", "_median", weight="n",
+                          distributed=not native_window_ok(hist, []),
+                          label="ingest-median").scalar()
     rows = spark.read.parquet(out)
     return (rows.withColumn("Employees Count", F.coalesce(F.col("Employees Count"), median))
                 .select(*ORDER, *CLEAN_COLUMNS))

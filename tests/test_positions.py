@@ -128,3 +128,14 @@ def test_distributed_median_brute_force(spark, distributed):
     assert n_and_m == {g: (len(v), float(statistics.median(v))) for g, v in xs.items()}
     overall = group_median(df, [], "y", "m").first()
     assert (overall.n, overall.m) == (len(rows), float(statistics.median(r[3] for r in rows)))
+
+
+def test_weighted_median_matches_expanded_rows(spark, distributed):
+    from scorekit.operators import median_table
+    hist = [(1.0, 3), (2.0, 1), (5.0, 4), (7.0, 2)]  # expands to 10 rows
+    df = spark.createDataFrame(hist, "v double, n long")
+    expanded = sorted(v for v, n in hist for _ in range(n))
+    expect = (expanded[4] + expanded[5]) / 2
+    for dist in (False, True):
+        got = median_table(df, [], "v", "m", distributed=dist, weight="n").first().m
+        assert got == expect
