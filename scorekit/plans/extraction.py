@@ -22,7 +22,6 @@ from ..sources import html as H
 CARD_SCHEMA = ("page_id long, pos int, name string, rating string, rating_count string, "
                "link string")
 DETAIL_SCHEMA = "url string, founded_year string, headquarters string, employees_text string"
-AD_SCHEMA = "page_id long, pos int, ad_text string"
 
 # The selectors and labels of the scraped pages.
 CARD_CLASS = "companyCardWrapper"
@@ -99,13 +98,15 @@ def _details_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                           "employees_text"])
 
 
-def _ads_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for pid, html in zip(pdf["page_id"], pdf["html"]):
-            for i, el in enumerate(H.find_all(H.parse(html), class_="ad")):
-                rows.append((pid, i, el.text()))
-        yield pd.DataFrame(rows, columns=["page_id", "pos", "ad_text"])
+def _class_text_udf(class_name: str, out_col: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for pid, html in zip(pdf["page_id"], pdf["html"]):
+                for i, el in enumerate(H.find_all(H.parse(html), class_=class_name)):
+                    rows.append((pid, i, el.text()))
+            yield pd.DataFrame(rows, columns=["page_id", "pos", out_col])
+    return run
 
 
 def extract_cards(listing: DataFrame) -> DataFrame:
@@ -128,11 +129,12 @@ def enrich_cards(cards: DataFrame, details: DataFrame) -> DataFrame:
                          "founded_year", "headquarters", "employees"))
 
 
-def extract_class_text(pages: DataFrame, class_name: str = "ad") -> DataFrame:
+def extract_class_text(pages: DataFrame, class_name: str = "ad",
+                       out_col: str = "ad_text") -> DataFrame:
     """Text of every element carrying ``class_name``, per page, in document order."""
-    if class_name != "ad":
-        raise ValueError("only the 'ad' class is wired to a schema here")
-    return pages.select("page_id", "html").mapInPandas(_ads_udf, AD_SCHEMA)
+    schema = f"page_id long, pos int, {out_col} string"
+    return pages.select("page_id", "html").mapInPandas(_class_text_udf(class_name, out_col),
+                                                       schema)
 
 
 # ----------------------------------------------------------------- JVM regex

@@ -49,3 +49,11 @@ def test_page_queries_on_real_pages(spark):
     assert lc.total_links >= lc.unique_links > 0
     ads = X.extract_class_text(pages).collect()
     assert len(ads) == pages.count()
+
+
+def test_class_text_any_class(spark):
+    pages = spark.createDataFrame(
+        [(1, '<div class="rating_text a">4.1</div><p class="x rating_text">3.9</p>'),
+         (2, "<p>none</p>")], "page_id long, html string")
+    out = X.extract_class_text(pages, "rating_text", "txt").orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.pos, r.txt) for r in out] == [(1, 0, "4.1"), (1, 1, "3.9")]
