@@ -137,3 +137,9 @@ def test_five_column_layout(spark):
                                "`Founded Year` string, Headquarters string")
     out = normalize_layout(df)
     assert "Company_year" in out.columns and out.first()["Employees Count"] is None
+
+
+def test_current_year_default(spark):
+    df = companies(spark, SF_SMALL)
+    rows = A.competitive_intensity(df).collect()  # as_of_year=None -> year(current_date())
+    assert rows and all(r.avg_company_age >= 2002 - 2003 for r in rows)
