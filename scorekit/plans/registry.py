@@ -71,6 +71,31 @@ ORDERS_QUERIES: dict[str, Query] = {
 }
 
 
+def _distributed(query: Query) -> Query:
+    """Build ``query`` with the size check forced to the skew-safe distributed
+    path (sort-based positions, histogram ranks and medians).  The path is
+    chosen while the plan is built, so the returned DataFrame keeps it."""
+    from ..operators.positions import MAX_GROUP_ROWS_CONF
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        old = spark.conf.get(MAX_GROUP_ROWS_CONF, None)
+        spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
+        try:
+            return query(spark, sf_dir)
+        finally:
+            if old is None:
+                spark.conf.unset(MAX_GROUP_ROWS_CONF)
+            else:
+                spark.conf.set(MAX_GROUP_ROWS_CONF, old)
+    run.__name__ = query.__name__ + "_distributed"
+    return run
+
+
+DISTRIBUTED_VARIANTS = ("group_median", "hidden_popular_leaders", "size_overperformers",
+                        "review_volume_bias", "competitive_intensity", "mature_underperformers",
+                        "combined_segments", "composite_rank", "hq_concentration")
+
+
 def _on_raw(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(stored(spark, sf_dir, "companies_raw"))
@@ -195,11 +220,14 @@ EXTRACTION_QUERIES: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    return {**ANALYSIS_QUERIES, **ORDERS_QUERIES, **CLEANING_QUERIES, **EXTRACTION_QUERIES}
+    dist = {f"{n}_distributed": _distributed(ANALYSIS_QUERIES[n]) for n in DISTRIBUTED_VARIANTS}
+    return {**ANALYSIS_QUERIES, **dist, **ORDERS_QUERIES, **CLEANING_QUERIES,
+            **EXTRACTION_QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
     from .oracle_cleaning import CLEANING
     from .oracle_sql import ANALYSES
     from .oracle_extraction import EXTRACTION
-    return {**ANALYSES, **CLEANING, **EXTRACTION}
+    dist = {f"{n}_distributed": ANALYSES[n] for n in DISTRIBUTED_VARIANTS}
+    return {**ANALYSES, **dist, **CLEANING, **EXTRACTION}

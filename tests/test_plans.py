@@ -64,3 +64,13 @@ def test_benchmark_join_broadcast_only_after_size_check(spark):
         assert "SortMergeJoin" in _plan(big) and "BroadcastHashJoin" not in _plan(big)
     finally:
         spark.conf.set(key, old)
+
+
+def test_distributed_variants_take_the_distributed_path(spark):
+    from __spark_entry__ import queries
+    q = queries()
+    dist = _plan(q["composite_rank_distributed"](spark, SF_SMALL))
+    native = _plan(q["composite_rank"](spark, SF_SMALL))
+    # the distributed plan joins the materialised per-(partition, group) offsets
+    assert "_seg_off" in dist and "_seg_off" not in native
+    assert "Window" in native
