@@ -8,13 +8,17 @@ current year.
 
 Scale notes
 -----------
-* Per-group windows over base rows (NTILE, full ROW_NUMBER/RANK) use the
-  skew-safe operators of :mod:`scorekit.operators.positions`; top-k windows
-  rely on the partial ``WindowGroupLimit`` Catalyst inserts before the shuffle.
+* Per-group windows over base rows (NTILE, full ROW_NUMBER/RANK) and exact
+  medians go through :mod:`scorekit.operators`: one size check per analysis
+  decides between a native window / ``percentile`` (every group fits a task)
+  and the skew-safe sort-based path (hot groups are range-split).  Top-k
+  windows rely on the partial ``WindowGroupLimit`` Catalyst inserts before
+  the shuffle.
 * Per-group benchmarks are aggregates with map-side combine, joined back by a
-  size-checked broadcast.  Global scalars are scalar subqueries.
-* Native windows remain only over aggregates whose partitions are bounded by
-  the label set (age segments, size segments: at most four rows per group).
+  size-checked broadcast.  Global scalars are one scalar subquery.
+* Unchecked native windows remain only over aggregates whose partitions are
+  bounded by the label set (age segments, size segments: at most four rows
+  per group).
 """
 
 from __future__ import annotations
