@@ -168,13 +168,13 @@ def leader_classes(df: DataFrame, group: str = "Country", score: str = "Rating",
                    tiles: int = 4) -> DataFrame:
     base = _not_null(df, [score, weight]).select(key, name, group, score, weight)
     order = [(score, "desc"), (weight, "desc"), (name, "asc"), (key, "asc")]
-    # one size check serves both windows: (group, class) parts are no larger than groups
+    # one size check serves both rankings: (group, class) parts are no larger than groups
     native = native_window_ok(base, [group])
-    tiled = ntile_within(base, [group], order, tiles, "rating_quartile", label="q5-tile",
-                         native=native)
+    pos = row_positions(base, [group], order, "_row", "_n", label="q5-tile", native=native)
+    pos = pos.withColumn("rating_quartile", ntile_of("_row", "_n", tiles))
     medians = median_table(base, [group], weight, "median_ratingcount",
                            distributed=not native, label="q5-median")
-    bench = join_checked(tiled, medians, [group], label="q5-median-side")
+    bench = join_checked(pos, medians, [group], label="q5-median-side")
     top = F.col("rating_quartile") == 1
     w, med = F.col(weight), F.col("median_ratingcount")
     classified = (bench
@@ -183,8 +183,21 @@ def leader_classes(df: DataFrame, group: str = "Country", score: str = "Rating",
                                .when(top & (w >= med), LEADER_ORDER[1])
                                .otherwise(LEADER_ORDER[2]))
                   .withColumn("review_gap_to_median", round_half_away(med - w, 2)))
-    ranked = row_positions(classified, [group, "performance_group"], order,
-                           "segment_rank", "_seg_n", label="q5-rank", native=native)
+    if native:
+        # the second window reuses the group partitioning of the first
+        ranked = row_positions(classified, [group, "performance_group"], order,
+                               "segment_rank", "_seg_n", native=True).drop("_seg_n")
+    else:
+        # Rows outside tile 1 are exactly the third class and hold positions t1+1..n
+        # of the same order, so their rank is arithmetic; only tile 1 (<= 1/tiles of
+        # the rows) is sorted again per (group, class).
+        q = F.floor(F.col("_n") / tiles)
+        first_tile = F.when(F.col("_n") % tiles > 0, q + 1).otherwise(q)
+        rest = (classified.filter(~top)
+                .withColumn("segment_rank", (F.col("_row") - first_tile).cast("long")))
+        leaders = row_positions(classified.filter(top), [group, "performance_group"], order,
+                                "segment_rank", "_seg_n", label="q5-rank", native=False)
+        ranked = leaders.drop("_seg_n").unionByName(rest)
     return (ranked.select(group, name, score, weight, "median_ratingcount", "performance_group",
                           "review_gap_to_median", F.col("segment_rank").cast("long"))
                   .orderBy(group, field_position("performance_group", LEADER_ORDER),
