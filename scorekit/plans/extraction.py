@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import employee_count
+from ..session import ship_package
 from ..sources import html as H
 
 CARD_SCHEMA = ("page_id long, pos int, name string, rating string, rating_count string, "
@@ -111,11 +112,13 @@ def _class_text_udf(class_name: str, out_col: str):
 
 def extract_cards(listing: DataFrame) -> DataFrame:
     """Listing pages ``(page_id, html)`` -> one row per company card."""
+    ship_package(listing.sparkSession)
     return listing.select("page_id", "html").mapInPandas(_cards_udf, CARD_SCHEMA)
 
 
 def extract_details(detail: DataFrame) -> DataFrame:
     """Overview pages ``(url, html)`` -> founded year, HQ and employee text per URL."""
+    ship_package(detail.sparkSession)
     return detail.select("url", "html").mapInPandas(_details_udf, DETAIL_SCHEMA)
 
 
@@ -133,6 +136,7 @@ def extract_class_text(pages: DataFrame, class_name: str = "ad",
                        out_col: str = "ad_text") -> DataFrame:
     """Text of every element carrying ``class_name``, per page, in document order."""
     schema = f"page_id long, pos int, {out_col} string"
+    ship_package(pages.sparkSession)
     return pages.select("page_id", "html").mapInPandas(_class_text_udf(class_name, out_col),
                                                        schema)
 

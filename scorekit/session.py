@@ -147,3 +147,41 @@ def session_key(spark: SparkSession) -> str:
         return spark.sparkContext.applicationId
     except Exception:
         return spark.conf.get("spark.app.id", "app")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``scorekit`` importable in Python workers (what ``--py-files`` does).
+
+    Operators that run Python on executors (``mapInPandas``,
+    ``applyInPandasWithState``) call this once per application: the package is
+    zipped into the scratch folder (or a driver temp folder when the scratch
+    folder is not on a local filesystem) and added with ``addPyFile``, which
+    ships it to every executor."""
+    import zipfile
+
+    key = session_key(spark)
+    if key in _SHIPPED:
+        return
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote sessions ship artifacts their own way
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = scratch_dir(spark)
+    local = root[len("file:"):] if root.startswith("file:") else root
+    if "://" in local:
+        local = tempfile.mkdtemp(prefix="scorekit-pkg-")
+    os.makedirs(local, exist_ok=True)
+    target = os.path.join(local, f"scorekit-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, dirnames, filenames in os.walk(pkg):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for fn in filenames:
+                if fn.endswith(".py"):
+                    full = os.path.join(dirpath, fn)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)

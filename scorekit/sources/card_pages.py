@@ -62,12 +62,11 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(url, html)``: one overview page per card that has a link.
 
-    The fields come from a table of few files; they are hash-spread over the
-    shuffle partitions before rendering so that the CPU-heavy page parsing
-    downstream runs in parallel (the fields are smaller than the pages)."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    The fields come from a table of few files; they are hash-spread before
+    rendering so that the CPU-heavy page parsing downstream runs in parallel
+    (the fields are smaller than the pages; AQE sizes the partitions)."""
     f = (scraped_fields(spark, sf_dir).filter(F.col("pos") % 19 != 0)
-         .repartition(parts, "pos"))
+         .repartition("pos"))  # no fixed count: AQE sizes the partitions
     k = F.col("pos")
     year = F.coalesce(F.col("Company_year"), F.lit("not disclosed"))
     founded = (F.when(k % 4 == 0, F.concat(

@@ -89,6 +89,8 @@ def _source(spark: SparkSession, landing: str, files_per_trigger: int) -> DataFr
 def start_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
                  files_per_trigger: int = 1, once: bool = False) -> list[StreamingQuery]:
     """Start the row and histogram queries; returns both handles."""
+    from ..session import ship_package
+    ship_package(spark)
     firsts = (_cleaned(_source(spark, landing, files_per_trigger))
               .groupBy(*KEYS)
               .applyInPandasWithState(_keep_first, ROW_SCHEMA, STATE_SCHEMA, "append",

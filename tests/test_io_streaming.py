@@ -69,3 +69,15 @@ def test_release_intermediates(spark):
     assert os.path.exists(local)
     release_intermediates(spark)
     assert not os.path.exists(local)
+
+
+def test_entry_module_from_another_directory(tmp_path):
+    """The driver may import __spark_entry__ by file path from any directory."""
+    import subprocess
+    import sys
+    code = ("import importlib.util; s = importlib.util.spec_from_file_location("
+            "'e', '/root/repo/__spark_entry__.py'); m = importlib.util.module_from_spec(s); "
+            "s.loader.exec_module(m); print(len(m.queries()) == len(m.oracle_sql()))")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True,
+                         text=True, timeout=120)
+    assert out.stdout.strip().endswith("True"), out.stderr[-500:]
