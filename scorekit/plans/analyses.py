@@ -41,6 +41,7 @@ from ..functions import (
     weighted,
 )
 from ..operators import (
+    group_positions,
     group_stats,
     median_table,
     ntile_of,
@@ -53,7 +54,7 @@ from ..operators import (
     row_positions,
     topk_within,
 )
-from ..session import join_checked, materialize, with_scalars
+from ..session import join_checked, materialize, small_side, with_scalars
 
 # Labels and thresholds of the analyses.
 SIZE_CUTS = ((2000, "Large"), (300, "Mid size"))
@@ -99,6 +100,21 @@ def case_insensitive(df: DataFrame, cols: Sequence[str] = ("Country",),
     return df.withColumns({c: F.collate(F.col(c), collation) for c in cols})
 
 
+def _join_on_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Attach a keyed table (one row per key) to rows; NULL keys match NULL keys.
+    The table is broadcast only after its row count is checked."""
+    side, is_small = small_side(table, label)
+    renamed = {k: f"_k{i}" for i, k in enumerate(keys)}
+    side = side.select(*[F.col(k).alias(a) for k, a in renamed.items()],
+                       *[c for c in side.columns if c not in renamed])
+    cond = None
+    for k, a in renamed.items():
+        e = F.col(k).eqNullSafe(F.col(a))
+        cond = e if cond is None else cond & e
+    return rows.join(F.broadcast(side) if is_small else side, cond, "inner").drop(
+        *renamed.values())
+
+
 def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cond = None
     for c in cols:
@@ -273,11 +289,26 @@ def overperformers(df: DataFrame, tiles: int = 3, labels=TILE_LABELS, margin: fl
 def review_bias(df: DataFrame, tiles: int = 10, group: str = "Country", score: str = "Rating",
                 weight: str = "RatingCount", name: str = "Name", key: str = "id") -> DataFrame:
     base = _not_null(df, [score, weight]).select(key, name, group, score, weight)
-    # one sort serves both directions: the ascending order is the exact reverse
-    pos = row_positions(base, [group], [(weight, "desc"), (name, "asc"), (key, "asc")],
-                        label="q8-pos")
+    desc_order = [(weight, "desc"), (name, "asc"), (key, "asc")]
+    asc_order = [(weight, "asc"), (name, "asc"), (key, "asc")]
+    native = native_window_ok(base, [group])
+    pos = row_positions(base, [group], desc_order, label="q8-pos", native=native)
+    if native:
+        pos = pos.withColumn("_arow", F.row_number().over(
+            Window.partitionBy(group).orderBy(*order_exprs(asc_order))))
+    else:
+        # Rows tied on the weight keep their (name, key) order in both directions, so
+        # the ascending position follows from the descending one, the rank of the
+        # weight and the tie count: asc = n - m - 2*rank + desc + 2.  Rank and tie
+        # count come from the (group, weight) histogram; no second sort of the rows.
+        hist = base.groupBy(group, weight).agg(F.count(F.lit(1)).alias("_m"))
+        ties = group_positions(hist, [group], [(weight, "desc")], F.col("_m"), "q8-ties")
+        ties = ties.select(group, weight, (F.col("_before") + 1).alias("_wrank"), "_m")
+        pos = _join_on_keys(pos, ties, [group, weight], "q8-ties-side")
+        pos = pos.withColumn("_arow", F.col("_n") - F.col("_m") - 2 * F.col("_wrank")
+                             + F.col("_row") + 2)
     most = ntile_of("_row", "_n", tiles)
-    least = ntile_of(F.col("_n") - F.col("_row") + 1, "_n", tiles)
+    least = ntile_of("_arow", "_n", tiles)
     extreme = (pos.withColumn("_most", most).withColumn("_least", least)
                   .filter((F.col("_most") == 1) | (F.col("_least") == 1))
                   .withColumn("review_group", F.when(F.col("_most") == 1, MOST_REVIEWED)
