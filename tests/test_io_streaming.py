@@ -81,3 +81,13 @@ def test_entry_module_from_another_directory(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True,
                          text=True, timeout=120)
     assert out.stdout.strip().endswith("True"), out.stderr[-500:]
+
+
+def test_cli_lists_every_query():
+    import subprocess
+    import sys
+
+    from __spark_entry__ import queries
+    out = subprocess.run([sys.executable, "-m", "scorekit", "list"], cwd="/root/repo",
+                         capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == list(queries())
