@@ -5,18 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from ..functions.text import country_of, employee_count, suffixed_count
 from ..sources import card_pages as P
 from ..sources.bindings import scraped_fields, stored
 from ..sources.tables import read_table
-from . import extraction as X
 from . import analyses as A
 from . import cleaning as C
+from . import extraction as X
 from . import quality as Q
-from .oracle_sql import AS_OF_YEAR
+from .oracle_sql import AS_OF_YEAR  # the year both sides pin YEAR(CURDATE()) to
 
 Query = Callable[[SparkSession, str], DataFrame]
 
