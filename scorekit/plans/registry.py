@@ -150,10 +150,9 @@ def _streaming_ingest(raw):
 
 
 def _on_loaded(fn, **kw) -> Query:
-    """An analysis over the cleaned rows loaded into the companies layout."""
+    """An analysis over the cleaned rows loaded into the companies layout (stored once)."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = stored(spark, sf_dir, "companies_raw")
-        return fn(C.to_companies(C.clean_companies(raw, keep_order_columns=True)), **kw)
+        return fn(stored(spark, sf_dir, "companies_clean"), **kw)
     run.__name__ = fn.__name__ + "_clean"
     return run
 

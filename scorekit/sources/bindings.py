@@ -28,11 +28,18 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (session_key(spark), os.path.abspath(sf_dir), name)
     if key not in _STORED:
         build = {"companies": companies, "companies_raw": companies_raw,
-                 "entities_orders": entities_orders}[name]
+                 "entities_orders": entities_orders, "companies_clean": companies_clean}[name]
         _STORED[key] = materialize(build(spark, sf_dir), name)
     return _STORED[key]
 
 
+def companies_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scraped rows after the cleaning job, loaded into the companies layout."""
+    from ..plans.cleaning import clean_companies, to_companies
+    raw = stored(spark, sf_dir, "companies_raw")
+    return to_companies(clean_companies(raw, keep_order_columns=True))
+
+
 def forget_stored(spark: SparkSession) -> None:
     """Drop this session's stored-table handles (their files were released)."""
     key = session_key(spark)
