@@ -4,12 +4,13 @@ Crawl runs drop CSV batches (``batch``, ``pos`` + scraped columns) into a
 landing folder.  Two streaming queries read it:
 
 * **rows**: the same native parsing as the batch cleaning job, constant
-  defaults, rows without name or rating dropped, then a stateful keep-first
-  per (Name, Headquarters) with ``applyInPandasWithState``.  The state store
-  remembers which keys were already emitted, so a micro-batch costs its own
-  size (no re-reading of the stored table).  Within a micro-batch the row with
-  the smallest (batch, pos) wins; across micro-batches the earlier one wins,
-  since files are taken oldest first.  The Parquet file sink is exactly-once.
+  defaults, rows without name or rating dropped, then a streaming aggregation
+  ``min_by(row, (batch, pos))`` per (Name, Headquarters).  It is combined
+  map-side before its shuffle, so a heavily duplicated key never reaches one
+  task whole, and the state store keeps one struct per key: a micro-batch costs
+  its own size.  In update mode each micro-batch emits the first-ever row of
+  every key it touched; the rows are written to ``<out>/epoch=n`` (overwritten
+  on replay, so idempotent) and a final ``min_by`` on read keeps one per key.
 * **employee histogram**: the global median of employees depends on every row,
   including rows later dropped.  Each micro-batch writes the histogram of its
   parsed employee values (one row per distinct value) to ``<out>_employees``;
@@ -21,51 +22,23 @@ merged histogram; the result equals the batch cleaning job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import (
-    BooleanType,
-    DoubleType,
-    IntegerType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-)
-
-from ..plans.cleaning import CLEAN_COLUMNS, impute_constants, parse_fields
+
+from ..plans.cleaning import CLEAN_COLUMNS, impute_constants, keep_first, parse_fields
 from ..schema import COMPANIES_RAW
 
 KEYS = ("Name", "Headquarters")
 ORDER = ("batch", "pos")
 
-ROW_SCHEMA = StructType([
-    StructField("batch", IntegerType()),
-    StructField("pos", LongType()),
-    StructField("Name", StringType()),
-    StructField("Rating", DoubleType()),
-    StructField("Headquarters", StringType()),
-    StructField("Company_year", LongType()),
-    StructField("Employees Count", DoubleType()),
-    StructField("RatingCount", DoubleType()),
-    StructField("Country", StringType()),
-])
-STATE_SCHEMA = StructType([StructField("emitted", BooleanType())])
-COLUMNS = [f.name for f in ROW_SCHEMA.fields]
-
-
-def _keep_first(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Emit the first row of a key once; later rows of the key are dropped."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    if state.exists or rows.empty:
-        return
-    state.update((True,))
-    yield rows.sort_values(list(ORDER), kind="stable").head(1)[COLUMNS]
+COLUMNS = [*ORDER, *CLEAN_COLUMNS]
+
+
+def _write_firsts(out: str):
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch.select("_first.*").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+    return run
 
 
 def _cleaned(stream: DataFrame) -> DataFrame:
@@ -89,14 +62,11 @@ def _source(spark: SparkSession, landing: str, files_per_trigger: int) -> DataFr
 def start_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
                  files_per_trigger: int = 1, once: bool = False) -> list[StreamingQuery]:
     """Start the row and histogram queries; returns both handles."""
-    from ..session import ship_package
-    ship_package(spark)
     firsts = (_cleaned(_source(spark, landing, files_per_trigger))
               .groupBy(*KEYS)
-              .applyInPandasWithState(_keep_first, ROW_SCHEMA, STATE_SCHEMA, "append",
-                                      GroupStateTimeout.NoTimeout))
-    rows = (firsts.writeStream.format("parquet").option("path", out)
-                  .option("checkpointLocation", f"{checkpoint}/rows").outputMode("append"))
+              .agg(F.min_by(F.struct(*COLUMNS), F.struct(*ORDER)).alias("_first")))
+    rows = (firsts.writeStream.outputMode("update").foreachBatch(_write_firsts(out))
+                  .option("checkpointLocation", f"{checkpoint}/rows"))
     hist = (_source(spark, landing, files_per_trigger).writeStream
             .foreachBatch(_write_histogram(out))
             .option("checkpointLocation", f"{checkpoint}/employees"))
@@ -113,7 +83,7 @@ def read_ingested(spark: SparkSession, out: str) -> DataFrame:
     median = median_table(hist, [], "value", "_median", weight="n",
                           distributed=not native_window_ok(hist, []),
                           label="ingest-median").scalar()
-    rows = spark.read.parquet(out)
+    rows = keep_first(spark.read.parquet(out).drop("epoch"), list(KEYS), list(ORDER))
     return (rows.withColumn("Employees Count", F.coalesce(F.col("Employees Count"), median))
                 .select(*ORDER, *CLEAN_COLUMNS))
 
