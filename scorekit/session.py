@@ -155,8 +155,8 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``scorekit`` importable in Python workers (what ``--py-files`` does).
 
-    Operators that run Python on executors (``mapInPandas``,
-    ``applyInPandasWithState``) call this once per application: the package is
+    Operators that run Python on executors (``mapInPandas``) call this once
+    per application: the package is
     zipped into the scratch folder (or a driver temp folder when the scratch
     folder is not on a local filesystem) and added with ``addPyFile``, which
     ships it to every executor."""
