@@ -75,8 +75,11 @@ def test_entry_module_from_another_directory(tmp_path):
     """The driver may import __spark_entry__ by file path from any directory."""
     import subprocess
     import sys
+    import os
+    entry = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
+                         "__spark_entry__.py")
     code = ("import importlib.util; s = importlib.util.spec_from_file_location("
-            "'e', '/root/repo/__spark_entry__.py'); m = importlib.util.module_from_spec(s); "
+            f"'e', {entry!r}); m = importlib.util.module_from_spec(s); "
             "s.loader.exec_module(m); print(len(m.queries()) == len(m.oracle_sql()))")
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True,
                          text=True, timeout=120)
@@ -87,7 +90,10 @@ def test_cli_lists_every_query():
     import subprocess
     import sys
 
+    import os
+
     from __spark_entry__ import queries
-    out = subprocess.run([sys.executable, "-m", "scorekit", "list"], cwd="/root/repo",
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-m", "scorekit", "list"], cwd=repo,
                          capture_output=True, text=True, timeout=120)
     assert out.stdout.split() == list(queries())
