@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: The white space of the contracts: space, tab, LF, VT, FF, CR.
 WS = r"[\x20\x09-\x0D]+"
 NON_WS = r"[^\x20\x09-\x0D]+"
@@ -74,3 +76,29 @@ def with_bit(df: DataFrame, slot: Column, bitmap: DataFrame, out: str) -> DataFr
     bit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(
         F.expr(f"shiftleft(1, int(`{pos}` % 8))"))
     return d.withColumn(out, F.coalesce(bit != 0, F.lit(False))).drop(block, bits, pos)
+
+
+def content_key(id_col: str | Column, text: Column) -> Column:
+    """A 256-bit key of a row's id and text; rows that share it are repeated rows."""
+    i = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.sha2(F.concat_ws(":", i.cast("string"), text), 256)
+
+
+def remove_losers(docs: DataFrame, key: Column, losing: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``losing`` (``key, keeps``) names.
+
+    ``keeps`` is 0 where every row of the key goes, 1 where one of its repeated
+    rows stays.  The losing keys form a bitmap; only rows that hit it shuffle
+    for the exact comparison, so other texts are not moved."""
+    k, hit, keeps = fresh(docs, "_key", "_hit", "_keeps")
+    losing = materialize(losing.select(F.col("key").alias(k), F.col("keeps").alias(keeps)),
+                         "losing")
+    n_bits = bitmap_bits(losing.count())
+    slot = slot_of(F.col(k), 5, n_bits)
+    bitmap = materialize(bitmap_of(losing.select(slot.alias("slot"))), "losing-slots")
+    d = with_bit(docs.withColumn(k, key), slot, bitmap, hit)
+    tested = d.where(F.col(hit)).drop(hit).join(losing, k, "left")
+    parts = [d.where(~F.col(hit)), tested.where(F.col(keeps).isNull()),
+             tested.where(F.col(keeps) == 1).dropDuplicates([k])]
+    out = [p.select(*[F.col(f"`{c}`") for c in docs.columns]) for p in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])

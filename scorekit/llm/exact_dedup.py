@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WS, bitmap_bits, bitmap_of, fresh, slot_of, text_of, with_bit
+from .common import (WS, bitmap_bits, bitmap_of, content_key, remove_losers, slot_of,
+                     text_of, with_bit)
 
 
 def normalised(text):
@@ -70,26 +71,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Texts do not shuffle unless they may belong to a group that loses rows:
-    those keys form a second bitmap, and only rows that hit it are joined.
-    Of fully repeated rows one stays."""
-    key, sha, hit, keeps = fresh(docs, "_key", "_sha", "_hit", "_keeps")
+    Texts do not shuffle unless their key may be one that loses rows.  Of fully
+    repeated rows one stays."""
     groups = exact_groups(docs, id_col, text_col).where("group_size > 1")
-    losing = materialize(
-        groups.groupBy("id", "sha")
+    sha = F.sha2(normalised(text_col), 256)
+    losing = (groups.groupBy(content_key("id", F.lower(F.hex("sha"))).alias("key"))
               .agg(F.max((F.col("row") == F.col("keep_row")).cast("int")).alias("keeps"),
                    F.count(F.lit(1)).alias("n"))
-              .where("keeps < n")
-              .select(F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.hex("sha")), 256)
-                       .alias(key), F.col("keeps").alias(keeps)), "losing")
-    n_bits = bitmap_bits(losing.count())
-    bitmap = materialize(bitmap_of(losing.select(slot_of(F.col(key), 5, n_bits).alias("slot"))),
-                         "losing-slots")
-    d = docs.withColumn(sha, F.upper(F.sha2(normalised(text_col), 256)))
-    d = d.withColumn(key, F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), F.col(sha)), 256))
-    d = with_bit(d.drop(sha), slot_of(F.col(key), 5, n_bits), bitmap, hit)
-    straight = d.where(~F.col(hit)).drop(key, hit)
-    tested = d.where(F.col(hit)).drop(hit).join(losing, key, "left")
-    untouched = tested.where(F.col(keeps).isNull()).drop(key, keeps)
-    first = tested.where(F.col(keeps) == 1).dropDuplicates([key]).drop(key, keeps)
-    return straight.unionByName(untouched).unionByName(first).select(*docs.columns)
+              .where("keeps < n"))
+    return remove_losers(docs, content_key(id_col, sha), losing)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .near_dedup import near_groups
 from .packing import pack_documents
+from .substring_dedup import remove_repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +35,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), k=3, percent=85).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 _OP3 = r"""
