@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .mixing import mix
 from .near_dedup import near_groups
 from .packing import pack_documents
+from .resampling import resample
 from .substring_dedup import remove_repeats
 
 
@@ -36,6 +37,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), labels(spark, sf_dir)).select(
+        "doc_id", "n_grams", "importance", "gumbel", "kept")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -70,6 +76,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
