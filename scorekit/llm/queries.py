@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from . import quality_rules, toxicity
 from .exact_dedup import exact_groups
+from .licenses import license_digest
 from .mixing import mix
 from .near_dedup import near_groups
 from .packing import pack_documents
 from .resampling import resample
+from .secrets import secret_digest
 from .substring_dedup import remove_repeats
 
 
@@ -19,6 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                           public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -42,6 +48,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_grams", "importance", "gumbel", "kept")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(documents(spark, sf_dir))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -73,10 +83,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_licenses": op6_licenses,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
