@@ -15,7 +15,8 @@
    pairs that no pivot covered.  All of those pairs are compared, the same way:
    a bucket is dealt by hash into blocks of about ``BLOCK`` nodes, pairs of
    blocks meet in a task, and only survivors of step 3 leave it.  So no
-   candidate is dropped, and no task holds a whole bucket.
+   candidate is dropped, and no task holds a whole bucket.  Shingles that one of
+   these nodes alone has are counted first: they bound each pair exactly.
    Pairs already in one component are skipped, as their link changes nothing.
 
 Chances: at the threshold a pair shares no band with probability
@@ -227,10 +228,62 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                  .mapInArrow(run, "a long, b long"))
 
 
+def _common_sizes(sets: DataFrame) -> DataFrame:
+    """``(node, common)``: how many of a node's shingles any other given node has."""
+    schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches):
+        for x in batches:
+            for at in range(0, x.num_rows, 64):
+                part = x.slice(at, 64)
+                flat = [np.frombuffer(s.as_buffer(), np.int64) for s in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column(0).to_numpy(), [len(f) for f in flat])),
+                     pa.array(np.concatenate(flat))], schema=schema)
+
+    counted = (sets.select("node", "shingles").mapInArrow(run, "node long, shingle long")
+                   .groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"),
+                                           F.min("node").alias("node")))
+    own = counted.where("nodes = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    size = sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    return materialize(size.join(own, "node", "left").select(
+        "node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common")), "common")
+
+
+def _against_pivot(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, pivot, inside, extra)`` for every node of ``left`` and its buckets' pivots:
+    a bit for each of the pivot's shingles that the node has, and how many of its
+    other shingles any other node has."""
+    schema = pa.schema([("node", pa.int64()), ("pivot", pa.int64()), ("inside", pa.binary()),
+                        ("extra", pa.int64())])
+
+    def run(batches):
+        for x in batches:
+            inside, extra = [], []
+            for s, t, c in zip(x.column(2), x.column(3), x.column(4).to_pylist()):
+                bits = np.isin(np.frombuffer(t.as_buffer(), np.uint64),
+                               np.frombuffer(s.as_buffer(), np.uint64), assume_unique=True)
+                inside.append(np.packbits(bits).tobytes())
+                extra.append(c - int(bits.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [x.column(0), x.column(1), pa.array(inside, pa.binary()),
+                 pa.array(extra, pa.int64())], schema=schema)
+
+    pairs = left.where("node != pivot").select("node", "pivot").distinct()
+    own = sets.join(_common_sizes(sets), "node")
+    pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of_pivot"))
+    return materialize(pairs.join(own, "node").join(pivots, "pivot").select(
+        "node", "pivot", "shingles", "of_pivot", "common").mapInArrow(
+        run, "node long, pivot long, inside binary, extra long"), "against-pivot")
+
+
 def _rest_pairs(buckets: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataFrame:
     """Surviving pairs of different components in one bucket, the pivot's apart.
 
-    ``buckets``: ``(bucket, node, root, pivot, size)``."""
+    ``buckets``: ``(bucket, node, root, pivot, size, inside, extra)``.  Two sets share the
+    pivot's shingles that both have, and at most the smaller of their extra parts.  That
+    bounds their similarity exactly, and closely for variants of one text, which would
+    otherwise leave in pairs just below the threshold."""
     least = least_matches(percent, miss)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -243,11 +296,17 @@ def _rest_pairs(buckets: DataFrame, sigs: DataFrame, percent: int, miss: float)
                     sides = [sides[0], sides[0]]
                 if len(sides) < 2:
                     continue  # the other block of the bucket got no node
-                node, root, n = ([np.array([m[f] for m in s]) for s in sides]
-                                 for f in ("node", "root", "n"))
+                node, root, n, extra = ([np.array([m[f] for m in s]) for s in sides]
+                                        for f in ("node", "root", "n", "extra"))
+                inside = [np.unpackbits(np.frombuffer(b"".join(m["inside"] for m in s), np.uint8)
+                                        .reshape(len(s), -1), axis=1).astype(np.float32)
+                          for s in sides]
                 sig = [np.frombuffer(b"".join(m["sig"] for m in s), np.uint32)
                        .reshape(-1, N_HASHES) for s in sides]
                 differ = root[0][:, None] != root[1][None, :]
+                most = np.rint(inside[0] @ inside[1].T) + np.minimum(extra[0][:, None],
+                                                                     extra[1][None, :])
+                differ &= 100 * most >= percent * (n[0][:, None] + n[1][None, :] - most)
                 if same:
                     differ = np.triu(differ, 1)
                 i, j = np.nonzero(differ)
@@ -260,11 +319,12 @@ def _rest_pairs(buckets: DataFrame, sigs: DataFrame, percent: int, miss: float)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
-    d = buckets.where("node != pivot").join(sigs, "node")
+    d = buckets.join(sigs, "node")
     d = d.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     d = d.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     d = (d.groupBy("bucket", "blocks", "block")
-          .agg(F.collect_list(F.struct("node", "root", "n", "sig")).alias("members")))
+          .agg(F.collect_list(F.struct("node", "root", "n", "inside",
+                                                     "extra", "sig")).alias("members")))
     d = d.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     d = d.groupBy("bucket", F.least("block", "other").alias("lo"),
                   F.greatest("block", "other").alias("hi")).agg(
@@ -313,9 +373,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.count(F.lit(1)).alias("size"), F.min("root").alias("low"),
             F.max("root").alias("high")).where("size > 2 and low < high")
             .select("bucket", "size"), "split")
-        rest = materialize(_rest_pairs(placed.join(split, "bucket"), sigs, percent, miss), "rest")
-        if not rest.isEmpty():
-            more = _full_sets(docs, id_col, text_col, k, sketch, ends(rest))
+        left = materialize(placed.join(split, "bucket"), "left")
+        if not left.isEmpty():
+            more = _full_sets(docs, id_col, text_col, k, sketch, left.select("node").distinct())
+            left = left.join(_against_pivot(left, more), ["node", "pivot"])
+            rest = materialize(_rest_pairs(left, sigs, percent, miss), "rest")
             roots = components(links.unionByName(_exact(rest, more, percent)))
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     # equal sets first, map-side; then the nodes of a component
