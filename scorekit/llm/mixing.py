@@ -128,32 +128,39 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mixed corpus: ``docs``' columns, a row per copy, range-sorted by training
     position; a copy that passes its source's target is cut after its last word.
 
-    The mix is joined back by a 128-bit content key, so repeated ids are safe;
-    rows equal in id, source and text share their copies' positions."""
-    k, n, size, times, cut, at, copy, words = fresh(
-        docs, "_k", "_n", "_size", "_times", "_cut", "_at", "_copy", "_words")
+    The mix is joined back by id and a hash of id, source and text, so repeated ids are
+    safe."""
+    k, n, plan, at, copy, words = fresh(docs, "_k", "_n", "_plan", "_at", "_copy", "_words")
     m = mix(docs, id_col, text_col, source_col, weights, max_passes).where("taken > 0")
     order = Window.partitionBy("doc_id", "h").orderBy("before")
     m = materialize(m.select(
         F.struct("doc_id", "h").alias(k), F.row_number().over(order).alias(n),
-        F.col("size").alias(size), F.col("taken").alias("taken"), "before", "source_size",
-        "target", "slope"), "mix")
+        F.struct("size", "taken", "before", "source_size", "target", "slope").alias(plan)), "mix")
     ids = F.struct(F.col(id_col).alias("doc_id"),
                    F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("h"))
-    # of rows equal in id and text the i-th takes the i-th share: number them alike
+    # of rows equal in id, source and text the i-th takes the i-th share: number them alike
     many = materialize(m.groupBy(k).count().where("count > 1").select(k), "repeated")
     d = docs.withColumn(k, ids)
-    once = d.join(many, k, "left_anti").withColumn(n, F.lit(1))
-    again = d.join(many, k, "left_semi").withColumn(
+    same = F.col(f"{k}.doc_id").eqNullSafe(F.col("many.id")) & (F.col(f"{k}.h") == F.col("many.h"))
+    many = many.select(F.col(f"{k}.doc_id").alias("id"), F.col(f"{k}.h").alias("h")).alias("many")
+    once = d.join(many, same, "left_anti").withColumn(n, F.lit(1))
+    again = d.join(many, same, "left_semi").withColumn(
         n, F.row_number().over(Window.partitionBy(k).orderBy(F.lit(0))))
-    d = once.unionByName(again).join(m, [k, n])
-    d = d.withColumn(copy, F.explode(F.expr(f"sequence(0, int((taken + {size} - 1) div {size}) - 1)")))
-    d = d.withColumn(words, F.least(F.col(size), F.col("taken") - F.col(copy) * F.col(size)))
+    p = {c: F.col(f"{plan}.{c}") for c in ("size", "taken", "before", "source_size", "target",
+                                           "slope")}
+    other = m.select(F.col(k).alias("k"), F.col(n).alias("n"), plan).alias("m")
+    d = once.unionByName(again).join(
+        other, (F.col(f"{k}.h") == F.col("m.k.h")) & (F.col(n) == F.col("m.n"))
+        & F.col(f"{k}.doc_id").eqNullSafe(F.col("m.k.doc_id"))).drop(
+        F.col("m.k"), F.col("m.n"))
+    d = d.withColumn(copy, F.explode(F.sequence(
+        F.lit(0), (F.ceil(p["taken"] / p["size"]) - 1).cast("int"))))
+    d = d.withColumn(words, F.least(p["size"], p["taken"] - F.col(copy) * p["size"]))
     pieces = F.split(F.col(text_col), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
     lead = F.col(text_col).rlike(r"\A[\x20\x09-\x0D]").cast("int")
     cut_text = F.array_join(F.slice(pieces, F.lit(1), (F.col(words) + lead).cast("int")), "")
-    d = d.withColumn(text_col, F.when(F.col(words) < F.col(size), cut_text).otherwise(
+    d = d.withColumn(text_col, F.when(F.col(words) < p["size"], cut_text).otherwise(
         F.col(text_col)))
-    d = d.withColumn(at, demand_time((F.col("before") + F.col(copy) * F.col("source_size"))
-                                     / F.col("target"), F.col("slope")))
-    return d.sort(at, k, copy).select(*docs.columns)
+    d = d.withColumn(at, demand_time((p["before"] + F.col(copy) * p["source_size"])
+                                     / p["target"], p["slope"]))
+    return d.sort(at, k, copy).select(*[F.col(f"`{c}`") for c in docs.columns])

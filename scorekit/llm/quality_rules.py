@@ -124,10 +124,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
               .where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
               .orderBy(F.xxhash64("id"), "id").limit(max_fit))
     # at most max_fit ids, so the sample is broadcast to the documents
-    sample = docs.join(F.broadcast(chosen.select(F.col("id").alias("_id"), "y")),
-                       F.col(id_col) == F.col("_id"))
-    ids = sample.select(F.struct(F.col(id_col), "y").alias("_row"), F.col(text_col).alias("_text"))
-    rows = _measure(ids, "_row", "_text", None, True).select("doc_id.y", "features").toArrow()
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    rows = _measure(sample, "y", "text", None, True).select(
+        F.col("doc_id").alias("y"), "features").toArrow()
     y = np.array(rows.column("y").to_pylist(), np.float64)
     if len(y) < LEAST_FIT or y.min() == y.max():
         return None

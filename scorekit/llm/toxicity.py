@@ -212,8 +212,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
     # the sample holds 2 * max_fit ids at most, so it is broadcast
     head = F.array_join(F.slice(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), 1, FIT_WORDS + 1),
                         " ").alias("text")
-    rows = (docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
-                .groupBy("_id").agg(F.first("y").alias("y"), F.min(head).alias("text"))
+    rows = (docs.select(F.col(id_col).alias("_doc"), head)
+                .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+                .groupBy("_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
                 .orderBy(F.xxhash64("_id"), "_id").toArrow())
     return fit(rows.column("text").to_pylist(), rows.column("y").to_pylist(),
                counts.get(1, 0) / total)
