@@ -4,8 +4,8 @@ of target text and of raw text, sampled with Gumbel top-k.
 Each text becomes counts of n-grams hashed to ``BUCKETS`` buckets: its words, and
 pairs and triples of word *shapes*.  A shape keeps what a word looks like (letter
 case, digits, other characters, runs collapsed) and how recently the same word came
-before.  The target model counts every labelled text of good quality, the raw model
-every text of the corpus; both are smoothed.  A document's importance is the sum of
+before.  The target model counts up to ``MAX_TARGET`` labelled texts of good quality, the
+raw model every text of the corpus; both are smoothed.  A document's importance is the sum of
 log(target / raw) over its n-grams.  Adding Gumbel noise, drawn from a hash of the
 document, and keeping the ``k`` largest keys samples ``k`` documents without
 replacement in proportion to their importance.
@@ -16,7 +16,8 @@ key is found by counting keys in ever finer ranges, ``RANGES`` counts a round; k
 never sort in one task.  Rows with the very key of the k-th all stay.
 
 Bounds: a model is ``BUCKETS`` counts; each task adds up its own before the shuffle,
-and only the summed counts reach the driver.  All counts cover all rows and texts.
+and only the summed counts reach the driver.  The raw counts, the scores and the choice
+of the k-th key cover all rows and whole texts.
 
 Edge cases: null and empty texts have no n-gram and importance 0; null ids and
 repeated rows are ordinary rows, and rows equal in id and text share key and fate;
@@ -35,29 +36,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .common import bitmap_bits, bitmap_of, content_key, remove_losers, slot_of, with_bit
+from .common import content_key, remove_losers
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
+#: Labelled texts of good quality that the target model counts, chosen by a hash of the id.
+MAX_TARGET = 20_000
 #: Words whose shape a worker remembers.
 CACHE_WORDS = 200_000
 RANGES = 4096
 _SHAPES = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"),
            (re.compile(rb"[0-9]+"), b"9"), (re.compile(rb"([^a-zA-Z0-9])\1+"), rb"\1\1")]
+#: How far back a word last came: never, 1, 2 to 3, 4 to 7, ... and 128 or more.
+_RECENT = 1 << np.arange(8)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordCodes(dict):
-    """``word -> (word hash, shape hash)``, computed on a miss."""
+class Shapes(dict):
+    """``word -> hash of its shape``, computed on a miss."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
         if len(self) >= CACHE_WORDS:
             self.clear()
         shape = word
         for pattern, by in _SHAPES:
             shape = pattern.sub(by, shape)
-        self[word] = out = (xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(shape))
+        self[word] = out = xxhash.xxh3_64_intdigest(shape)
         return out
 
 
@@ -66,21 +71,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def ngrams(text: bytes | None, codes: WordCodes) -> np.ndarray:
+def ngrams(text: bytes | None, shapes: Shapes) -> np.ndarray:
     """Buckets of all n-grams of a UTF-8 text."""
     words = (text or b"").split()
     n = len(words)
     if not n:
         return np.empty(0, np.int64)
-    pair = np.array([codes[w] for w in words], np.uint64)
-    word, shape = pair[:, 0], pair[:, 1]
-    # how far back the same word last came: 0 (never), 1, 2 (to 3), 3 (to 7), ...
+    from xxhash import xxh3_64_intdigest
+    word = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n)
+    shape = np.fromiter(map(shapes.__getitem__, words), np.uint64, n)
     order = np.argsort(word, kind="stable")
     same = word[order][1:] == word[order][:-1]
     back = np.zeros(n, np.int64)
     back[order[1:][same]] = np.diff(order)[same]
-    recent = np.floor(np.log2(back, out=np.full(n, -1.0), where=back > 0)).astype(np.int64) + 1
-    s = _mix(shape + np.minimum(recent, 8).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    recent = np.searchsorted(_RECENT, back, side="right").astype(np.uint64)
+    s = _mix(shape + recent * np.uint64(0xD6E8FEB86659FD93))
     two = _mix(s[:-1] * np.uint64(3) + s[1:])
     three = _mix(two[:-1] * np.uint64(5) + s[2:])
     grams = np.concatenate([_mix(word), two, three]) if n > 1 else _mix(word)
@@ -98,13 +103,15 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, total = WordCodes(), np.zeros((2, BUCKETS), np.int64)
+        shapes, total = Shapes(), np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            for text, good in zip(b.column(0), b.column(1).to_pylist()):
-                c = np.bincount(ngrams(text.as_py(), codes), minlength=BUCKETS)
-                total[0] += c
-                if good:
-                    total[1] += c
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                grams = [ngrams(t, shapes) for t in part.column(0).to_pylist()]
+                good = [g for g, y in zip(grams, part.column(1).to_pylist()) if y]
+                for i, some in enumerate((grams, good)):
+                    if some:
+                        total[i] += np.bincount(np.concatenate(some), minlength=BUCKETS)
         kind, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)),
@@ -143,7 +150,8 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 
 def importance_keys(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     text_col: str = "text", label_col: str = "quality",
-                    smoothing: float = SMOOTHING) -> tuple[DataFrame, float]:
+                    smoothing: float = SMOOTHING,
+                    max_target: int = MAX_TARGET) -> tuple[DataFrame, float]:
     """``(doc_id, key, n_grams, importance, gumbel)`` per row, written once, and the
     share of documents to keep."""
     ship_package(docs.sparkSession)
@@ -156,30 +164,25 @@ def importance_keys(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         ratio = np.zeros(BUCKETS)
         share = 1.0
     else:
-        # the labels' ids as a bitmap: texts stay in place, and an id that hits it by
-        # chance is told apart by the exact join of ids alone
-        wanted = materialize(marked.where("y = 1").select("id"), "good-ids")
-        n_bits = bitmap_bits(good)
-        bitmap = materialize(bitmap_of(wanted.select(slot_of(F.col("id"), 4, n_bits)
-                                                     .alias("slot"))), "good-slots")
-        hit = with_bit(texts, slot_of(F.col("doc_id"), 4, n_bits), bitmap, "hit")
-        maybe = hit.where("hit").join(wanted.withColumn("good", F.lit(True)),
-                                      F.col("doc_id") == F.col("id"), "left")
-        raw, target = gram_counts(
-            hit.where("not coalesce(hit, false)").select("text", F.lit(False).alias("good"))
-               .unionByName(maybe.select("text", F.coalesce("good", F.lit(False)).alias("good"))))
+        # at most max_target ids, so they are broadcast; no text moves
+        chosen = marked.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(max_target)
+        chosen = chosen.select("id", F.lit(True).alias("good"))
+        raw, target = gram_counts(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"),
+                                             "left"))
         ratio = (np.log(target + smoothing) - np.log(target.sum() + smoothing * BUCKETS)
                  - np.log(raw + smoothing) + np.log(raw.sum() + smoothing * BUCKETS))
         share = min(1.0, share + 3 * (share * (1 - share) / n) ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
+        shapes = Shapes()
         for b in batches:
-            grams = [ngrams(t.as_py(), codes) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(g) for g in grams], pa.int64()),
-                 pa.array([float(ratio[g].sum()) for g in grams], pa.float64())],
-                names=["doc_id", "key", "n_grams", "importance"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                grams = [ngrams(t, shapes) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([len(g) for g in grams], pa.int64()),
+                     pa.array([float(ratio[g].sum()) for g in grams], pa.float64())],
+                    names=["doc_id", "key", "n_grams", "importance"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
     d = texts.mapInArrow(run, f"doc_id {id_type}, key long, n_grams long, importance double")
