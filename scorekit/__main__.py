@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.query not in queries:
         print(f"unknown query {args.query!r}; see `python -m scorekit list`", file=sys.stderr)
         return 2
-    from scorekit.session import get_spark
+    from scorekit.session import get_spark, release_intermediates
     spark = get_spark("scorekit-cli", master=args.master)
     df = queries[args.query](spark, args.data)
     if args.out:
@@ -47,6 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         (writer.option("header", True).csv(args.out) if args.csv else writer.parquet(args.out))
     else:
         df.show(args.show, truncate=False)
+    release_intermediates(spark)
     spark.stop()
     return 0
 

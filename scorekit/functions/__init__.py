@@ -3,6 +3,7 @@
 from .numeric import (  # noqa: F401
     bayesian_score,
     exact_avg,
+    exact_sum,
     minmax,
     nullsafe_div,
     rank_score,

@@ -32,18 +32,23 @@ def round_half_away(c, digits: int) -> Column:
     return F.when(x < 0, neg).otherwise(pos)
 
 
-def exact_avg(c, scale: int = 0) -> Column:
+#: Decimals that an exact sum keeps of each value; 29 digits are left of the point.
+SUM_SCALE = 9
+
+
+def exact_sum(c, scale: int = SUM_SCALE) -> Column:
+    """SUM(x) in decimal arithmetic, so partial sums combine in any order."""
+    return F.sum(_c(c).cast(DecimalType(38, scale)))
+
+
+def exact_avg(c, scale: int = SUM_SCALE) -> Column:
     """AVG(x) with an exact sum: ``double(sum(decimal(x))) / count(x)``.
 
-    ``scale`` is the number of decimals the input carries (ratings: 1,
-    integer counts: 0).  Aggregate expression; use inside ``agg``.
+    ``scale`` is the number of decimals kept of each value (0 for whole
+    numbers).  Aggregate expression; use inside ``agg``.
     """
     x = _c(c)
-    if scale == 0:
-        s = F.sum(x.cast("bigint"))
-    else:
-        s = F.sum(x.cast(DecimalType(18, scale)))
-    return s.cast("double") / F.nullif(F.count(x), F.lit(0))
+    return exact_sum(x, scale).cast("double") / F.nullif(F.count(x), F.lit(0))
 
 
 def nullsafe_div(num, den) -> Column:

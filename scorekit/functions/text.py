@@ -37,7 +37,7 @@ def unit_number(c) -> Column:
     mult = (F.when(t.contains(LAKH_WORD), F.lit(LAKH))
              .when(t.contains(THOUSAND_LETTER), F.lit(THOUSAND))
              .otherwise(F.lit(1)))
-    return num * mult
+    return F.try_multiply(num, mult.cast("bigint"))
 
 
 def employee_count(c) -> Column:
@@ -65,9 +65,10 @@ def suffixed_count(c, on_error: str = "raise") -> Column:
     text = strip_ws(F.when(has_l, F.replace(u, F.lit("L"), F.lit("")))
                      .when(has_k, F.replace(u, F.lit("K"), F.lit("")))
                      .otherwise(u))
-    num = text.cast("decimal(18,6)") if on_error == "raise" else text.try_cast("decimal(18,6)")
+    kind = "decimal(28,10)"
+    num = text.cast(kind) if on_error == "raise" else text.try_cast(kind)
     mult = F.when(has_l, F.lit(LAKH)).when(has_k, F.lit(THOUSAND)).otherwise(F.lit(1))
-    return (num * mult).cast("double")
+    return (num * mult.cast("decimal(6,0)")).cast("double")
 
 
 def country_of(c) -> Column:

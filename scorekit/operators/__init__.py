@@ -8,7 +8,6 @@ from .positions import (  # noqa: F401
     rank_all,
     rank_within,
     ranks_within,
-    native_window_ok,
     row_positions,
 )
 from .stats import group_median, group_stats, median_table, topk_within  # noqa: F401

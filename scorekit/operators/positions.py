@@ -25,38 +25,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, small_side
+from ..session import materialize
 
 Order = Sequence[tuple[str, str]]  # [(column, "asc"|"desc"), ...]
 
-# Largest group (rows) a single task may sort for a native window.  Above it
-# the sort-based distributed path runs.  0 forces the distributed path.
-MAX_GROUP_ROWS_CONF = "scorekit.window.maxGroupRows"
-MAX_GROUP_ROWS_DEFAULT = 2_000_000
-
-
-def _max_group_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_CONF, str(MAX_GROUP_ROWS_DEFAULT)))
-
-
-def native_window_ok(df: DataFrame, group: Sequence[str]) -> bool:
-    """Size check: may one task hold the largest group?  (One aggregation job
-    with map-side combine; the answer decides between a native window and the
-    distributed path.)"""
-    limit = _max_group_rows(df)
-    if limit <= 0:
-        return False
-    if not group:
-        return df.limit(limit + 1).count() <= limit
-    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-    return (largest or 0) <= limit
-
-
-def _spec(group: Sequence[str], order: Order | None = None):
-    spec = Window.partitionBy(*group) if group else Window.partitionBy()
-    return spec.orderBy(*order_exprs(order)) if order else spec
-
-
 def order_exprs(order: Order) -> list[Column]:
     """Spark/MySQL default null ordering: ASC nulls first, DESC nulls last."""
     out = []
@@ -105,27 +77,23 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Order,
                      *[F.col(g).alias(a) for g, a in renamed.items()],
                      F.col("_seg_start"), F.col("_seg_off").cast("long").alias("_seg_off"),
                      F.col("_total").cast("long").alias("_total"))
-    seg, is_small = small_side(seg, label + "-seg")
+    if not group:  # one row per partition, numbered in one place: not part of the large plan
+        seg = materialize(seg, label + "-seg")
     cond = F.col("_pid") == F.col("_spid")
     for g, a in renamed.items():
         cond = cond & F.col(g).eqNullSafe(F.col(a))
-    out = s.join(F.broadcast(seg) if is_small else seg, cond, "inner")
+    out = s.join(seg, cond, "inner")
     out = out.withColumn("_before", F.col("_lpre") - F.col("_seg_start") + F.col("_seg_off"))
     drop = ["_spid", "_lpre", "_w", "_seg_start", "_seg_off", *renamed.values()]
     return out.drop(*(drop if keep_partition else ["_pid", *drop]))
 
 
 def row_positions(df: DataFrame, group: Sequence[str], order: Order,
-                  row_col: str = "_row", n_col: str = "_n", label: str = "rows",
-                  native: bool | None = None) -> DataFrame:
+                  row_col: str = "_row", n_col: str = "_n", label: str = "rows") -> DataFrame:
     """ROW_NUMBER() and COUNT(*) OVER (PARTITION BY group ORDER BY order).
 
     ``order`` should be a total order (end it with a unique key) for
-    deterministic results.  ``native`` overrides the size check (pass the
-    result of :func:`native_window_ok` on a coarser grouping)."""
-    if native_window_ok(df, group) if native is None else native:
-        return (df.withColumn(row_col, F.row_number().over(_spec(group, order)).cast("long"))
-                  .withColumn(n_col, F.count(F.lit(1)).over(_spec(group))))
+    deterministic results."""
     out = group_positions(df, group, order, None, label)
     return (out.withColumn(row_col, F.col("_before") + 1)
                .withColumnRenamed("_total", n_col).drop("_before"))
@@ -145,28 +113,21 @@ def ntile_of(row, n, k: int) -> Column:
 
 
 def ntile_within(df: DataFrame, group: Sequence[str], order: Order, k: int,
-                 out_col: str, label: str = "ntile", native: bool | None = None) -> DataFrame:
+                 out_col: str, label: str = "ntile") -> DataFrame:
     """NTILE(k) OVER (PARTITION BY group ORDER BY order) without a per-group task."""
-    pos = row_positions(df, group, order, "_row", "_n", label, native)
+    pos = row_positions(df, group, order, "_row", "_n", label)
     return pos.withColumn(out_col, ntile_of("_row", "_n", k)).drop("_row", "_n")
 
 
 def ranks_within(df: DataFrame, group: Sequence[str],
-                 specs: Sequence[tuple[Order, str, str]], label: str = "rank",
-                 native: bool | None = None) -> DataFrame:
+                 specs: Sequence[tuple[Order, str, str]], label: str = "rank") -> DataFrame:
     """Several RANK()/DENSE_RANK() OVER (PARTITION BY group ORDER BY ...) at once.
 
-    ``specs`` is a list of ``(order, out_col, method)``.  Distributed path:
-    the rows are materialised once; each rank is computed on the histogram of
-    distinct (group, key) values (map-side combined) and joined back, with a
-    broadcast only after a size check.  Tied rows never need to meet."""
+    ``specs`` is a list of ``(order, out_col, method)``.  The rows are
+    materialised once; each rank is computed on the histogram of distinct
+    (group, key) values (map-side combined) and joined back, so tied rows
+    never need to meet."""
     group = list(group)
-    fns = {"rank": F.rank, "dense_rank": F.dense_rank}
-    if native_window_ok(df, group) if native is None else native:
-        out = df
-        for order, out_col, method in specs:
-            out = out.withColumn(out_col, fns[method]().over(_spec(group, order)).cast("long"))
-        return out
     out = materialize(df, label + "-rows")
     for i, (order, out_col, method) in enumerate(specs):
         keys = [name for name, _ in order]
@@ -177,20 +138,18 @@ def ranks_within(df: DataFrame, group: Sequence[str],
         renamed = {c: f"_rk{j}" for j, c in enumerate(cols)}
         pos = pos.select(*[F.col(c).alias(a) for c, a in renamed.items()],
                          (F.col("_before") + 1).alias(out_col))
-        pos, is_small = small_side(pos, f"{label}{i}-hist")
         cond = None
         for c, a in renamed.items():
             e = F.col(c).eqNullSafe(F.col(a))
             cond = e if cond is None else cond & e
-        out = out.join(F.broadcast(pos) if is_small else pos, cond, "inner").drop(*renamed.values())
+        out = out.join(pos, cond, "inner").drop(*renamed.values())
     return out
 
 
 def rank_within(df: DataFrame, group: Sequence[str], order: Order, out_col: str,
-                method: str = "rank", label: str = "rank",
-                native: bool | None = None) -> DataFrame:
+                method: str = "rank", label: str = "rank") -> DataFrame:
     """RANK() / DENSE_RANK() OVER (PARTITION BY group ORDER BY order)."""
-    return ranks_within(df, group, [(order, out_col, method)], label, native)
+    return ranks_within(df, group, [(order, out_col, method)], label)
 
 
 def rank_all(df: DataFrame, order: Order, out_col: str, method: str = "dense_rank",

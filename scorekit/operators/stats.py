@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_checked
+from ..session import join_stored
 from .positions import Order, group_positions, order_exprs
 
 
@@ -15,11 +15,10 @@ def group_stats(rows: DataFrame, group: Sequence[str], aggs: Sequence[Column],
                 how: str = "inner", label: str = "bench") -> DataFrame:
     """Attach per-group aggregates to every row (``rows JOIN (GROUP BY) USING group``).
 
-    The aggregate runs with map-side combine, is materialised once and is
-    broadcast only after its row count is checked.  Rows whose group key is
+    The aggregate runs with map-side combine and is materialised once.  Rows whose group key is
     NULL do not match, as in an SQL equi-join."""
     stats = rows.groupBy(*group).agg(*aggs)
-    return join_checked(rows, stats, list(group), how, label)
+    return join_stored(rows, stats, list(group), how, label)
 
 
 def topk_within(df: DataFrame, group: Sequence[str], order: Order, k: int,
@@ -40,20 +39,15 @@ def group_median(df: DataFrame, group: Sequence[str], col: str, out_col: str = "
                  approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Per-group row count and median of ``col`` (mean of the two middle values).
 
-    Exact by default: ``percentile`` when every group fits one task, else the
-    distributed histogram median of :func:`median_table`.  ``approx=True``
-    uses ``percentile_approx`` (bounded sketch)."""
-    from .positions import native_window_ok
+    Exact by default (the histogram median of :func:`median_table`);
+    ``approx=True`` uses ``percentile_approx`` (bounded sketch)."""
     group = list(group)
     rows = df.filter(F.col(col).isNotNull())
     if approx:
         return rows.groupBy(*group).agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx(F.col(col), 0.5, accuracy).cast("double").alias(out_col))
-    if native_window_ok(rows, group):
-        return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"),
-                                        F.percentile(F.col(col), 0.5).alias(out_col))
-    med = median_table(rows, group, col, out_col, distributed=True)
+    med = median_table(rows, group, col, out_col)
     if not group:
         return med.select(rows.agg(F.count(F.lit(1))).scalar().alias("n"), out_col)
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
@@ -67,26 +61,20 @@ def group_median(df: DataFrame, group: Sequence[str], col: str, out_col: str = "
 
 
 def median_table(df: DataFrame, group: Sequence[str], col: str, out_col: str,
-                 distributed: bool = False, label: str = "median",
+                 label: str = "median",
                  weight: str | None = None) -> DataFrame:
     """One row per group: the exact median of ``col`` (NULLs ignored).
 
     ``weight`` names an integer column giving each row's multiplicity (a
     histogram input); by default every row counts once.
 
-    ``distributed=False``: ``percentile`` (value -> count map per group).
-    ``distributed=True``: the (group, value) histogram is aggregated with
-    map-side combine, its running counts come from the sort-based position
-    operator, and the one or two histogram entries covering the middle
-    positions give the median: no task ever holds a whole group or its whole
-    set of distinct values."""
+    The (group, value) histogram is aggregated with map-side combine, its
+    running counts come from the sort-based position operator, and the one or
+    two histogram entries covering the middle positions give the median: no
+    task ever holds a whole group or its whole set of distinct values."""
     group = list(group)
     rows = df.filter(F.col(col).isNotNull())
     freq = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    if not distributed:
-        pct = (F.percentile(F.col(col), F.lit(0.5), freq) if weight
-               else F.percentile(F.col(col), 0.5))
-        return rows.groupBy(*group).agg(pct.alias(out_col))
     hist = rows.groupBy(*group, col).agg(F.sum(freq).alias("_cnt"))
     pos = group_positions(hist, group, [(col, "asc")], F.col("_cnt"), label)
     lo = F.floor((F.col("_total") - 1) / 2)

@@ -1,7 +1,8 @@
 """The fourteen analyses over a companies-shaped DataFrame.
 
 Every analysis takes the entity DataFrame (columns of ``schema.COMPANIES``)
-and returns a lazy result DataFrame.  Column roles default to the companies
+and returns a result DataFrame; intermediate tables that must be read more than once
+are written while it is built.  Column roles default to the companies
 table but can be pointed at other columns (``group``, ``score``, ``weight``,
 ...).  ``as_of_year`` replaces ``YEAR(CURDATE())``; ``None`` means the
 current year.
@@ -9,14 +10,13 @@ current year.
 Scale notes
 -----------
 * Per-group windows over base rows (NTILE, full ROW_NUMBER/RANK) and exact
-  medians go through :mod:`scorekit.operators`: one size check per analysis
-  decides between a native window / ``percentile`` (every group fits a task)
-  and the skew-safe sort-based path (hot groups are range-split).  Top-k
-  windows rely on the partial ``WindowGroupLimit`` Catalyst inserts before
-  the shuffle.
-* Per-group benchmarks are aggregates with map-side combine, joined back by a
-  size-checked broadcast.  Global scalars are one scalar subquery.
-* Unchecked native windows remain only over aggregates whose partitions are
+  medians go through :mod:`scorekit.operators`: one plan at every size, built on
+  global sorts, so a hot group is range-split.  Top-k windows rely on the
+  partial ``WindowGroupLimit`` Catalyst inserts before the shuffle.
+* Per-group benchmarks are aggregates with map-side combine, written once and
+  joined back; Spark picks the join by their bytes.  Global scalars are one
+  scalar subquery.
+* Native windows remain only over aggregates whose partitions are
   bounded by the label set (age segments, size segments: at most four rows
   per group).
 """
@@ -33,6 +33,7 @@ from ..functions import (
     bucket_desc,
     bucket_range,
     exact_avg,
+    exact_sum,
     field_position,
     minmax,
     nullsafe_div,
@@ -45,7 +46,6 @@ from ..operators import (
     group_stats,
     median_table,
     ntile_of,
-    native_window_ok,
     ntile_within,
     order_exprs,
     rank_all,
@@ -54,7 +54,7 @@ from ..operators import (
     row_positions,
     topk_within,
 )
-from ..session import join_checked, materialize, small_side, with_scalars
+from ..session import join_stored, materialize, with_scalars
 
 # Labels and thresholds of the analyses.
 SIZE_CUTS = ((2000, "Large"), (300, "Mid size"))
@@ -101,9 +101,8 @@ def case_insensitive(df: DataFrame, cols: Sequence[str] = ("Country",),
 
 
 def _join_on_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Attach a keyed table (one row per key) to rows; NULL keys match NULL keys.
-    The table is broadcast only after its row count is checked."""
-    side, is_small = small_side(table, label)
+    """Attach a keyed table (one row per key) to rows; NULL keys match NULL keys."""
+    side = materialize(table, label)
     renamed = {k: f"_k{i}" for i, k in enumerate(keys)}
     side = side.select(*[F.col(k).alias(a) for k, a in renamed.items()],
                        *[c for c in side.columns if c not in renamed])
@@ -111,7 +110,7 @@ def _join_on_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str], label:
     for k, a in renamed.items():
         e = F.col(k).eqNullSafe(F.col(a))
         cond = e if cond is None else cond & e
-    return rows.join(F.broadcast(side) if is_small else side, cond, "inner").drop(
+    return rows.join(side, cond, "inner").drop(
         *renamed.values())
 
 
@@ -141,6 +140,16 @@ def low_review_bias(df: DataFrame) -> DataFrame:
     return df.orderBy(*order_exprs([("Rating", "desc"), ("RatingCount", "asc")]))
 
 
+def in_group(df: DataFrame, value: str, group: str = "Country", key: str = "id") -> DataFrame:
+    """The rows of one group, in key order."""
+    return df.filter(F.col(group) == value).orderBy(*order_exprs([(key, "asc")]))
+
+
+def first_rows(df: DataFrame, k: int = 5, key: str = "id") -> DataFrame:
+    """The first ``k`` rows in key order."""
+    return df.orderBy(*order_exprs([(key, "asc")])).limit(k)
+
+
 # --------------------------------------------------------------------------
 # Q3: rating by country and size class
 
@@ -150,7 +159,7 @@ def size_distribution(df: DataFrame, cuts=SIZE_CUTS, other: str = SIZE_OTHER,
                       score: str = "Rating") -> DataFrame:
     return (df.groupBy(F.lower(F.trim(F.col(group))).alias(group),
                        bucket_desc(size, cuts, other).alias("company_size"))
-              .agg(round_half_away(exact_avg(score, 1), 2).alias("AverageRating"))
+              .agg(round_half_away(exact_avg(score), 2).alias("AverageRating"))
               .orderBy(F.col("AverageRating").desc_nulls_last()))
 
 
@@ -161,7 +170,7 @@ def size_distribution(df: DataFrame, cuts=SIZE_CUTS, other: str = SIZE_OTHER,
 def credibility_rank(df: DataFrame, group: str = "Country", score: str = "Rating",
                      weight: str = "RatingCount", name: str = "Name", k: int = 5) -> DataFrame:
     base = _not_null(df, [score, weight]).select(name, group, score, weight)
-    stats = base.agg(exact_avg(score, 1).alias("prior_mean"),
+    stats = base.agg(exact_avg(score).alias("prior_mean"),
                      exact_avg(weight, 0).alias("prior_weight"))
     scored = with_scalars(base, stats).withColumn(
         "credibility_score",
@@ -184,13 +193,10 @@ def leader_classes(df: DataFrame, group: str = "Country", score: str = "Rating",
                    tiles: int = 4) -> DataFrame:
     base = _not_null(df, [score, weight]).select(key, name, group, score, weight)
     order = [(score, "desc"), (weight, "desc"), (name, "asc"), (key, "asc")]
-    # one size check serves both rankings: (group, class) parts are no larger than groups
-    native = native_window_ok(base, [group])
-    pos = row_positions(base, [group], order, "_row", "_n", label="q5-tile", native=native)
+    pos = row_positions(base, [group], order, "_row", "_n", label="q5-tile")
     pos = pos.withColumn("rating_quartile", ntile_of("_row", "_n", tiles))
-    medians = median_table(base, [group], weight, "median_ratingcount",
-                           distributed=not native, label="q5-median")
-    bench = join_checked(pos, medians, [group], label="q5-median-side")
+    medians = median_table(base, [group], weight, "median_ratingcount", label="q5-median")
+    bench = join_stored(pos, medians, [group], label="q5-median-side")
     top = F.col("rating_quartile") == 1
     w, med = F.col(weight), F.col("median_ratingcount")
     classified = (bench
@@ -199,21 +205,16 @@ def leader_classes(df: DataFrame, group: str = "Country", score: str = "Rating",
                                .when(top & (w >= med), LEADER_ORDER[1])
                                .otherwise(LEADER_ORDER[2]))
                   .withColumn("review_gap_to_median", round_half_away(med - w, 2)))
-    if native:
-        # the second window reuses the group partitioning of the first
-        ranked = row_positions(classified, [group, "performance_group"], order,
-                               "segment_rank", "_seg_n", native=True).drop("_seg_n")
-    else:
-        # Rows outside tile 1 are exactly the third class and hold positions t1+1..n
-        # of the same order, so their rank is arithmetic; only tile 1 (<= 1/tiles of
-        # the rows) is sorted again per (group, class).
-        q = F.floor(F.col("_n") / tiles)
-        first_tile = F.when(F.col("_n") % tiles > 0, q + 1).otherwise(q)
-        rest = (classified.filter(~top)
-                .withColumn("segment_rank", (F.col("_row") - first_tile).cast("long")))
-        leaders = row_positions(classified.filter(top), [group, "performance_group"], order,
-                                "segment_rank", "_seg_n", label="q5-rank", native=False)
-        ranked = leaders.drop("_seg_n").unionByName(rest)
+    # Rows outside tile 1 are exactly the third class and hold positions t1+1..n
+    # of the same order, so their rank is arithmetic; only tile 1 (<= 1/tiles of
+    # the rows) is sorted again per (group, class).
+    q = F.floor(F.col("_n") / tiles)
+    first_tile = F.when(F.col("_n") % tiles > 0, q + 1).otherwise(q)
+    rest = (classified.filter(~top)
+            .withColumn("segment_rank", (F.col("_row") - first_tile).cast("long")))
+    leaders = row_positions(classified.filter(top), [group, "performance_group"], order,
+                            "segment_rank", "_seg_n", label="q5-rank")
+    ranked = leaders.drop("_seg_n").unionByName(rest)
     return (ranked.select(group, name, score, weight, "median_ratingcount", "performance_group",
                           "review_gap_to_median", F.col("segment_rank").cast("long"))
                   .orderBy(group, field_position("performance_group", LEADER_ORDER),
@@ -234,7 +235,7 @@ def age_segments(df: DataFrame, as_of_year: int | None = None, buckets=AGE_BUCKE
     seg = base.groupBy(group, "age_segment").agg(
         F.count(F.lit(1)).alias("company_count"),
         round_half_away(exact_avg("company_age", 0), 1).alias("avg_company_age"),
-        round_half_away(exact_avg("Rating", 1), 3).alias("avg_rating"),
+        round_half_away(exact_avg("Rating"), 3).alias("avg_rating"),
         round_half_away(exact_avg("Employees_Count", 0), 0).alias("avg_employees"))
     # at most len(buckets)+1 rows per group: the window partition is bounded
     w = Window.partitionBy(group)
@@ -269,7 +270,7 @@ def overperformers(df: DataFrame, tiles: int = 3, labels=TILE_LABELS, margin: fl
     labeled = tiled.withColumn("size_segment", label)
     # one row per tile label: a size bound known before running
     bench = labeled.groupBy("size_segment").agg(
-        round_half_away(exact_avg(score, 1), 3).alias("segment_avg_rating"))
+        round_half_away(exact_avg(score), 3).alias("segment_avg_rating"))
     over = (labeled.join(F.broadcast(bench), "size_segment")
                    .filter(F.col(score) >= F.col("segment_avg_rating") + margin)
                    .withColumn("rating_lift",
@@ -290,23 +291,17 @@ def review_bias(df: DataFrame, tiles: int = 10, group: str = "Country", score: s
                 weight: str = "RatingCount", name: str = "Name", key: str = "id") -> DataFrame:
     base = _not_null(df, [score, weight]).select(key, name, group, score, weight)
     desc_order = [(weight, "desc"), (name, "asc"), (key, "asc")]
-    asc_order = [(weight, "asc"), (name, "asc"), (key, "asc")]
-    native = native_window_ok(base, [group])
-    pos = row_positions(base, [group], desc_order, label="q8-pos", native=native)
-    if native:
-        pos = pos.withColumn("_arow", F.row_number().over(
-            Window.partitionBy(group).orderBy(*order_exprs(asc_order))))
-    else:
-        # Rows tied on the weight keep their (name, key) order in both directions, so
-        # the ascending position follows from the descending one, the rank of the
-        # weight and the tie count: asc = n - m - 2*rank + desc + 2.  Rank and tie
-        # count come from the (group, weight) histogram; no second sort of the rows.
-        hist = base.groupBy(group, weight).agg(F.count(F.lit(1)).alias("_m"))
-        ties = group_positions(hist, [group], [(weight, "desc")], F.col("_m"), "q8-ties")
-        ties = ties.select(group, weight, (F.col("_before") + 1).alias("_wrank"), "_m")
-        pos = _join_on_keys(pos, ties, [group, weight], "q8-ties-side")
-        pos = pos.withColumn("_arow", F.col("_n") - F.col("_m") - 2 * F.col("_wrank")
-                             + F.col("_row") + 2)
+    pos = row_positions(base, [group], desc_order, label="q8-pos")
+    # Rows tied on the weight keep their (name, key) order in both directions, so
+    # the ascending position follows from the descending one, the rank of the
+    # weight and the tie count: asc = n - m - 2*rank + desc + 2.  Rank and tie
+    # count come from the (group, weight) histogram; no second sort of the rows.
+    hist = base.groupBy(group, weight).agg(F.count(F.lit(1)).alias("_m"))
+    ties = group_positions(hist, [group], [(weight, "desc")], F.col("_m"), "q8-ties")
+    ties = ties.select(group, weight, (F.col("_before") + 1).alias("_wrank"), "_m")
+    pos = _join_on_keys(pos, ties, [group, weight], "q8-ties-side")
+    pos = pos.withColumn("_arow", F.col("_n") - F.col("_m") - 2 * F.col("_wrank")
+                         + F.col("_row") + 2)
     most = ntile_of("_row", "_n", tiles)
     least = ntile_of("_arow", "_n", tiles)
     extreme = (pos.withColumn("_most", most).withColumn("_least", least)
@@ -318,9 +313,9 @@ def review_bias(df: DataFrame, tiles: int = 10, group: str = "Country", score: s
     summary = extreme.groupBy(group).agg(
         F.count(F.when(is_most, 1)).alias("most_reviewed_company_count"),
         F.count(F.when(is_least, 1)).alias("least_reviewed_company_count"),
-        round_half_away(exact_avg(F.when(is_most, F.col(score)), 1), 3)
+        round_half_away(exact_avg(F.when(is_most, F.col(score))), 3)
         .alias("avg_rating_most_reviewed"),
-        round_half_away(exact_avg(F.when(is_least, F.col(score)), 1), 3)
+        round_half_away(exact_avg(F.when(is_least, F.col(score))), 3)
         .alias("avg_rating_least_reviewed"),
         round_half_away(exact_avg(F.when(is_most, F.col(weight)), 0), 0)
         .alias("avg_ratingcount_most_reviewed"),
@@ -352,7 +347,7 @@ def competitive_intensity(df: DataFrame, as_of_year: int | None = None,
     base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"], zero_year_as_null)
     metrics = base.groupBy(group).agg(
         F.count(F.lit(1)).alias("company_count"),
-        round_half_away(exact_avg("Rating", 1), 3).alias("avg_rating"),
+        round_half_away(exact_avg("Rating"), 3).alias("avg_rating"),
         round_half_away(exact_avg("Employees_Count", 0), 0).alias("avg_employees"),
         round_half_away(exact_avg("company_age", 0), 1).alias("avg_company_age"))
     metrics = materialize(metrics, "q9-metrics")
@@ -380,18 +375,21 @@ def mature_underperformers(df: DataFrame, as_of_year: int | None = None,
                            zero_year_as_null: bool = False) -> DataFrame:
     base = _age_rows(df, as_of_year, ["Rating"], zero_year_as_null).select(
         "Name", group, "Rating", "company_age")
-    native = native_window_ok(base, [group])
-    stats = base.groupBy(group).agg(exact_avg("Rating", 1).alias("country_avg_rating")).join(
-        median_table(base, [group], "company_age", "median_company_age",
-                     distributed=not native, label="q10-median"), group)
-    bench = join_checked(base, stats, [group], label="q10-bench")
+    # one read of the base: the age histogram also carries the rating sums
+    hist = materialize(base.groupBy(group, "company_age").agg(
+        F.count(F.lit(1)).alias("_n"), exact_sum("Rating").alias("_sum")), "q10-hist")
+    means = hist.groupBy(group).agg(
+        (F.sum("_sum").cast("double") / F.sum("_n")).alias("country_avg_rating"))
+    stats = means.join(median_table(hist, [group], "company_age", "median_company_age",
+                                    weight="_n", label="q10-median"), group)
+    bench = join_stored(base, stats, [group], label="q10-bench")
     under = (bench.filter((F.col("company_age") > F.col("median_company_age"))
                           & (F.col("Rating") < F.col("country_avg_rating")))
                   .withColumn("rating_gap",
                               round_half_away(F.col("country_avg_rating") - F.col("Rating"), 3)))
     ranked = rank_within(under, [group], [("rating_gap", "desc"), ("company_age", "desc"),
                                           ("Name", "asc")], "underperformance_rank", "rank",
-                         label="q10-rank", native=native)
+                         label="q10-rank")
     return (ranked.select(group, "Name", "company_age", "median_company_age", "Rating",
                           "country_avg_rating", "rating_gap",
                           F.col("underperformance_rank").cast("long"))
@@ -408,7 +406,7 @@ def emerging_employers(df: DataFrame, as_of_year: int | None = None, max_age: in
     base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"], zero_year_as_null).select(
         "id", "Name", group, "Rating", "Employees_Count", "Company_year", "company_age")
     bench = group_stats(base, [group], [
-        exact_avg("Rating", 1).alias("country_avg_rating"),
+        exact_avg("Rating").alias("country_avg_rating"),
         exact_avg("Employees_Count", 0).alias("country_avg_employees")], label="q11-bench")
     r, e = F.col("Rating"), F.col("Employees_Count")
     ar, ae = F.col("country_avg_rating"), F.col("country_avg_employees")
@@ -436,12 +434,14 @@ def combined_segments(df: DataFrame, as_of_year: int | None = None,
                       zero_year_as_null: bool = False) -> DataFrame:
     base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"], zero_year_as_null).select(
         "Name", group, "Rating", "Employees_Count", "company_age")
-    native = native_window_ok(base, [group])
-    medians = median_table(base, [group], "company_age", "median_company_age",
-                           distributed=not native, label="q12-age").join(
-        median_table(base, [group], "Employees_Count", "median_employees",
-                     distributed=not native, label="q12-emp"), group)
-    bench = join_checked(base, medians, [group], label="q12-medians")
+    # one read of the base: both medians come from the (age, size) histogram
+    hist = materialize(base.groupBy(group, "company_age", "Employees_Count").agg(
+        F.count(F.lit(1)).alias("_n")), "q12-hist")
+    medians = median_table(hist, [group], "company_age", "median_company_age", weight="_n",
+                           label="q12-age").join(
+        median_table(hist, [group], "Employees_Count", "median_employees", weight="_n",
+                     label="q12-emp"), group)
+    bench = join_stored(base, medians, [group], label="q12-medians")
     labeled = bench.withColumn("combined_segment", F.concat(
         F.when(F.col("company_age") <= F.col("median_company_age"), "Young").otherwise("Old"),
         F.lit(" + "),
@@ -449,7 +449,7 @@ def combined_segments(df: DataFrame, as_of_year: int | None = None,
          .otherwise("Large")))
     seg = labeled.groupBy(group, "combined_segment").agg(
         F.count(F.lit(1)).alias("company_count"),
-        round_half_away(exact_avg("Rating", 1), 3).alias("avg_rating"),
+        round_half_away(exact_avg("Rating"), 3).alias("avg_rating"),
         round_half_away(exact_avg("company_age", 0), 1).alias("avg_age"),
         round_half_away(exact_avg("Employees_Count", 0), 0).alias("avg_employees"))
     # four segments per group at most: a bounded window partition
@@ -479,11 +479,10 @@ def composite_rank(df: DataFrame, as_of_year: int | None = None, weights=(0.50,
         "id", "Name", group, "Rating", "Employees_Count", "company_age")
     sized = group_stats(base, [group], [F.count(F.lit(1)).alias("country_company_count")],
                         label="q13-sizes")
-    native = native_window_ok(sized, [group])
     r = ranks_within(sized, [group], [([("Rating", "desc")], "rating_rank", "rank"),
                                       ([("Employees_Count", "desc")], "employee_rank", "rank"),
                                       ([("company_age", "desc")], "age_rank", "rank")],
-                     label="q13-ranks", native=native)
+                     label="q13-ranks")
     n = F.col("country_company_count")
     ranks = ["rating_rank", "employee_rank", "age_rank"]
     score = weighted([(w, rank_score(rk, n)) for w, rk in zip(weights, ranks)])
@@ -494,8 +493,7 @@ def composite_rank(df: DataFrame, as_of_year: int | None = None, weights=(0.50,
     final = row_positions(scored, [group],
                           [("composite_score", "desc"), ("rating_rank", "asc"),
                            ("employee_rank", "asc"), ("age_rank", "asc"), ("Name", "asc"),
-                           ("id", "asc")], "composite_rank", "_cn", label="q13-final",
-                          native=native)
+                           ("id", "asc")], "composite_rank", "_cn", label="q13-final")
     return (final.select(group, "Name", "Rating", "Employees_Count", "company_age",
                          *[F.col(c).cast("long").alias(c) for c in ranks], "composite_score",
                          "profile_type", F.col("composite_rank").cast("long"))
@@ -511,13 +509,13 @@ def concentration(df: DataFrame, group: str = "Country", member: str = "Headquar
     # two-level aggregation: (group, member) partials, then group totals; no join
     per_member = base.groupBy(group, member).agg(
         F.count(F.lit(1)).alias("c"),
-        F.sum(F.col("Rating").cast("decimal(18,1)")).alias("rs"),
-        F.sum(F.col("Employees_Count").cast("bigint")).alias("es"))
-    n = F.sum("c")
+        exact_sum("Rating").alias("rs"), exact_sum("Employees_Count", 0).alias("es"))
+    n, c = F.sum("c"), F.col("c").cast("decimal(18,0)")
+    wide = n.cast("double")
     per_group = per_member.groupBy(group).agg(
         n.alias("company_count"),
         F.count(F.lit(1)).alias("unique_headquarters"),
-        round_half_away(F.sum(F.col("c") * F.col("c")) / (n * n), 4)
+        round_half_away(F.sum(c * c).cast("double") / (wide * wide), 4)
         .alias("hhi_concentration_index"),
         round_half_away(F.max("c") / n, 4).alias("largest_hq_share"),
         round_half_away(F.sum("rs").cast("double") / n, 3).alias("avg_rating"),

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import country_of, employee_count, suffixed_count
-from ..operators import row_positions
+from ..operators import median_table, row_positions
 from ..schema import COMPANY_COLUMNS
 
 # The imputation defaults of the cleaning job.
@@ -43,15 +43,9 @@ def parse_fields(raw: DataFrame, on_error: str = "raise") -> DataFrame:
 
 
 def global_median(df: DataFrame, col: str) -> Column:
-    """Exact median of a column over all rows, as a scalar subquery.
-
-    ``percentile`` merges per-task value maps in one task; beyond the
-    size bound the distributed histogram median is used instead."""
-    from ..operators import median_table, native_window_ok
-    rows = df.select(col)
-    distributed = not native_window_ok(rows, [])
-    return median_table(rows, [], col, "_median", distributed=distributed,
-                        label="global-median").scalar()
+    """Exact median of a column over all rows, as a scalar subquery over the
+    histogram of its values."""
+    return median_table(df.select(col), [], col, "_median", label="global-median").scalar()
 
 
 def impute_median(df: DataFrame, col: str = "Employees Count") -> DataFrame:

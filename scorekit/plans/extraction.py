@@ -24,79 +24,77 @@ CARD_SCHEMA = ("page_id long, pos int, name string, rating string, rating_count
                "link string")
 DETAIL_SCHEMA = "url string, founded_year string, headquarters string, employees_text string"
 
-# The selectors and labels of the scraped pages.
+# Where each field stands on the scraped pages.
 CARD_CLASS = "companyCardWrapper"
-RATING_CLASS = "rating_text"
-COUNT_CLASS = "companyCardWrapper__companyRatingCount"
-FOUNDED_LABELS = ("Founded",)
-HQ_LABELS = ("Headquarters",)
-EMPLOYEE_LABELS = ("Employee Count", "Company Size")
-YEAR_PATTERN = re.compile(r"\d{4}")
-
-
-def _strip_or_none(node) -> str | None:
-    return node.text().strip() if node is not None else None
+#: Card fields: element, and the attribute to read (None: its text) less some characters.
+CARD_FIELDS = {
+    "name": ({"tag": "h2"}, None, ""),
+    "rating": ({"tag": "div", "class_": "rating_text"}, None, ""),
+    "rating_count": ({"tag": "span", "class_": "companyCardWrapper__companyRatingCount"}, None, "()"),
+    "link": ({"tag": "meta", "attrs": {"itemprop": "url"}}, "content", ""),
+}
+#: Overview fields: words of the label, where its value stands (tried in turn) and the
+#: pattern to take from it (None: all of it).
+DETAIL_FIELDS = {
+    "founded_year": (("Founded",), ("next div", "previous div"), r"\d{4}"),
+    "headquarters": (("Headquarters",), ("next div or any", "following a"), r"\S(?:.*\S)?"),
+    "employees_text": (("Employee Count", "Company Size"), ("next div", "previous div", "empty"),
+                       None),
+}
+
+
+def _value_at(label: H.Node, place: str) -> str | None:
+    """The text that a place gives; None sends the search to the next place."""
+    if place == "empty":
+        return ""
+    way, tag = place.split()[:2]
+    node = {"next": label.next_sibling_tag, "previous": label.previous_sibling_tag,
+            "following": label.next_in_document}[way](tag)
+    if node is None:
+        return None
+    return node.text() if place.endswith("any") else node.text() or None
 
 
 def card_fields(html: str) -> list[tuple]:
-    """Cards of one listing page: (pos, name, rating, rating_count, link)."""
-    root = H.parse(html)
-    out = []
-    for i, card in enumerate(H.find_all(root, class_=CARD_CLASS)):
-        count = H.find(card, tag="span", class_=COUNT_CLASS)
-        link = H.find(card, tag="meta", attrs={"itemprop": "url"})
-        out.append((
-            i,
-            _strip_or_none(H.find(card, tag="h2")),
-            _strip_or_none(H.find(card, tag="div", class_=RATING_CLASS)),
-            count.text().strip().replace("(", "").replace(")", "") if count is not None else None,
-            link.attrs.get("content") if link is not None else None,
-        ))
-    return out
-
-
-def _label(root, labels):
-    return H.find(root, tag="div", string=lambda s: any(lb in s for lb in labels))
-
+    """Cards of one listing page: position, then ``CARD_FIELDS`` in order."""
+    def read(card, where, attribute, without):
+        node = H.find(card, **where)
+        if node is None:
+            return None
+        value = node.attrs.get(attribute) if attribute else node.text().strip()
+        return value and value.translate(dict.fromkeys(map(ord, without)))
 
-def _sibling_text(label) -> str:
-    nxt, prev = label.next_sibling_tag("div"), label.previous_sibling_tag("div")
-    return (nxt.text() if nxt is not None else "") or (prev.text() if prev is not None else "")
+    cards = H.find_all(H.parse(html), class_=CARD_CLASS)
+    return [(i, *(read(card, *f) for f in CARD_FIELDS.values())) for i, card in enumerate(cards)]
 
 
 def detail_fields(html: str) -> tuple:
-    """(founded_year, headquarters, employees_text) of one overview page."""
+    """``DETAIL_FIELDS`` of one overview page, in order; None where one is missing."""
     root = H.parse(html)
-    founded = None
-    lab = _label(root, FOUNDED_LABELS)
-    if lab is not None:
-        m = YEAR_PATTERN.search(_sibling_text(lab))
-        founded = m.group() if m else None
-    hq = None
-    lab = _label(root, HQ_LABELS)
-    if lab is not None:
-        val = lab.next_sibling_tag("div") or lab.next_in_document("a")
-        hq = val.text().strip() if val is not None else None
-    emp = None
-    lab = _label(root, EMPLOYEE_LABELS)
-    if lab is not None:
-        emp = _sibling_text(lab)
-    return founded, hq, emp
+
+    def read(words, places, pattern):
+        label = H.find(root, tag="div", string=lambda s: any(w in s for w in words))
+        values = (_value_at(label, p) for p in places) if label is not None else ()
+        text = next((v for v in values if v is not None), None)
+        if text is None or pattern is None:
+            return text
+        found = re.search(pattern, text, re.S)
+        return found.group() if found else ("" if pattern.startswith(r"\S") else None)
+
+    return tuple(read(*f) for f in DETAIL_FIELDS.values())
 
 
 def _cards_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [(pid, *c) for pid, html in zip(pdf["page_id"], pdf["html"])
                 for c in card_fields(html)]
-        yield pd.DataFrame(rows, columns=["page_id", "pos", "name", "rating", "rating_count",
-                                          "link"])
+        yield pd.DataFrame(rows, columns=["page_id", "pos", *CARD_FIELDS])
 
 
 def _details_udf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = [(url, *detail_fields(html)) for url, html in zip(pdf["url"], pdf["html"])]
-        yield pd.DataFrame(rows, columns=["url", "founded_year", "headquarters",
-                                          "employees_text"])
+        yield pd.DataFrame(rows, columns=["url", *DETAIL_FIELDS])
 
 
 def _class_text_udf(class_name: str, out_col: str):
@@ -143,17 +141,49 @@ def extract_class_text(pages: DataFrame, class_name: str = "ad",
 
 # ----------------------------------------------------------------- JVM regex
 
+# Named character references that pages use beside the numeric ones.
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9",
+         "reg": "\u00ae", "trade": "\u2122", "hellip": "\u2026", "ndash": "\u2013",
+         "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c",
+         "rdquo": "\u201d", "bull": "\u2022", "middot": "\u00b7", "euro": "\u20ac",
+         "pound": "\u00a3", "amp": "&"}
+#: A decimal or hexadecimal reference.
+_NUMERIC = "(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
+
+
 def decode_entities(c: Column) -> Column:
-    """Decode the predefined XML entities (``&amp;`` last)."""
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
+    """Decode numeric character references and the named ones of ``NAMED``
+    (``&amp;`` last)."""
+    parts = F.split(c, _NUMERIC, -1)
+    found = F.regexp_extract_all(c, F.lit(_NUMERIC), F.lit(1))
+
+    def char(r: Column) -> Column:
+        hexa = F.lower(F.substring(r, 1, 1)) == "x"
+        code = F.when(hexa, F.conv(F.substr(r, F.lit(2)), 16, 10)).otherwise(r).cast("int")
+        four = F.lpad(F.hex(code), 8, "0")  # UTF-32, big-endian
+        return F.decode(F.unhex(four), "UTF-32")
+
+    numeric = F.array_join(F.zip_with(parts, F.transform(found, char),
+                                      lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+    c = F.when(c.contains("&#"), numeric).otherwise(c)
+    for name, ch in NAMED.items():
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(ch))
     return c
 
 
+def attribute_values(html: Column, tag: str, attribute: str) -> Column:
+    """Values of an attribute of every ``<tag>``: names in any case, quoted or not."""
+    value = r"""(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+)"""
+    other = rf"""(?:\s+[^\s"'<>/=]+(?:\s*=\s*{value})?)*?"""
+    raw = F.regexp_extract_all(
+        html, F.lit(rf"(?is)<{tag}{other}\s+{attribute}\s*=\s*({value})"), F.lit(1))
+    return F.transform(raw, lambda v: decode_entities(
+        F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
+
+
 def tag_texts(html: Column, tag: str) -> Column:
     """Inner text of every ``<tag>`` element (inner tags removed, entities decoded)."""
-    inner = F.regexp_extract_all(html, F.lit(f"(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
+    inner = F.regexp_extract_all(html, F.lit(f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>"), F.lit(1))
     return F.transform(inner, lambda s: decode_entities(F.regexp_replace(s, "<[^>]*>", "")))
 
 
@@ -173,9 +203,8 @@ def page_headings(pages: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Every ``a[href]`` value, one row per link occurrence."""
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit('<a\\s[^>]*?href="([^"]*)"'), F.lit(1))
-    return pages.select("page_id", F.explode(hrefs).alias("href")).withColumn(
-        "href", decode_entities(F.col("href")))
+    hrefs = attribute_values(F.col("html"), "a", "href")
+    return pages.select("page_id", F.explode(hrefs).alias("href"))
 
 
 def distinct_links(pages: DataFrame) -> DataFrame:
@@ -189,8 +218,8 @@ def link_counts(pages: DataFrame) -> DataFrame:
 
 
 def page_charset(pages: DataFrame) -> DataFrame:
-    cs = F.regexp_extract_all(F.col("html"), F.lit('<meta\\s[^>]*?charset="([^"]*)"'), F.lit(1))
-    return pages.select("page_id", F.try_element_at(cs, F.lit(1)).alias("charset"))
+    found = attribute_values(F.col("html"), "meta", "charset")
+    return pages.select("page_id", F.try_element_at(found, F.lit(1)).alias("charset"))
 
 
 def page_preview(pages: DataFrame, n: int = 2000) -> DataFrame:

@@ -84,24 +84,15 @@ PARSED = RAW + f""", parsed AS (
            {RC('"Rating Count"')} AS RatingCount,
            {COUNTRY('Headquarters')} AS Country
     FROM companies_raw
-), emp_order AS (
-    SELECT emp, ROW_NUMBER() OVER (ORDER BY emp) AS rn, COUNT(*) OVER () AS cnt
-    FROM parsed WHERE emp IS NOT NULL
-), emp_median AS (
-    SELECT AVG(emp) AS m FROM emp_order
-    WHERE rn IN (FLOOR((cnt + 1) / 2), FLOOR((cnt + 2) / 2))
 ), filled AS (
-    SELECT p.batch, p.pos, p.Name, TRY_CAST(p.Rating AS DOUBLE) AS Rating,
-           COALESCE(p.Headquarters, 'Unknown') AS Headquarters,
-           COALESCE(TRY_CAST(p.Company_year AS BIGINT), 0) AS Company_year,
-           COALESCE(p.emp, m.m) AS "Employees Count", p.RatingCount,
-           COALESCE(p.Country, 'Unknown') AS Country
-    FROM parsed p CROSS JOIN emp_median m
-), kept AS (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY Name, Headquarters ORDER BY batch, pos) AS dup_rn
-    FROM filled WHERE Name IS NOT NULL AND Rating IS NOT NULL
+    FROM parsed SELECT batch, pos, Name, TRY_CAST(Rating AS DOUBLE) AS Rating,
+        ifnull(Headquarters, 'Unknown') AS Headquarters,
+        ifnull(TRY_CAST(Company_year AS BIGINT), 0) AS Company_year,
+        ifnull(emp, median(emp) OVER ()) AS "Employees Count", RatingCount,
+        ifnull(Country, 'Unknown') AS Country
 ), clean AS (
-    SELECT * FROM kept WHERE dup_rn = 1
+    FROM filled WHERE Name IS NOT NULL AND Rating IS NOT NULL
+    QUALIFY (batch, pos) = min((batch, pos)) OVER (PARTITION BY Name, Headquarters)
 )"""
 
 RAW_COLUMNS = ["Name", "Rating", "Rating Count", "Headquarters", "Company_year",

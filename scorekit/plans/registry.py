@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import country_of, employee_count, suffixed_count
+from ..session import scratch_dir
 from ..sources import card_pages as P
-from ..sources.bindings import scraped_fields, stored
+from ..sources import catalog, files
+from ..sources.bindings import stored
 from ..sources.tables import read_table
 from . import analyses as A
 from . import cleaning as C
@@ -70,29 +73,66 @@ ORDERS_QUERIES: dict[str, Query] = {
 }
 
 
-def _distributed(query: Query) -> Query:
-    """Build ``query`` with the size check forced to the skew-safe distributed
-    path (sort-based positions, histogram ranks and medians).  The path is
-    chosen while the plan is built, so the returned DataFrame keeps it."""
-    from ..operators.positions import MAX_GROUP_ROWS_CONF
-
+def _on_fine(fn, **kw) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        old = spark.conf.get(MAX_GROUP_ROWS_CONF, None)
-        spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
-        try:
-            return query(spark, sf_dir)
-        finally:
-            if old is None:
-                spark.conf.unset(MAX_GROUP_ROWS_CONF)
-            else:
-                spark.conf.set(MAX_GROUP_ROWS_CONF, old)
-    run.__name__ = query.__name__ + "_distributed"
+        return fn(stored(spark, sf_dir, "companies_fine"), **kw)
+    run.__name__ = fn.__name__ + "_fine"
     return run
 
 
-DISTRIBUTED_VARIANTS = ("group_median", "hidden_popular_leaders", "size_overperformers",
-                        "review_volume_bias", "competitive_intensity", "mature_underperformers",
-                        "combined_segments", "composite_rank", "hq_concentration")
+FINE_QUERIES: dict[str, Query] = {
+    "country_size_rating_fine": _on_fine(A.size_distribution),
+    "credibility_rank_fine": _on_fine(A.credibility_rank),
+    "age_segment_strength_fine": _on_fine(A.age_segments, as_of_year=AS_OF_YEAR),
+    "competitive_intensity_fine": _on_fine(A.competitive_intensity, as_of_year=AS_OF_YEAR),
+    "mature_underperformers_fine": _on_fine(A.mature_underperformers, as_of_year=AS_OF_YEAR),
+    "hq_concentration_fine": _on_fine(A.concentration),
+}
+
+
+def _credibility_rank_ci(df: DataFrame) -> DataFrame:
+    """Country names in mixed case, ranked as a case-insensitive collation groups them."""
+    mixed = F.when((F.col("id") - 1) % 2 == 0, F.lower("Country")).otherwise(F.col("Country"))
+    ranked = A.credibility_rank(A.case_insensitive(df.withColumn("Country", mixed)))
+    return ranked.withColumn("Country", F.col("Country").cast("string"))
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table written as CSV, twice over, and read with its schema."""
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = stored(spark, sf_dir, "companies")
+    files.write_clean(rows.limit(0), path, "csv")
+    files.append_csv(rows, path)
+    return files.read_csv(spark, path, rows.schema)
+
+
+def _catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table inserted into a typed catalog table whose text lengths are checked."""
+    before = spark.catalog.currentDatabase()
+    name = f"ratings_{uuid.uuid4().hex}"
+    try:
+        catalog.use_database(spark, "scorekit_tables", f"{scratch_dir(spark)}/tables")
+        catalog.create_companies_table(spark, name)
+        catalog.load_companies(stored(spark, sf_dir, "companies"), name)
+        return spark.table(f"scorekit_tables.{name}")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
+TABLE_QUERIES: dict[str, Query] = {
+    "country_filter": _on_companies(A.in_group, value="NATION_7"),
+    "first_rows": _on_companies(A.first_rows, k=5),
+    "age_segment_strength_today": _on_companies(A.age_segments),
+    "credibility_rank_ci": _on_companies(_credibility_rank_ci),
+    "csv_round_trip": _csv_round_trip,
+    "catalog_round_trip": _catalog_round_trip,
+}
+
+# Earlier names of analyses that used to have a second, distributed plan; every
+# analysis now has that plan alone.
+SAME_PLAN = ("group_median", "hidden_popular_leaders", "size_overperformers",
+             "review_volume_bias", "competitive_intensity", "mature_underperformers",
+             "combined_segments", "composite_rank", "hq_concentration")
 
 
 def _on_raw(fn) -> Query:
@@ -197,7 +237,7 @@ def _listing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _url_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = (F.floor(F.col("pos") / P.PAGE_SIZE) + 1).cast("long")
-    return (scraped_fields(spark, sf_dir).select(page.alias("page")).distinct()
+    return (stored(spark, sf_dir, "scraped_fields").select(page.alias("page")).distinct()
             .select("page", F.concat(F.lit(P.LISTING_URL), F.col("page").cast("string"))
                     .alias("url")))
 
@@ -218,14 +258,14 @@ EXTRACTION_QUERIES: dict[str, Query] = {
 
 
 def all_queries() -> dict[str, Query]:
-    dist = {f"{n}_distributed": _distributed(ANALYSIS_QUERIES[n]) for n in DISTRIBUTED_VARIANTS}
-    return {**ANALYSIS_QUERIES, **dist, **ORDERS_QUERIES, **CLEANING_QUERIES,
-            **EXTRACTION_QUERIES}
+    same = {f"{n}_distributed": ANALYSIS_QUERIES[n] for n in SAME_PLAN}
+    return {**ANALYSIS_QUERIES, **same, **FINE_QUERIES, **TABLE_QUERIES, **ORDERS_QUERIES,
+            **CLEANING_QUERIES, **EXTRACTION_QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
     from .oracle_cleaning import CLEANING
     from .oracle_sql import ANALYSES
     from .oracle_extraction import EXTRACTION
-    dist = {f"{n}_distributed": ANALYSES[n] for n in DISTRIBUTED_VARIANTS}
-    return {**ANALYSES, **dist, **CLEANING, **EXTRACTION}
+    same = {f"{n}_distributed": ANALYSES[n] for n in SAME_PLAN}
+    return {**ANALYSES, **same, **CLEANING, **EXTRACTION}

@@ -107,29 +107,14 @@ def release_intermediates(spark: SparkSession) -> None:
     bindings.forget_stored(spark)
 
 
-# Largest number of rows we ever ship to every executor as a broadcast side.
-BROADCAST_MAX_ROWS = int(os.environ.get("SCOREKIT_BROADCAST_MAX_ROWS", "2000000"))
-
-
-def small_side(df: DataFrame, label: str = "small", max_rows: int | None = None):
-    """Materialise a (usually small) derived table and check its size.
-
-    Returns ``(df, is_small)``; callers broadcast only when ``is_small``.
-    """
-    limit = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    m = materialize(df, label)
-    n = m.count()
-    return m, n <= limit
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 label: str = "side", max_rows: int | None = None) -> DataFrame:
-    """Join ``big`` with a derived table, broadcasting it only after a size check.
-
-    Beyond the bound the join falls back to a shuffle join (AQE may still split
-    skewed partitions)."""
-    m, ok = small_side(small, label, max_rows)
-    return big.join(F.broadcast(m) if ok else m, on, how)
+def join_stored(big: DataFrame, small: DataFrame, on, how: str = "inner",
+                label: str = "side") -> DataFrame:
+    """Join ``big`` with a derived table that is written once first.
+
+    No hint is given: the written table's size in bytes is known when the join is
+    planned, so Spark broadcasts it below ``autoBroadcastJoinThreshold`` and
+    otherwise shuffles (splitting skewed partitions at run time)."""
+    return big.join(materialize(small, label), on, how)
 
 
 def with_scalars(df: DataFrame, stats: DataFrame, name: str = "_g") -> DataFrame:

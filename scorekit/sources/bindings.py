@@ -1,6 +1,7 @@
 """Bindings of the entity tables onto the TPC-H-style test data.
 
 ``companies``        one row per customer (the analysed table)
+``companies_fine``   the same with ratings of two decimals
 ``companies_raw``    the same customers as scraped text, in two overlapping batches
 ``entities_orders``  one row per order: a 10x larger table with the same columns
 
@@ -28,7 +29,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (session_key(spark), os.path.abspath(sf_dir), name)
     if key not in _STORED:
         build = {"companies": companies, "companies_raw": companies_raw,
-                 "entities_orders": entities_orders, "companies_clean": companies_clean}[name]
+                 "companies_fine": companies_fine, "entities_orders": entities_orders,
+                 "companies_clean": companies_clean, "scraped_fields": scraped_fields}[name]
         _STORED[key] = materialize(build(spark, sf_dir), name)
     return _STORED[key]
 
@@ -73,6 +75,12 @@ def _company_year(k):
              .otherwise(F.lit(2002) - k % 45)).cast("int")
 
 
+def companies_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``companies`` with ratings of two decimals."""
+    digits = F.round(F.col("Rating") * 100) + (F.col("id") - 1) % 10
+    return companies(spark, sf_dir).withColumn("Rating", digits / F.lit(100.0))
+
+
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -160,7 +168,7 @@ def scraped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scraped-text layout in two overlapping batches (rows with k % 3 = 2 are in both)."""
-    fields = scraped_fields(spark, sf_dir)
+    fields = stored(spark, sf_dir, "scraped_fields")
     b1 = fields.filter(F.col("pos") % 3 != 0).withColumn("batch", F.lit(1))
     b2 = fields.filter(F.col("pos") % 3 != 1).withColumn("batch", F.lit(2))
     cols = ["batch", "pos", "Name", "Rating", "Rating Count", "Headquarters",

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bindings import scraped_fields
+from .bindings import stored
 
 PAGE_SIZE = 20
 LISTING_URL = "https://listing.example/companies?page="
@@ -45,7 +45,7 @@ def _card(k: Column) -> Column:
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, url, html)``: one listing page per 20 keys (a bounded group)."""
-    f = scraped_fields(spark, sf_dir)
+    f = stored(spark, sf_dir, "scraped_fields")
     k = F.col("pos")
     cards = f.select(F.floor(k / PAGE_SIZE).alias("page_id"), k.alias("k"), _card(k).alias("card"))
     pages = cards.groupBy("page_id").agg(
@@ -65,7 +65,7 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     The fields come from a table of few files; they are hash-spread before
     rendering so that the CPU-heavy page parsing downstream runs in parallel
     (the fields are smaller than the pages; AQE sizes the partitions)."""
-    f = (scraped_fields(spark, sf_dir).filter(F.col("pos") % 19 != 0)
+    f = (stored(spark, sf_dir, "scraped_fields").filter(F.col("pos") % 19 != 0)
          .repartition("pos"))  # no fixed count: AQE sizes the partitions
     k = F.col("pos")
     year = F.coalesce(F.col("Company_year"), F.lit("not disclosed"))

@@ -20,8 +20,10 @@ COMPANIES_DDL = """(
 )"""
 
 
-def use_database(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+def use_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create the database if needed (its tables go under ``location``) and make it current."""
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{place}")
     spark.catalog.setCurrentDatabase(name)
 
 

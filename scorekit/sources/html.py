@@ -20,6 +20,15 @@ from html.parser import HTMLParser
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
 RAW_TEXT = {"script", "style"}
+# An open element of the first kind ends where one of the second begins.
+IMPLIED_END = {
+    "p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section",
+          "article", "form", "pre", "blockquote", "hr"},
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
+    "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"},
+}
+#: Elements that keep an open one outside them from ending.
+SCOPE = {"table", "ul", "ol", "dl", "select", "div", "#document"}
 
 
 class Node:
@@ -33,26 +42,38 @@ class Node:
 
     # -- navigation ---------------------------------------------------------
     def elements(self) -> Iterator["Node"]:
-        """Descendant elements in document order."""
-        for ch in self.children:
-            if isinstance(ch, Node):
+        """Descendant elements in document order (an explicit stack: pages nest deeply)."""
+        stack = [iter(self.children)]
+        while stack:
+            ch = next(stack[-1], None)
+            if ch is None:
+                stack.pop()
+            elif isinstance(ch, Node):
                 yield ch
-                yield from ch.elements()
+                stack.append(iter(ch.children))
 
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
     def text(self) -> str:
-        if self.tag in RAW_TEXT:
-            return ""
-        return "".join(ch if isinstance(ch, str) else ch.text() for ch in self.children)
+        out, stack = [], [self]
+        while stack:
+            ch = stack.pop()
+            if isinstance(ch, str):
+                out.append(ch)
+            elif ch.tag not in RAW_TEXT:
+                stack.extend(reversed(ch.children))
+        return "".join(out)
 
     @property
     def string(self) -> str | None:
-        if len(self.children) != 1:
-            return None
-        ch = self.children[0]
-        return ch if isinstance(ch, str) else ch.string
+        node = self
+        while len(node.children) == 1:
+            ch = node.children[0]
+            if isinstance(ch, str):
+                return ch
+            node = ch
+        return None
 
     def _siblings(self):
         return self.parent.children if self.parent is not None else []
@@ -121,7 +142,18 @@ class _Builder(HTMLParser):
         self.root = Node("#document", {}, None)
         self.stack = [self.root]
 
+    def _end_implied(self, tag):
+        """Close the nearest open elements that the start of ``tag`` ends."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            if tag in IMPLIED_END.get(self.stack[i].tag, ()):
+                del self.stack[i:]
+                if tag != "tr":  # a new row ends an open cell and its row
+                    return
+            elif self.stack[i].tag in SCOPE:
+                return
+
     def handle_starttag(self, tag, attrs):
+        self._end_implied(tag)
         node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.stack[-1])
         self.stack[-1].children.append(node)
         if tag not in VOID:

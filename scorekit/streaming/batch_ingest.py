@@ -42,20 +42,21 @@ def _write_firsts(out: str):
 
 
 def _cleaned(stream: DataFrame) -> DataFrame:
-    df = impute_constants(parse_fields(stream))
+    df = impute_constants(parse_fields(stream, on_error="null"))
     df = df.withColumn("Rating", F.col("Rating").try_cast("double"))
     return df.dropna(subset=["Name", "Rating"]).select(*ORDER, *CLEAN_COLUMNS)
 
 
 def _write_histogram(out: str):
     def run(batch: DataFrame, epoch: int) -> None:
-        (parse_fields(batch).groupBy(F.col("Employees Count").alias("value")).count()
+        (parse_fields(batch, on_error="null").groupBy(F.col("Employees Count").alias("value")).count()
          .write.mode("overwrite").parquet(f"{out}_employees/epoch={epoch}"))
     return run
 
 
 def _source(spark: SparkSession, landing: str, files_per_trigger: int) -> DataFrame:
     return (spark.readStream.schema(COMPANIES_RAW).option("header", True)
+                 .option("mode", "FAILFAST")
                  .option("maxFilesPerTrigger", files_per_trigger).csv(landing))
 
 
@@ -77,11 +78,10 @@ def start_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
 
 def read_ingested(spark: SparkSession, out: str) -> DataFrame:
     """The ingested rows with the global median of employees filled in."""
-    from ..operators import median_table, native_window_ok
+    from ..operators import median_table
     hist = (spark.read.parquet(f"{out}_employees").groupBy("value")
                  .agg(F.sum("count").alias("n")))
     median = median_table(hist, [], "value", "_median", weight="n",
-                          distributed=not native_window_ok(hist, []),
                           label="ingest-median").scalar()
     rows = keep_first(spark.read.parquet(out).drop("epoch"), list(KEYS), list(ORDER))
     return (rows.withColumn("Employees Count", F.coalesce(F.col("Employees Count"), median))
@@ -89,7 +89,7 @@ def read_ingested(spark: SparkSession, out: str) -> DataFrame:
 
 
 def ingest_batches(raw: DataFrame, label: str = "ingest") -> DataFrame:
-    """Land each ``batch`` of ``raw`` as CSV in crawl order, stream them in and
+    """Land ``raw`` as CSV files split by ``batch``, stream them in, a file at a time, and
     return the ingested table (used by the registered streaming query)."""
     import uuid
 
@@ -97,9 +97,8 @@ def ingest_batches(raw: DataFrame, label: str = "ingest") -> DataFrame:
     spark = raw.sparkSession
     base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/checkpoint"
-    batches = sorted(r[0] for r in raw.select("batch").distinct().collect())
-    for b in batches:  # one landing file set per crawl run, ingested before the next lands
-        raw.filter(F.col("batch") == b).write.mode("append").option("header", True).csv(landing)
-        for q in start_ingest(spark, landing, out, ckpt, files_per_trigger=1000, once=True):
-            q.awaitTermination()
+    # one pass: every crawl run lands in files of its own, which the stream takes in turn
+    (raw.repartitionByRange("batch").write.option("header", True).csv(landing))
+    for q in start_ingest(spark, landing, out, ckpt, files_per_trigger=1, once=True):
+        q.awaitTermination()
     return read_ingested(spark, out)

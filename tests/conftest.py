@@ -12,22 +12,11 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from scorekit.session import get_spark
+    from scorekit.session import get_spark, release_intermediates
     wh = tempfile.mkdtemp(prefix="scorekit-wh-")
     s = get_spark("scorekit-tests", master="local[*]", shuffle_partitions=8,
-                  extra={"spark.sql.warehouse.dir": wh})
+                  extra={"spark.sql.warehouse.dir": wh, "spark.driver.memory": "8g",
+                         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="scorekit-ckpt-")})
     yield s
+    release_intermediates(s)
     s.stop()
-
-
-@pytest.fixture
-def distributed(spark):
-    """Force the sort-based distributed path of the position operators."""
-    from scorekit.operators.positions import MAX_GROUP_ROWS_CONF
-    old = spark.conf.get(MAX_GROUP_ROWS_CONF, None)
-    spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
-    yield spark
-    if old is None:
-        spark.conf.unset(MAX_GROUP_ROWS_CONF)
-    else:
-        spark.conf.set(MAX_GROUP_ROWS_CONF, old)

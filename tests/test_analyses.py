@@ -98,16 +98,46 @@ ALL = [
 
 
 @pytest.mark.parametrize("fn", ALL)
-def test_native_and_distributed_paths_agree(spark, fn):
-    from scorekit.operators.positions import MAX_GROUP_ROWS_CONF
+def test_results_do_not_depend_on_partitioning(spark, fn):
     df = companies(spark, SF_SMALL)
-    native = sorted(map(tuple, fn(df).collect()), key=repr)
-    spark.conf.set(MAX_GROUP_ROWS_CONF, "0")
-    try:
-        dist = sorted(map(tuple, fn(df).collect()), key=repr)
-    finally:
-        spark.conf.unset(MAX_GROUP_ROWS_CONF)
-    assert native == dist
+    one = sorted(map(tuple, fn(df).collect()), key=repr)
+    assert one == sorted(map(tuple, fn(df.repartition(7, "Rating")).collect()), key=repr)
+
+
+def test_averages_keep_all_decimals(spark):
+    rows = [(i, "A", r, "x", 2000, 10, 100, "P") for i, r in enumerate([4.25, 4.25, 4.75])]
+    df = spark.createDataFrame(rows, COMPANIES)
+    from scorekit.functions import exact_avg
+    assert df.limit(2).agg(exact_avg("Rating")).first()[0] == 4.25
+    assert A.size_distribution(df).first().AverageRating == 4.42
+    assert A.concentration(df).first().avg_rating == 4.417
+
+
+def test_concentration_of_huge_groups(spark):
+    """Group sizes whose squares exceed 64 bits."""
+    from pyspark.sql import functions as F
+    c = F.col("c").cast("decimal(18,0)")
+    wide = F.sum("c").cast("double")
+    df = spark.createDataFrame([(4_000_000_000,), (4_000_000_000,)], "c long")
+    assert df.agg(F.sum(c * c).cast("double") / (wide * wide)).first()[0] == 0.5
+
+
+def test_order_of_rows(spark):
+    """The order that each analysis asks for, not only its rows."""
+    df = companies(spark, SF_SMALL)
+    for out, keys in ((A.credibility_rank(df), ("Country", "country_rank")),
+                      (A.overperformers(df), ("size_segment", "segment_rank")),
+                      (A.review_bias(df), ("bias_rank", "Country")),
+                      (A.competitive_intensity(df, as_of_year=2002), ("competitive_rank", "Country")),
+                      (A.mature_underperformers(df, as_of_year=2002),
+                       ("Country", "underperformance_rank")),
+                      (A.emerging_employers(df, as_of_year=2002), ("Country", "emerging_rank")),
+                      (A.combined_segments(df, as_of_year=2002),
+                       ("Country", "segment_rank", "combined_segment")),
+                      (A.composite_rank(df, as_of_year=2002), ("Country", "composite_rank")),
+                      (A.concentration(df), ("concentration_rank", "Country"))):
+        got = [tuple((r[k] is not None, r[k]) for k in keys) for r in out.collect()]
+        assert got == sorted(got)
 
 
 def test_zero_year_option(spark):

@@ -57,3 +57,28 @@ def test_class_text_any_class(spark):
          (2, "<p>none</p>")], "page_id long, html string")
     out = X.extract_class_text(pages, "rating_text", "txt").orderBy("page_id", "pos").collect()
     assert [(r.page_id, r.pos, r.txt) for r in out] == [(1, 0, "4.1"), (1, 1, "3.9")]
+
+
+def test_deeply_nested_page():
+    root = H.parse("<div>" * 5000 + "x" + "<p>" * 5000 + '<h1 class="t">end</h1>')
+    assert root.text() == "xend" and H.find(root, class_="t").string == "end"
+    assert H.find(root, tag="div").string is None
+
+
+def test_implied_end_tags_make_siblings():
+    root = H.parse("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><p>one<p>two<div>three</div>"
+                   "<table><tr><td>1<td>2<tr><td>3</table>")
+    top = [n for n in root.children if n.tag == "ul"][0]
+    assert [c.text() for c in top.children] == ["a", "bc", "d"]
+    assert [p.text() for p in H.find_all(root, tag="p")] == ["one", "two"]
+    assert [[d.text() for d in r.children] for r in H.find_all(root, tag="tr")] == [["1", "2"], ["3"]]
+
+
+def test_links_in_any_quotes_and_case(spark):
+    page = """<a href='x'>1</a><A HREF="y&amp;z">2</A><a class=k href=w>3</a>
+              <a data-href="no">4</a><a title="a > b" href = "v&#x41;&#66;&nbsp;">5</a><abbr href="q">"""
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string")
+    assert [r.href for r in X.page_links(pages).collect()] == ["x", "y&z", "w", "vAB\u00a0"]
+    heads = spark.createDataFrame([(1, "<H1 id=a>T &amp;lt; &#8364;&hellip;</H1 >")],
+                                  "page_id long, html string")
+    assert X.page_headings(heads).first().heading == "T &lt; \u20ac\u2026"

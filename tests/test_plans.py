@@ -36,7 +36,7 @@ def test_lineitem_is_aggregated_before_the_join(spark):
     assert agg > join  # printed below (= evaluated before) the orders join
 
 
-def test_global_ntile_not_single_partition(spark, distributed):
+def test_global_ntile_not_single_partition(spark):
     df = stored(spark, SF_SMALL, "companies")
     assert "SinglePartition" not in _plan(A.overperformers(df))
 
@@ -48,29 +48,22 @@ def test_scalar_subqueries_instead_of_cross_join(spark):
     assert "Subquery" in plan
 
 
-def test_benchmark_join_broadcast_only_after_size_check(spark):
+def test_stored_joins_broadcast_by_bytes(spark):
     from pyspark.sql import functions as F
 
-    from scorekit.session import join_checked
+    from scorekit.session import join_stored
     rows = stored(spark, SF_SMALL, "companies")
     stats = rows.groupBy("Country").agg(F.count(F.lit(1)).alias("n"))
+    assert "BroadcastHashJoin" in _plan(join_stored(rows, stats, ["Country"]))
     key = "spark.sql.autoBroadcastJoinThreshold"
     old = spark.conf.get(key)
-    spark.conf.set(key, "-1")  # only our checked hint may broadcast
+    spark.conf.set(key, "16")  # the table is larger than that
     try:
-        small = join_checked(rows, stats, ["Country"], label="t-small")
-        big = join_checked(rows, stats, ["Country"], label="t-big", max_rows=0)
-        assert "BroadcastHashJoin" in _plan(small)
-        assert "SortMergeJoin" in _plan(big) and "BroadcastHashJoin" not in _plan(big)
+        assert "SortMergeJoin" in _plan(join_stored(rows, stats, ["Country"]))
     finally:
         spark.conf.set(key, old)
 
 
-def test_distributed_variants_take_the_distributed_path(spark):
-    from __spark_entry__ import queries
-    q = queries()
-    dist = _plan(q["composite_rank_distributed"](spark, SF_SMALL))
-    native = _plan(q["composite_rank"](spark, SF_SMALL))
-    # the distributed plan joins the materialised per-(partition, group) offsets
-    assert "_seg_off" in dist and "_seg_off" not in native
-    assert "Window" in native
+def test_rankings_have_one_plan(spark):
+    plan = _plan(A.composite_rank(stored(spark, SF_SMALL, "companies"), as_of_year=2002))
+    assert "_seg_off" in plan and "SinglePartition" not in plan

@@ -28,7 +28,7 @@ def _native(df, fn, order):
     return df.withColumn("native", fn.over(w))
 
 
-def test_row_positions_distributed_equals_native(spark, distributed):
+def test_row_positions_distributed_equals_native(spark):
     df = spark.createDataFrame(_skewed_rows(1), SCHEMA).repartition(5)
     order = [("x", "desc"), ("y", "asc"), ("id", "asc")]
     got = row_positions(df, ["g"], order, "rn", "n")
@@ -39,7 +39,7 @@ def test_row_positions_distributed_equals_native(spark, distributed):
     assert got.count() == df.count()
 
 
-def test_ranks_distributed_equals_native(spark, distributed):
+def test_ranks_distributed_equals_native(spark):
     df = spark.createDataFrame(_skewed_rows(2), SCHEMA)
     got = ranks_within(df, ["g"], [([("x", "desc"), ("y", "asc")], "rk", "rank"),
                                    ([("y", "desc")], "drk", "dense_rank")])
@@ -60,7 +60,7 @@ def test_ntile_matches_sql(spark, n, k):
     assert not sizes or max(sizes) - min(sizes) <= 1
 
 
-def test_global_ntile_distributed(spark, distributed):
+def test_global_ntile_distributed(spark):
     df = spark.createDataFrame(_skewed_rows(3, 301), SCHEMA)
     got = ntile_within(df, [], [("y", "asc"), ("id", "asc")], 3, "t")
     chk = got.withColumn("native", F.ntile(3).over(Window.orderBy("y", "id")))
@@ -69,7 +69,7 @@ def test_global_ntile_distributed(spark, distributed):
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_rank_all_brute_force(spark, distributed):
+def test_rank_all_brute_force(spark):
     vals = [3.0, 1.0, 3.0, None, 2.0, 1.0]
     df = spark.createDataFrame(list(enumerate(vals)), "id long, v double")
     got = {r.id: r.r for r in rank_all(df, [("v", "desc")], "r").collect()}
@@ -79,7 +79,7 @@ def test_rank_all_brute_force(spark, distributed):
     assert got == expect
 
 
-def test_invariant_under_repartition(spark, distributed):
+def test_invariant_under_repartition(spark):
     df = spark.createDataFrame(_skewed_rows(4), SCHEMA)
     order = [("x", "asc"), ("id", "asc")]
     a = {r.id: r.rn for r in row_positions(df, ["g"], order, "rn", "n").collect()}
@@ -109,13 +109,13 @@ def test_hot_group_is_spread_over_partitions(spark):
     assert got == expect
 
 
-def test_distributed_median_brute_force(spark, distributed):
+def test_distributed_median_brute_force(spark):
     import statistics
 
     from scorekit.operators import group_median, median_table
     rows = _skewed_rows(5, 333)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.g: r.m for r in median_table(df, ["g"], "y", "m", distributed=True).collect()}
+    got = {r.g: r.m for r in median_table(df, ["g"], "y", "m").collect()}
     groups = {}
     for _, g, _, y in rows:
         groups.setdefault(g, []).append(y)
@@ -130,12 +130,10 @@ def test_distributed_median_brute_force(spark, distributed):
     assert (overall.n, overall.m) == (len(rows), float(statistics.median(r[3] for r in rows)))
 
 
-def test_weighted_median_matches_expanded_rows(spark, distributed):
+def test_weighted_median_matches_expanded_rows(spark):
     from scorekit.operators import median_table
     hist = [(1.0, 3), (2.0, 1), (5.0, 4), (7.0, 2)]  # expands to 10 rows
     df = spark.createDataFrame(hist, "v double, n long")
     expanded = sorted(v for v, n in hist for _ in range(n))
     expect = (expanded[4] + expanded[5]) / 2
-    for dist in (False, True):
-        got = median_table(df, [], "v", "m", distributed=dist, weight="n").first().m
-        assert got == expect
+    assert median_table(df, [], "v", "m", weight="n").first().m == expect

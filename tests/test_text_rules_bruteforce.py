@@ -1,69 +1,29 @@
-"""Native text cleaners vs straightforward Python statements of the same rules."""
-
-import re
-from decimal import Decimal, InvalidOperation
+"""Native text cleaners: literal cases and properties over generated text."""
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scorekit.functions.text import country_of, employee_count, suffixed_count
 
-
-def py_unit_number(text):
-    m = re.search(r"[0-9]+", text)
-    if not m:
-        return None
-    n = int(m.group())
-    if "lakh" in text:
-        return n * 100000
-    if "k" in text:
-        return n * 1000
-    return n
-
-
-def py_employee_count(text):
-    if not text:
-        return None
-    t = text.lower().replace(",", "").strip()
-    if "-" in t:
-        vals = [py_unit_number(p) for p in t.split("-")]
-        return max(vals) if all(vals) else None
-    return py_unit_number(t)
-
-
-def py_suffixed_count(text):
-    if text is None:
-        return None
-    u = text.strip().upper()
-    if "L" in u:
-        num, mult = u.replace("L", ""), 100000
-    elif "K" in u:
-        num, mult = u.replace("K", ""), 1000
-    else:
-        num, mult = u, 1
-    try:
-        return float(Decimal(num.strip()) * mult)
-    except InvalidOperation:
-        return None
-
-
-def py_country(hq):
-    if hq is None:
-        return None
-    parts = [p.strip() for p in re.sub(r"\.+", ",", hq.strip()).split(",") if p.strip()]
-    if not parts:
-        return None
-    return "USA" if "United States" in parts[-1] else parts[-1]
-
-
-WORDS = st.lists(st.sampled_from(["1", "5", "50", "501", "k", "K", " lakh", " Lakh", "+", "-",
-                                  ",", " ", "0", "10", "x"]), max_size=6).map("".join)
-COUNTS = st.tuples(st.integers(0, 999), st.sampled_from(["", ".1", ".35"]),
-                   st.sampled_from(["", "k", "K", "L", "l", " K"]),
-                   st.sampled_from(["", " "])).map(lambda t: f"{t[3]}{t[0]}{t[1]}{t[2]}{t[3]}")
-PLACES = st.lists(st.sampled_from(["Pune", "Noida", "United States of America", " ", ".", "..",
-                                   ",", "India", "Uttar Pradesh"]), max_size=5).map("".join)
+EMPLOYEES = {
+    None: None, "": None, "unknown": None, "12": 12, "1,234": 1234, " 501-1k ": 1000,
+    "10k-50k": 50000, "50k-1 lakh": 100000, "1 Lakh+": 100000, "0-10": None, "5-": None,
+    "-": None, "1k Employees": 1000, "200-50": 200, "7-x": None, "lakh": None,
+    "9999999999999999999": None, "9223372036854775807": 9223372036854775807,
+    "9223372036854775807k": None, "1-2-3": 3, "3K": 3000,
+}
+COUNTS = {
+    None: None, "950": 950.0, "3.1k": 3100.0, "3.1K ": 3100.0, "2.3L": 230000.0, " 1.2l": 120000.0,
+    "1.5 K": 1500.0, "abc": None, "": None, "k": None, "0.1234567k": 123.4567,
+    "1234567890123456": 1234567890123456.0, "1KL": None,
+}
+COUNTRIES = {
+    None: None, "": None, "...": None, "India": "India", "Pune, India": "India",
+    "Noida.. Uttar Pradesh": "Uttar Pradesh", "x, United States of America": "USA",
+    "United States, India": "India", " Pune ,, ": "Pune", "a.b.c": "c", "Delhi, India.": "India",
+}
 
 
 def _run(spark, values, fn):
@@ -71,24 +31,41 @@ def _run(spark, values, fn):
     return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
 
 
-SET = settings(max_examples=5, deadline=None,
+@pytest.mark.parametrize("fn,cases", [
+    (employee_count, EMPLOYEES), (lambda c: suffixed_count(c, on_error="null"), COUNTS),
+    (country_of, COUNTRIES)])
+def test_literal_cases(spark, fn, cases):
+    assert dict(zip(cases, _run(spark, list(cases), fn))) == cases
+
+
+SET = settings(max_examples=4, deadline=None,
                suppress_health_check=[HealthCheck.function_scoped_fixture])
+NUMBER = st.integers(1, 9_999_999)
 
 
 @SET
-@given(st.lists(WORDS, min_size=1, max_size=40))
-def test_employee_count_rule(spark, values):
-    assert _run(spark, values, employee_count) == [py_employee_count(v) for v in values]
+@given(st.lists(st.tuples(NUMBER, NUMBER), min_size=1, max_size=30))
+def test_a_range_keeps_its_upper_end(spark, pairs):
+    texts = [f"{a:,}-{b:,} employees" for a, b in pairs]
+    assert _run(spark, texts, employee_count) == [max(p) for p in pairs]
 
 
 @SET
-@given(st.lists(COUNTS, min_size=1, max_size=40))
-def test_suffixed_count_rule(spark, values):
-    got = _run(spark, values, lambda c: suffixed_count(c, on_error="null"))
-    assert got == [py_suffixed_count(v) for v in values]
+@given(st.lists(NUMBER, min_size=1, max_size=30))
+def test_units_scale(spark, numbers):
+    plain, k, lakh = (_run(spark, [f"{n}{u}" for n in numbers], employee_count)
+                      for u in ("", "k", " lakh"))
+    assert plain == numbers
+    assert k == [n * 1000 for n in numbers] and lakh == [n * 100_000 for n in numbers]
+    assert _run(spark, [f" {n}k" for n in numbers], suffixed_count) == [n * 1000.0 for n in numbers]
+
+
+PLACE = st.text(alphabet="abc ABC", min_size=1, max_size=8).filter(str.strip)
 
 
 @SET
-@given(st.lists(PLACES, min_size=1, max_size=40))
-def test_country_rule(spark, values):
-    assert _run(spark, values, country_of) == [py_country(v) for v in values]
+@given(st.lists(st.lists(PLACE, min_size=1, max_size=4), min_size=1, max_size=30),
+       st.sampled_from([", ", "..", " ,", ",,"]))
+def test_the_last_part_is_the_country(spark, places, separator):
+    texts = [separator.join(p) for p in places]
+    assert _run(spark, texts, country_of) == [p[-1].strip() for p in places]
