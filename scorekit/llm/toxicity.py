@@ -41,7 +41,7 @@ MAX_WINDOW_BYTES = 512
 MAX_FIT = 3000
 FIT_WORDS = 3000
 LEAST_FIT = 12
-BASE_BYTES, TOXIC_BYTES = 16384, 1024
+BASE_BYTES, TOXIC_BYTES = 16384, 768
 MIN_STEM, MAX_STEM = 4, 10
 SAVED = (1, 2, 3, 4, 5, 6, 8, 10)
 #: Fixed value of the zstandard dictionary format: the three first repeat offsets,
