@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, toxicity
+from . import licenses, quality_rules, toxicity
 from .exact_dedup import exact_groups
 from .licenses import license_digest
 from .mixing import mix
@@ -105,4 +105,101 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY h)
 """
 
-ORACLES = {"op3_exact_dedup": _OP3}
+# Words with their places; a window is told by the digest of its words.
+_OP7 = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                             lambda w: w <> '') AS w
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM words, unnest(range(1, len(w) - 33)) AS t(i)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p
+  FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1
+), places AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text
+  FROM places ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+# Every pair that shares a shingle, and the closure of the links.
+_OP8 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+           lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 2], ' ')) AS s
+  FROM words, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS t(i)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT a AS doc_id, a AS other FROM both_ways
+  UNION
+  SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a
+), least_ids AS (
+  SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id,
+       doc_id = coalesce(least, doc_id) AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least_ids USING (doc_id)
+"""
+
+_PHRASES = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES)
+_TEMPLATES = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')"
+                       for label, t in licenses.TEMPLATES)
+# Every block against every template.
+_OP6 = rf"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '{licenses.NO_WORD}'), lambda w: w <> '') AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, i - 1 AS start, label
+  FROM words, (VALUES {_PHRASES}) AS p(phrase, label),
+       unnest(range(1, len(w) - len(phrase) + 2)) AS t(i)
+  WHERE w[i:i + len(phrase) - 1] = phrase
+), blocks AS (
+  SELECT doc_id, label, len(list_intersect(w[i + 1:i + {licenses.BLOCK}], wording))
+                        / len(wording) AS share
+  FROM words, (VALUES {_TEMPLATES}) AS t(wording, label),
+       unnest(range(0, greatest(len(w) - {licenses.BLOCK - licenses.STRIDE} - 1, 0) + 1,
+                    {licenses.STRIDE})) AS b(i)
+  WHERE 100 * len(list_intersect(w[i + 1:i + {licenses.BLOCK}], wording))
+        >= {licenses.CONTAINMENT} * len(wording)
+), found AS (
+  SELECT doc_id, label, start, NULL AS share, TRUE AS base FROM places
+  UNION ALL SELECT doc_id, label, NULL, share, FALSE FROM blocks
+), summed AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) AS first_word,
+         max(start) AS last_word, max(share) AS best,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
+       last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0) END AS score
+FROM words LEFT JOIN summed USING (doc_id)
+"""
+
+ORACLES = {"op3_exact_dedup": _OP3, "op6_licenses": _OP6, "op7_substring_dedup": _OP7,
+           "op8_near_dedup": _OP8}
