@@ -116,6 +116,12 @@ def survivors(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perc
     return alive
 
 
+def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which two signatures agree, for each row."""
+    same = (a[:, :BANDS * ROWS] == b[:, :BANDS * ROWS]).reshape(-1, BANDS, ROWS)
+    return same.all(axis=2).argmax(axis=1)
+
+
 def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, N_HASHES)
 
@@ -280,7 +286,9 @@ def _against_pivot(left: DataFrame, sets: DataFrame) -> DataFrame:
 def _rest_pairs(buckets: DataFrame, sigs: DataFrame, percent: int, miss: float) -> DataFrame:
     """Surviving pairs of different components in one bucket, the pivot's apart.
 
-    ``buckets``: ``(bucket, node, root, pivot, size, inside, extra)``.  Two sets share the
+    ``buckets``: ``(bucket, band, node, root, pivot, size, inside, extra)``.  A pair leaves
+    from the bucket of its first common band alone: if that one compared it with a pivot
+    or held no other node, the pair was compared before.  Two sets share the
     pivot's shingles that both have, and at most the smaller of their extra parts.  That
     bounds their similarity exactly, and closely for variants of one text, which would
     otherwise leave in pairs just below the threshold."""
@@ -290,7 +298,8 @@ def _rest_pairs(buckets: DataFrame, sigs: DataFrame, percent: int, miss: float)
     def run(batches):
         for x in batches:
             out_a, out_b = [], []
-            for blocks, same in zip(x.column(0), x.column(1).to_pylist()):
+            for blocks, same, band in zip(x.column(0), *(x.column(i).to_pylist()
+                                                         for i in (1, 2))):
                 sides = [b["members"] for b in blocks.as_py()]
                 if same:
                     sides = [sides[0], sides[0]]
@@ -313,8 +322,10 @@ def _rest_pairs(buckets: DataFrame, sigs: DataFrame, percent: int, miss: float)
                 for at in range(0, len(i), 20_000):
                     p, q = i[at:at + 20_000], j[at:at + 20_000]
                     ok = survivors(sig[0][p], sig[1][q], n[0][p], n[1][q], percent, least)
-                    out_a.append(node[0][p[ok]])
-                    out_b.append(node[1][q[ok]])
+                    p, q = p[ok], q[ok]
+                    first = _first_band(sig[0][p], sig[1][q]) == band
+                    out_a.append(node[0][p[first]])
+                    out_b.append(node[1][q[first]])
             a, b = (np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
@@ -322,14 +333,14 @@ def _rest_pairs(buckets: DataFrame, sigs: DataFrame, percent: int, miss: float)
     d = buckets.join(sigs, "node")
     d = d.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     d = d.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    d = (d.groupBy("bucket", "blocks", "block")
+    d = (d.groupBy("bucket", "band", "blocks", "block")
           .agg(F.collect_list(F.struct("node", "root", "n", "inside",
                                                      "extra", "sig")).alias("members")))
     d = d.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    d = d.groupBy("bucket", F.least("block", "other").alias("lo"),
+    d = d.groupBy("bucket", "band", F.least("block", "other").alias("lo"),
                   F.greatest("block", "other").alias("hi")).agg(
         F.collect_list(F.struct("block", "members")).alias("sides"))
-    return (d.select("sides", F.expr("lo = hi").alias("same"))
+    return (d.select("sides", F.expr("lo = hi").alias("same"), "band")
              .mapInArrow(run, "a long, b long").distinct())
 
 
@@ -342,7 +353,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     bands = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> "
                    f"xxhash64(b, substring(sig, b * {ROWS * 4} + 1, {ROWS * 4})))")
-    banded = sketch.where("n > 0").select("node", F.explode(bands).alias("bucket"))
+    banded = sketch.where("n > 0").select("node", F.posexplode(bands).alias("band", "bucket"))
     shared = materialize(banded.groupBy("bucket").agg(F.min("node").alias("pivot"),
                                                       F.max("node").alias("last"))
                                .where("pivot < last").select("bucket", "pivot"), "shared")
@@ -350,8 +361,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bitmap = materialize(bitmap_of(shared.select(slot_of(F.col("bucket"), 9, n_bits)
                                                  .alias("slot"))), "shared-slots")
     members = with_bit(banded, slot_of(F.col("bucket"), 9, n_bits), bitmap, "hit").where("hit")
-    members = materialize(members.select("bucket", "node").distinct().join(shared, "bucket"),
-                          "members")
+    members = materialize(members.select("bucket", "band", "node").distinct()
+                                 .join(shared, "bucket"), "members")
     pairs = members.where("node != pivot").select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
