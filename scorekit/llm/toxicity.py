@@ -14,8 +14,9 @@ documents; near copies among the sample count once.  Dictionaries come from two
 thirds of the sample, the calibration from the rest.
 
 Bound of the fit: at most ``MAX_FIT`` documents of each class, chosen by a hash of
-their id, and ``FIT_WORDS`` words of each; only this sample reaches the driver.
-Scoring reads whole texts, with no bound.
+their id.  Their whole texts are read, in Arrow passes: keys of near copies, document
+counts of stems, marked and drawn words, and the calibration's features; only these
+reach the driver.  Scoring reads whole texts, with no bound.
 
 Edge cases: null and empty texts score as texts without windows; null labels are
 not used; with fewer than ``LEAST_FIT`` documents of a class every score is the share
@@ -34,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 
 WINDOW = 8
 MAX_WINDOW_BYTES = 512
 MAX_FIT = 3000
-FIT_WORDS = 3000
 LEAST_FIT = 12
 BASE_BYTES, TOXIC_BYTES = 16384, 768
+PLAIN_DRAWS = 60_000
+#: Counted stems that a worker holds before it passes them on.
+MAX_COUNTED = 200_000
 MIN_STEM, MAX_STEM = 4, 10
 SAVED = (1, 2, 3, 4, 5, 6, 8, 10)
 #: Fixed value of the zstandard dictionary format: the three first repeat offsets,
@@ -109,17 +112,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
 
 
-def _distinct(docs: list[list[bytes]]) -> list[list[bytes]]:
-    """Without documents that share one of three minima over word triples with an
-    earlier one: nearly all near copies."""
+def _copy_keys(words: list[bytes]) -> list[bytes]:
+    """Three minima over word triples; nearly all near copies share one."""
     import xxhash
+    triples = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    return [min(xxhash.xxh3_64_digest(t, s) for t in triples) for s in range(3)]
+
+
+def _distinct(docs: list[tuple[int, list[bytes]]]) -> list[int]:
+    """Numbers of the documents that share no key with an earlier one."""
     seen: set = set()
     out = []
-    for words in docs:
-        triples = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
-        keys = {(s, min(xxhash.xxh3_64_intdigest(t, s) for t in triples)) for s in range(3)}
+    for n, keys in docs:
+        keys = set(enumerate(keys))
         if not keys & seen:
-            out.append(words)
+            out.append(n)
         seen |= keys
     return out
 
@@ -128,22 +135,87 @@ def _stems(words) -> set[bytes]:
     return {w[:k] for w in set(words) for k in range(MIN_STEM, MAX_STEM + 1) if len(w) >= k}
 
 
-def _toxic_passages(toxic: list, ordinary: list, rng) -> bytes:
+def _texts(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Number, label and words of the wanted rows of ``n, y, text``, one text at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            n = b.column(0)[i].as_py()
+            if wanted is None or n in wanted:
+                yield n, b.column(1)[i].as_py(), words_of(b.column(2)[i].as_py())
+
+
+def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+
+def _profiles(sample: DataFrame) -> list[dict]:
+    """``n, y, keys, words``: near-copy keys and the count of distinct words of each text."""
+    types = [pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, y, words in _texts(batches, None):
+            yield _rows(["n", "y", "keys", "words"], types,
+                        [(n, y, _copy_keys(words), len(set(words)))])
+
+    rows = sample.mapInArrow(run, "n int, y int, keys array<binary>, words long")
+    return sorted(rows.toArrow().to_pylist(), key=lambda r: r["n"])
+
+
+def _marked_stems(sample: DataFrame, train: dict[int, set[int]]) -> set[bytes]:
+    """Stems that occur in clearly more toxic than ordinary documents."""
+    both = train[0] | train[1]
+    types = [pa.binary(), pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter = Counter()
+        for _, y, words in _texts(batches, both):
+            counted.update((stem, y) for stem in _stems(words))
+            if len(counted) > MAX_COUNTED:
+                yield _rows(["stem", "y", "c"], types, [(*k, c) for k, c in counted.items()])
+                counted.clear()
+        yield _rows(["stem", "y", "c"], types, [(*k, c) for k, c in counted.items()])
+
+    n, m = len(train[1]), len(train[0])
+    t, o = (F.sum(F.when(F.col("y") == v, F.col("c")).otherwise(0)) for v in (1, 0))
+    a, b = F.col("t") / n, (F.col("o") + 1) / (m + 1)
+    stems = (sample.mapInArrow(run, "stem binary, y int, c long").groupBy("stem")
+             .agg(t.alias("t"), o.alias("o"))
+             .where((F.col("t") >= max(4, 0.008 * n)) & (a >= 8 * b)
+                    & (a - b >= 10 * F.sqrt(b * (1 - b) / n))))
+    return set(stems.select("stem").toArrow().column(0).to_pylist())
+
+
+def _training_words(sample: DataFrame, train: dict[int, set[int]], stems: set[bytes],
+                    n_plain: int) -> tuple[Counter, list[bytes]]:
+    """Document counts of the toxic documents' words with a marked stem, and
+    ``PLAIN_DRAWS`` of the ordinary documents' ``n_plain`` distinct words, drawn by a
+    hash of document and word."""
+    import xxhash
+    both = train[0] | train[1]
+    below = int(min(1.0, 1.2 * PLAIN_DRAWS / max(1, n_plain)) * 2**64)
+    types = [pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, y, words in _texts(batches, both):
+            if y:
+                out = [(w, None) for w in set(words)
+                       if any(w[:k] in stems for k in range(MIN_STEM, MAX_STEM + 1))]
+            else:
+                drawn = ((w, xxhash.xxh3_64_digest(w, n)) for w in set(words))
+                out = [(w, h) for w, h in drawn if int.from_bytes(h, "big") < below]
+            yield _rows(["word", "h"], types, out)
+
+    rows = sample.mapInArrow(run, "word binary, h binary").groupBy("word", "h").count()
+    rows = rows.toArrow().to_pylist()
+    marked = Counter({r["word"]: r["count"] for r in rows if r["h"] is None})
+    plain = sorted((r["h"], r["word"]) for r in rows if r["h"] is not None)
+    return marked, [w for _, w in plain[:PLAIN_DRAWS]]
+
+
+def _toxic_passages(marked: Counter, rng) -> bytes:
     """Passages that zstandard picks from words over-represented in toxic documents."""
     import zstandard as zs
-    t, o = Counter(), Counter()
-    for x in toxic:
-        t.update(_stems(x))
-    for x in ordinary:
-        o.update(_stems(x))
-    n, m = len(toxic), len(ordinary)
-    stems = set()
-    for stem, c in t.items():
-        a, b = c / n, (o[stem] + 1) / (m + 1)
-        if c >= max(4, 0.008 * n) and a >= 8 * b and a - b >= 10 * np.sqrt(b * (1 - b) / n):
-            stems.add(stem)
-    marked = Counter(w for x in toxic for w in set(x)
-                     if any(w[:k] in stems for k in range(MIN_STEM, MAX_STEM + 1)))
     pool = [w for w, c in sorted(marked.items()) for _ in range(min(c, 200))]
     if not pool:
         return b""
@@ -154,6 +226,20 @@ def _toxic_passages(toxic: list, ordinary: list, rng) -> bytes:
     return raw[raw.index(HEADER_END) + len(HEADER_END):][-TOXIC_BYTES:]
 
 
+def _held_features(sample: DataFrame, held: set[int],
+                   model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the held texts, by number."""
+    types = [pa.int32(), pa.int32(), pa.list_(pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, y, words in _texts(batches, held):
+            yield _rows(["n", "y", "x"], types, [(n, y, list(model.features(words)))])
+
+    rows = sample.mapInArrow(run, "n int, y int, x array<double>").toArrow().to_pylist()
+    rows.sort(key=lambda r: r["n"])
+    return np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], np.float64)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     b = np.zeros(x.shape[1])
     for _ in range(50):
@@ -163,26 +249,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(texts: list[str | None], toxic: list[int], share: float, seed: int = 7) -> Model:
-    """A model from a labelled sample; ``share`` is the share of toxic labels overall."""
+def fit(sample: DataFrame, share: float, seed: int = 7) -> Model:
+    """A model from a labelled sample ``n, y, text`` of distinct numbers ``n``, read more
+    than once; ``share`` is the share of toxic labels overall."""
     import zstandard as zs
+    ship_package(sample.sparkSession)
     rng = np.random.default_rng(seed)
-    by = {v: [words_of(t)[:FIT_WORDS] for t, y in zip(texts, toxic) if y == v] for v in (0, 1)}
+    profiles = _profiles(sample)
+    by = {v: [r for r in profiles if r["y"] == v] for v in (0, 1)}
     if min(map(len, by.values())) < LEAST_FIT:
         return Model(share=share)
-    train = {v: _distinct([w for i, w in enumerate(d) if i % 3]) for v, d in by.items()}
-    passages = _toxic_passages(train[1], train[0], rng)
-    plain = [w for d in train[0] for w in sorted(set(d))]
-    plain = [b" " + plain[i] for i in rng.permutation(len(plain))[:60_000]]
+    train = {v: set(_distinct([(r["n"], r["keys"]) for i, r in enumerate(d) if i % 3]))
+             for v, d in by.items()}
+    stems = _marked_stems(sample, train)
+    marked, plain = _training_words(sample, train, stems,
+                                    sum(r["words"] for r in by[0] if r["n"] in train[0]))
+    passages = _toxic_passages(marked, rng)
     try:
-        base = zs.train_dictionary(BASE_BYTES, plain).as_bytes()
+        base = zs.train_dictionary(BASE_BYTES, [b" " + w for w in plain]).as_bytes()
     except zs.ZstdError:  # too little text for a dictionary
         return Model(share=share)
     at = base.index(HEADER_END) + len(HEADER_END)
     model = Model(base, base[:at] + passages + base[at + len(passages):], share=share)
-    held = [(w, v) for v, d in by.items() for w in d[::3]]
-    x = np.array([model.features(w) for w, _ in held])
-    y = np.array([v for _, v in held], np.float64)
+    x, y = _held_features(sample, {r["n"] for d in by.values() for r in d[::3]}, model)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = _logistic(np.c_[(x - model.mean) / model.scale, np.ones(len(x))], y, weight)
@@ -208,16 +297,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
     for v in (0, 1):
         part = marked.where(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(max_fit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.select(F.col("id").alias("_id"), "y")
-    # the sample holds 2 * max_fit ids at most, so it is broadcast
-    head = F.array_join(F.slice(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), 1, FIT_WORDS + 1),
-                        " ").alias("text")
-    rows = (docs.select(F.col(id_col).alias("_doc"), head)
-                .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-                .groupBy("_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
-                .orderBy(F.xxhash64("_id"), "_id").toArrow())
-    return fit(rows.column("text").to_pylist(), rows.column("y").to_pylist(),
-               counts.get(1, 0) / total)
+    # 2 * max_fit ids at most, numbered in the order of their hash and broadcast
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").select(F.col("id").alias("_id"), "y").toArrow()
+    chosen = chosen.append_column("n", pa.array(range(chosen.num_rows), pa.int32()))
+    chosen = docs.sparkSession.createDataFrame(chosen)
+    sample = (docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+                  .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+                  .groupBy("n").agg(F.first("y").alias("y"), F.min("text").alias("text")))
+    return fit(materialize(sample, "toxicity-sample"), counts.get(1, 0) / total)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id",

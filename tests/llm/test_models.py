@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scorekit.llm import quality_rules, resampling, toxicity
 from scorekit.llm.boosting import fit_trees
@@ -77,6 +78,23 @@ def test_toxicity_on_held_out_labels(spark, marked):
     assert np.mean([p[1] for p in pos]) > 0.55 and np.mean([n[1] for n in neg]) < 0.06
 
 
+def test_toxicity_is_fitted_on_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    plain = ["".join(rng.choice(list("abcdefghijklm"), 7)) for _ in range(4000)]
+    marks = ["".join(rng.choice(list("nopqrstuvwxyz"), 8)) for _ in range(20)]
+
+    def text(i):  # odd documents name the marked words after their 3,000th word only
+        words = list(rng.choice(plain, 3000))
+        tail = rng.choice(marks if i % 2 else plain, 40)
+        return " ".join([*words, *tail])
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(240)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) toxic")
+    model = toxicity.fit_on(docs, labels, usable=F.col("doc_id") < 160)
+    score = {r["doc_id"]: r["score"] for r in rows_of(toxicity.score(docs, model))}
+    assert np.mean([(score[i] >= 0.5) == i % 2 for i in range(160, 240)]) > 0.95
+
+
 def test_quality_rules_counts_and_held_out_accuracy(marked):
     docs, labels = marked
     fit, rest = labels.where("doc_id % 2 = 0"), truth(labels.where("doc_id % 2 = 1"), "quality")
