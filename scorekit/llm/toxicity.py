@@ -1,22 +1,25 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one with passages
-trained on toxic text and one with passages trained on ordinary text.
+"""Toxicity by compression distance: a zstandard dictionary trained on ordinary text,
+and the same dictionary with passages of toxic text before its own.
 
 A text is cut into windows of ``WINDOW`` words; each window is compressed once with
 either dictionary.  Where the toxic dictionary saves bytes, the window holds words
 that toxic text has and ordinary text lacks.  Both dictionaries share the entropy
-tables and the greater part of the ordinary passages, so lengths are comparable and
-differ only by the passages that set them apart.  How many windows, and what share
+tables and all ordinary passages, so lengths are comparable and differ only by the
+passages that set them apart.  How many windows, and what share
 of them, save at least 1, 2, ... bytes goes through a logistic calibration.
 
-The toxic dictionary is trained on the words of toxic documents whose beginnings
-(``MIN_STEM`` to ``MAX_STEM`` bytes) occur in clearly more toxic than ordinary
-documents; near copies among the sample count once.  Dictionaries come from two
-thirds of the sample, the calibration from the rest.
+The toxic passages are all words of toxic documents whose beginnings (``MIN_STEM`` to
+``MAX_STEM`` bytes) occur in clearly more toxic than ordinary documents, and all runs
+of such words that at least two toxic documents have; near copies among the sample
+count once.  Their size follows the sample.  Dictionaries come from two thirds of the
+sample, the calibration from the rest.
 
 Bound of the fit: at most ``MAX_FIT`` documents of each class, chosen by a hash of
 their id.  Their whole texts are read, in Arrow passes: keys of near copies, document
 counts of stems, marked and drawn words, and the calibration's features; only these
-reach the driver.  Scoring reads whole texts, with no bound.
+reach the driver.  The ordinary passages are ``BASE_BYTES`` that zstandard picks from
+``PLAIN_DRAWS`` words of the ordinary documents.  The three bounds are parameters of
+``fit_on``.  Scoring reads whole texts, with no bound.
 
 Edge cases: null and empty texts score as texts without windows; null labels are
 not used; with fewer than ``LEAST_FIT`` documents of a class every score is the share
@@ -41,7 +44,7 @@ WINDOW = 8
 MAX_WINDOW_BYTES = 512
 MAX_FIT = 3000
 LEAST_FIT = 12
-BASE_BYTES, TOXIC_BYTES = 16384, 768
+BASE_BYTES = 16384
 PLAIN_DRAWS = 60_000
 #: Counted stems that a worker holds before it passes them on.
 MAX_COUNTED = 200_000
@@ -64,10 +67,10 @@ def windows_of(words: list[bytes]) -> list[bytes]:
     return out
 
 
-def _compressor(dictionary: bytes):
+def _compressor(dictionary: bytes, size: int):
     import zstandard as zs
     params = zs.ZstdCompressionParameters.from_level(
-        3, source_size=128, dict_size=len(dictionary), strategy=zs.STRATEGY_BTOPT, min_match=3,
+        3, source_size=128, dict_size=size, strategy=zs.STRATEGY_BTOPT, min_match=3,
         write_content_size=False, write_checksum=False, write_dict_id=False)
     d = zs.ZstdCompressionDict(dictionary)
     d.precompute_compress(compression_params=params)
@@ -94,7 +97,8 @@ class Model:
     def saved(self, words: list[bytes]) -> np.ndarray:
         """Bytes that the toxic dictionary saves, for each window."""
         if self._pair is None:
-            self._pair = _compressor(self.ordinary), _compressor(self.toxic)
+            self._pair = tuple(_compressor(d, len(self.toxic))
+                               for d in (self.ordinary, self.toxic))
         a, b = self._pair
         return np.array([len(a.compress(w)) - len(b.compress(w)) for w in windows_of(words)],
                         np.float64)
@@ -186,44 +190,50 @@ def _marked_stems(sample: DataFrame, train: dict[int, set[int]]) -> set[bytes]:
     return set(stems.select("stem").toArrow().column(0).to_pylist())
 
 
+def _runs(words: list[bytes], marked: set[bytes]) -> set[bytes]:
+    """Stretches of two or more marked words, as they stand in the text."""
+    out, run = set(), []
+    for w in [*words, None]:
+        if w in marked:
+            run.append(w)
+        else:
+            if len(run) > 1:
+                out.add(b" ".join(run))
+            run = []
+    return out
+
+
 def _training_words(sample: DataFrame, train: dict[int, set[int]], stems: set[bytes],
-                    n_plain: int) -> tuple[Counter, list[bytes]]:
-    """Document counts of the toxic documents' words with a marked stem, and
-    ``PLAIN_DRAWS`` of the ordinary documents' ``n_plain`` distinct words, drawn by a
-    hash of document and word."""
+                    n_plain: int, plain_draws: int) -> tuple[dict[bytes, int], list[bytes]]:
+    """Document counts of the toxic documents' words with a marked stem, and of the runs of
+    such words that two documents have; and ``plain_draws`` of the ordinary documents'
+    ``n_plain`` distinct words, drawn by a hash of document and word."""
     import xxhash
     both = train[0] | train[1]
-    below = int(min(1.0, 1.2 * PLAIN_DRAWS / max(1, n_plain)) * 2**64)
+    below = int(min(1.0, 1.2 * plain_draws / max(1, n_plain)) * 2**64)
     types = [pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, y, words in _texts(batches, both):
-            if y:
-                out = [(w, None) for w in set(words)
-                       if any(w[:k] in stems for k in range(MIN_STEM, MAX_STEM + 1))]
+            if y:  # words have no hash, runs an empty one
+                marked = {w for w in set(words)
+                          if any(w[:k] in stems for k in range(MIN_STEM, MAX_STEM + 1))}
+                out = [(w, None) for w in marked] + [(r, b"") for r in _runs(words, marked)]
             else:
                 drawn = ((w, xxhash.xxh3_64_digest(w, n)) for w in set(words))
                 out = [(w, h) for w, h in drawn if int.from_bytes(h, "big") < below]
             yield _rows(["word", "h"], types, out)
 
     rows = sample.mapInArrow(run, "word binary, h binary").groupBy("word", "h").count()
-    rows = rows.toArrow().to_pylist()
-    marked = Counter({r["word"]: r["count"] for r in rows if r["h"] is None})
-    plain = sorted((r["h"], r["word"]) for r in rows if r["h"] is not None)
-    return marked, [w for _, w in plain[:PLAIN_DRAWS]]
+    rows = rows.where("h is null or h != X'' or count > 1").toArrow().to_pylist()
+    marked = {r["word"]: r["count"] for r in rows if not r["h"]}
+    plain = sorted((r["h"], r["word"]) for r in rows if r["h"])
+    return marked, [w for _, w in plain[:plain_draws]]
 
 
-def _toxic_passages(marked: Counter, rng) -> bytes:
-    """Passages that zstandard picks from words over-represented in toxic documents."""
-    import zstandard as zs
-    pool = [w for w, c in sorted(marked.items()) for _ in range(min(c, 200))]
-    if not pool:
-        return b""
-    pool = [pool[i] for i in rng.permutation(len(pool))]
-    pool = (pool * (1 + 20_000 // len(pool)))[:20_000]
-    lines = [b" " + b" ".join(pool[i:i + WINDOW]) for i in range(0, len(pool), WINDOW)]
-    raw = zs.train_dictionary(TOXIC_BYTES + 600, lines, k=32, d=6, level=3).as_bytes()
-    return raw[raw.index(HEADER_END) + len(HEADER_END):][-TOXIC_BYTES:]
+def _toxic_passages(marked: dict[bytes, int]) -> bytes:
+    """All marked words and runs, the most frequent last."""
+    return b"".join(b" " + w for w, c in sorted(marked.items(), key=lambda x: (x[1], x[0])))
 
 
 def _held_features(sample: DataFrame, held: set[int],
@@ -249,12 +259,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(sample: DataFrame, share: float, seed: int = 7) -> Model:
+def fit(sample: DataFrame, share: float, base_bytes: int = BASE_BYTES,
+        plain_draws: int = PLAIN_DRAWS) -> Model:
     """A model from a labelled sample ``n, y, text`` of distinct numbers ``n``, read more
     than once; ``share`` is the share of toxic labels overall."""
     import zstandard as zs
     ship_package(sample.sparkSession)
-    rng = np.random.default_rng(seed)
     profiles = _profiles(sample)
     by = {v: [r for r in profiles if r["y"] == v] for v in (0, 1)}
     if min(map(len, by.values())) < LEAST_FIT:
@@ -263,14 +273,14 @@ def fit(sample: DataFrame, share: float, seed: int = 7) -> Model:
              for v, d in by.items()}
     stems = _marked_stems(sample, train)
     marked, plain = _training_words(sample, train, stems,
-                                    sum(r["words"] for r in by[0] if r["n"] in train[0]))
-    passages = _toxic_passages(marked, rng)
+                                    sum(r["words"] for r in by[0] if r["n"] in train[0]),
+                                    plain_draws)
     try:
-        base = zs.train_dictionary(BASE_BYTES, [b" " + w for w in plain]).as_bytes()
+        base = zs.train_dictionary(base_bytes, [b" " + w for w in plain]).as_bytes()
     except zs.ZstdError:  # too little text for a dictionary
         return Model(share=share)
     at = base.index(HEADER_END) + len(HEADER_END)
-    model = Model(base, base[:at] + passages + base[at + len(passages):], share=share)
+    model = Model(base, base[:at] + _toxic_passages(marked) + base[at:], share=share)
     x, y = _held_features(sample, {r["n"] for d in by.values() for r in d[::3]}, model)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
@@ -280,9 +290,11 @@ def fit(sample: DataFrame, share: float, seed: int = 7) -> Model:
 
 def fit_on(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
            id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-           max_fit: int = MAX_FIT) -> Model:
+           max_fit: int = MAX_FIT, base_bytes: int = BASE_BYTES,
+           plain_draws: int = PLAIN_DRAWS) -> Model:
     """Fit on at most ``max_fit`` labelled documents of each class for which
-    ``usable``, a condition on the id, holds."""
+    ``usable``, a condition on the id, holds; ``base_bytes`` and ``plain_draws`` bound
+    the ordinary passages and the words that they are picked from."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     marked = marked.where("id is not null and y in (0, 1)")
     if usable is not None:
@@ -304,7 +316,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
     sample = (docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
                   .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
                   .groupBy("n").agg(F.first("y").alias("y"), F.min("text").alias("text")))
-    return fit(materialize(sample, "toxicity-sample"), counts.get(1, 0) / total)
+    return fit(materialize(sample, "toxicity-sample"), counts.get(1, 0) / total, base_bytes,
+               plain_draws)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id",

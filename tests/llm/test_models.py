@@ -95,6 +95,25 @@ def test_toxicity_is_fitted_on_whole_texts(spark):
     assert np.mean([(score[i] >= 0.5) == i % 2 for i in range(160, 240)]) > 0.95
 
 
+def test_toxic_dictionary_holds_all_marked_words_and_runs(spark):
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("abcdefghijklm"), 7)) for _ in range(4000)]
+    marks = ["".join(rng.choice(list("nopqrstuvwxyz"), 9)) for _ in range(300)]
+
+    def text(i):
+        words = list(rng.choice(plain, 600))
+        for w in rng.permutation(marks[:-2]) if i % 2 else ():
+            words.insert(rng.integers(len(words)), w)
+        return " ".join([*words, *(marks[-2:] if i % 2 else ())])
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(120)], "doc_id long, text string")
+    model = toxicity.fit_on(docs, docs.selectExpr("doc_id", "int(doc_id % 2) toxic"))
+    assert all(f" {w}".encode() in model.toxic for w in marks)
+    assert " ".join(marks[-2:]).encode() in model.toxic
+    at = model.ordinary.index(toxicity.HEADER_END)
+    assert model.toxic.endswith(model.ordinary[at + len(toxicity.HEADER_END):])
+
+
 def test_quality_rules_counts_and_held_out_accuracy(marked):
     docs, labels = marked
     fit, rest = labels.where("doc_id % 2 = 0"), truth(labels.where("doc_id % 2 = 1"), "quality")
