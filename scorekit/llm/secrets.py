@@ -4,8 +4,9 @@ Base rules find assignments, access keys and long hex runs by pattern.  On top o
 them, candidate strings of an alphabet that secrets use are scanned with a sliding
 window: the Shannon entropy of every window comes from running counts (one
 character enters, one leaves), and a candidate whose highest window reaches its
-character class's threshold is reported, unless an allow-list pattern matches it or
-a base span already covers it.
+character class's threshold is reported, unless it has no digit or no letter, or an
+allow-list pattern matches the whole of it.  Base spans and harmless stretches
+(``HARMLESS``) are cut out first; what stands beside them is a candidate of its own.
 
 Each text is read once and no row shuffles; the scan of a candidate is linear in its
 length.  Offsets are code points, ends exclusive.
@@ -36,16 +37,30 @@ ENTROPY_WINDOW = 20
 #: Entropy thresholds in bits a character, by character class.
 THRESHOLDS = {"hex": 3.0, "base64": 3.7}
 #: Candidates that are no secrets: UUIDs, dates and times, paths and dotted or dashed
-#: words, placeholders, one character over and over, the alphabet, integrity hashes.
+#: words, integrity hashes.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9_-]*$",
     r"^[0-9_=+/-]*$",
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|lorem|0123456789|abcdefgh",
-    r"(.)\1{5}",
     r"(?i)^sha(1|256|384|512)-",
     r"^[A-Za-z]+([/_-][A-Za-z]*[0-9]{0,4})+$",
 )
+
+
+def _sequence(chars: str, least: int) -> str:
+    """Pattern of the first ``least`` characters or more, in order."""
+    rest = ""
+    for c in reversed(chars[least:]):
+        rest = f"(?:{c}{rest})?"
+    return chars[:least] + rest
+
+
+#: Stretches that are no part of a secret: one character over and over, digits or
+#: letters in order, and placeholders that are a whole segment.
+HARMLESS = (r"([A-Za-z0-9+/_=-])\1{5,}|(?i:0123456789|"
+            + _sequence("abcdefghijklmnopqrstuvwxyz", 8)
+            + r"|(?<![A-Za-z0-9])(?:example|sample|dummy|placeholder|changeme|your|x{4,}|lorem)"
+            r"(?![A-Za-z0-9]))")
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
@@ -94,11 +109,21 @@ def lowest_sum(value: str, window: int) -> str:
             f"'low', if(e > 0 and s.k + 1 = {window}, least(s.low, {after}), s.low)), s -> s.low)")
 
 
-def _entropy_spans(candidates: str, covered: str) -> str:
-    """SQL for the spans of high-entropy candidates that no base span overlaps."""
+def _blanked(text: str, spans: str) -> str:
+    """SQL for the text with a blank for every character of the spans."""
+    upto = "greatest(s.at, b.start)"
+    return (f"aggregate(array_sort({spans}), named_struct('at', 0, 'out', ''), (s, b) -> "
+            "named_struct('at', greatest(s.at, b.end), 'out', concat(s.out, "
+            f"substring({text}, s.at + 1, {upto} - s.at), "
+            f"repeat(' ', greatest(s.at, b.end) - {upto}))), "
+            f"s -> concat(s.out, substring({text}, s.at + 1)))")
+
+
+def _entropy_spans(candidates: str) -> str:
+    """SQL for the spans of high-entropy candidates."""
     allowed = " or ".join("rlike(m.value, '" + p.replace("\\", "\\\\") + "')" for p in ALLOWED)
     plausible = ("rlike(m.value, '[0-9]') and rlike(m.value, '[A-Za-z]') and not "
-                 f"({allowed}) and not exists({covered}, b -> b.start < m.end and m.start < b.end)")
+                 f"({allowed})")
     scored = (f"transform(filter({candidates}, m -> {plausible}), m -> named_struct("
               "'start', m.start, 'end', m.end, 'hex', rlike(m.value, '^[0-9A-Fa-f]+$'), "
               f"'bits', {math.log2(ENTROPY_WINDOW)!r}D - "
@@ -130,8 +155,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         d = d.withColumn(kind, F.when(likely, F.expr(
             _spans(_matches("text", pattern, group), kind, least))).otherwise(none))
     d = d.withColumn("base", F.expr("array_sort(concat(assign, access, hex))"))
-    d = d.withColumn("added", F.when(F.col("text").rlike(CANDIDATE), F.expr(
-        _entropy_spans(_matches("text", CANDIDATE, 0), "base"))).otherwise(none))
+    cut = (f"concat(transform(base, b -> named_struct('start', b.start, 'end', b.end)), transform("
+           f"{_matches('text', HARMLESS, 0)}, m -> named_struct('start', m.start, 'end', m.end)))")
+    d = d.withColumn("rest", F.when(F.col("text").rlike(CANDIDATE), F.expr(
+        _blanked("text", cut))).otherwise(""))
+    d = d.withColumn("added", F.when(F.col("rest").rlike(CANDIDATE), F.expr(
+        _entropy_spans(_matches("rest", CANDIDATE, 0)))).otherwise(none))
     return d.select("doc_id", "text", "base", "added")
 
 
