@@ -89,16 +89,18 @@ def read_ingested(spark: SparkSession, out: str) -> DataFrame:
 
 
 def ingest_batches(raw: DataFrame, label: str = "ingest") -> DataFrame:
-    """Land ``raw`` as CSV files split by ``batch``, stream them in, a file at a time, and
-    return the ingested table (used by the registered streaming query)."""
+    """Land ``raw`` as CSV files in the order of ``batch`` and ``pos``, stream them in, a
+    file for each core at a time, and return the ingested table (used by the registered
+    streaming query)."""
     import uuid
 
     from ..session import scratch_dir
     spark = raw.sparkSession
     base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/checkpoint"
-    # one pass: every crawl run lands in files of its own, which the stream takes in turn
-    (raw.repartitionByRange("batch").write.option("header", True).csv(landing))
-    for q in start_ingest(spark, landing, out, ckpt, files_per_trigger=1, once=True):
+    # one pass: a crawl run spans many files; min_by makes their order irrelevant
+    (raw.repartitionByRange(*ORDER).write.option("header", True).csv(landing))
+    files = max(1, spark.sparkContext.defaultParallelism)
+    for q in start_ingest(spark, landing, out, ckpt, files_per_trigger=files, once=True):
         q.awaitTermination()
     return read_ingested(spark, out)

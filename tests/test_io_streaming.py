@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorekit.plans.cleaning import clean_companies
 from scorekit.sources import catalog, files
 from scorekit.sources.bindings import companies, companies_raw
-from scorekit.streaming.batch_ingest import read_ingested, start_ingest
+from scorekit.streaming.batch_ingest import ingest_batches, read_ingested, start_ingest
 
 from .conftest import SF_SMALL
 
@@ -58,6 +58,24 @@ def test_streaming_ingest_equals_batch_cleaning(spark):
     assert _rows(got) == _rows(expect)
 
 
+def test_a_batch_lands_in_many_files(spark):
+    import glob
+
+    from scorekit.session import scratch_dir
+    raw = companies_raw(spark, SF_SMALL)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = _rows(ingest_batches(raw, "ingest-many"))
+    finally:
+        spark.conf.unset(key)
+    assert got == _rows(clean_companies(raw, keep_order_columns=True))
+    landed = glob.glob(scratch_dir(spark).removeprefix("file:") + "/ingest-many-*/landing")
+    files_of = files.read_csv(spark, landed[0]).select("batch", F.input_file_name()).distinct()
+    n = {r["batch"]: r["count"] for r in files_of.groupBy("batch").count().collect()}
+    assert len(n) == 2 and min(n.values()) > 1
+
+
 def test_release_intermediates(spark):
     import os
 
