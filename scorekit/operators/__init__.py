@@ -10,4 +10,5 @@ from .positions import (  # noqa: F401
     ranks_within,
     row_positions,
 )
+from .skew import hot_keys, skew_join  # noqa: F401
 from .stats import group_median, group_stats, median_table, topk_within  # noqa: F401
