@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality_rules, toxicity
+from . import licenses, quality_rules, token_counts, toxicity, vector_codes
 from .exact_dedup import exact_groups
 from .licenses import license_digest
 from .mixing import mix
@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .resampling import resample
 from .secrets import secret_digest
 from .substring_dedup import remove_repeats
+from .target_resampling import target_resample
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, trees)
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return target_resample(documents(spark, sf_dir), benchmark).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(documents(spark, sf_dir),
+                                       public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.PATTERN)
+    return counts.select("doc_id", "n_bytes", "n_tokens",
+                         (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
+                        F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -93,6 +114,9 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _OP3 = r"""
@@ -201,5 +225,100 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM words LEFT JOIN summed USING (doc_id)
 """
 
+# A feature's crc32 bit by bit, lowest bit of each byte first; one digest a distinct feature.
+_OP11 = rf"""
+WITH texts AS (
+  SELECT 'raw' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'target', item_id, text FROM benchmark
+), words AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '{licenses.NO_WORD}'), lambda w: w <> '') AS w
+  FROM texts
+), features AS (
+  SELECT kind, id, array_to_string(w[i:i + n - 1], ' ') AS feature, count(*) AS c
+  FROM words, unnest(range(1, len(w) + 1)) AS p(i), unnest([1, 2, 3]) AS o(n)
+  WHERE i + n - 1 <= len(w) GROUP BY ALL
+), distinct_features AS (
+  SELECT feature, encode(feature)::BIT AS bits, octet_length(encode(feature)) AS n
+  FROM (SELECT DISTINCT feature FROM features)
+), buckets AS (
+  SELECT feature, xor(list_reduce(
+           list_transform(range(8 * n), lambda i: get_bit(bits, ((i // 8) * 8 + 7 - i % 8)::INT)::BIGINT),
+           lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1)), 4294967295::BIGINT),
+         4294967295) % 10000 AS bucket
+  FROM distinct_features
+), counts AS (
+  SELECT bucket, coalesce(sum(c) FILTER (kind = 'raw'), 0)::BIGINT AS s,
+         coalesce(sum(c) FILTER (kind = 'target'), 0)::BIGINT AS t
+  FROM features JOIN buckets USING (feature) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE
+           / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counts
+), weights AS (
+  SELECT id AS doc_id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight
+  FROM features JOIN buckets USING (feature) JOIN gains USING (bucket)
+  WHERE kind = 'raw' GROUP BY id
+), scored AS (
+  SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+         coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))
+           ::UBIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights ON id = doc_id WHERE kind = 'raw'
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+# A round of vector codes: every part against every entry, then the entries' floored means.
+_NEAREST = """
+  SELECT vec_id, label, part, v, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT vec_id, label, p.part, v, entry,
+               list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT
+               AS d
+        FROM parts p JOIN {books} b ON p.part = b.part)
+  GROUP BY vec_id, label, part, v
+"""
+_MOVED = """
+  SELECT part, entry, list(m ORDER BY place) AS c FROM (
+    SELECT part, entry, place, floor(sum(v[place]) / count(*))::BIGINT AS m
+    FROM {codes}, unnest(range(1, len(v) + 1)) AS t(place) GROUP BY part, entry, place
+  ) GROUP BY part, entry
+  UNION ALL SELECT part, entry, c FROM {books} b
+  WHERE NOT EXISTS (FROM {codes} a WHERE a.part = b.part AND a.entry = b.entry)
+"""
+_OP13 = f"""
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w
+  FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, label, part, w[part * (len(w) // 16) + 1:(part + 1) * (len(w) // 16)] AS v
+  FROM whole, unnest(range(16)) AS t(part)
+), books0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM whole ORDER BY vec_id LIMIT 64)
+), codes0 AS MATERIALIZED ({_NEAREST.format(books="books0")}
+), books1 AS MATERIALIZED ({_MOVED.format(codes="codes0", books="books0")}
+), codes1 AS MATERIALIZED ({_NEAREST.format(books="books1")}
+), books2 AS MATERIALIZED ({_MOVED.format(codes="codes1", books="books1")}
+), codes2 AS MATERIALIZED ({_NEAREST.format(books="books2")}
+), coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+         sum(d)::BIGINT AS error
+  FROM codes2 GROUP BY vec_id, label
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS d FROM books2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT d FROM digest) AS codebooks_sha256
+FROM coded
+"""
+
 ORACLES = {"op3_exact_dedup": _OP3, "op6_licenses": _OP6, "op7_substring_dedup": _OP7,
-           "op8_near_dedup": _OP8}
+           "op8_near_dedup": _OP8, "op11_target_resampling": _OP11, "op13_vector_codes": _OP13}

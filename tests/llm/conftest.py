@@ -47,7 +47,7 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
