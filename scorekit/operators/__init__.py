@@ -10,5 +10,14 @@ from .positions import (  # noqa: F401
     ranks_within,
     row_positions,
 )
+from .selection import (  # noqa: F401
+    at_or_before,
+    median_of,
+    middle,
+    rows_at,
+    tile_ends,
+    tile_of,
+    with_cuts,
+)
 from .skew import hot_keys, skew_join  # noqa: F401
 from .stats import group_median, group_stats, median_table, topk_within  # noqa: F401

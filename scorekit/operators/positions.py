@@ -120,39 +120,60 @@ def ntile_within(df: DataFrame, group: Sequence[str], order: Order, k: int,
 
 
 def ranks_within(df: DataFrame, group: Sequence[str],
-                 specs: Sequence[tuple[Order, str, str]], label: str = "rank") -> DataFrame:
+                 specs: Sequence[tuple[Order, str, str]], label: str = "rank",
+                 store: bool = True, total: str | None = None) -> DataFrame:
     """Several RANK()/DENSE_RANK() OVER (PARTITION BY group ORDER BY ...) at once.
 
-    ``specs`` is a list of ``(order, out_col, method)``.  The rows are
-    materialised once; each rank is computed on the histogram of distinct
-    (group, key) values (map-side combined) and joined back, so tied rows
-    never need to meet."""
+    ``specs`` is a list of ``(order, out_col, method)``.  All ranks come from one
+    sort: each row gives one histogram entry per spec, an entry has the sort keys of
+    its own spec (map-side combined, so tied rows never need to meet), and the entries
+    of all specs are numbered together, grouped by spec.  The numbers are written once
+    and joined back by each spec's keys.
+
+    ``store`` writes ``df`` first; without it ``df``, which is read ``len(specs) + 1``
+    times, should be cheap and always the same (a stored table, filtered).  ``total``
+    adds the group's row count under that name, if the first spec is a ``rank``."""
     group = list(group)
-    out = materialize(df, label + "-rows")
-    for i, (order, out_col, method) in enumerate(specs):
-        keys = [name for name, _ in order]
-        hist = out.groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_cnt"))
-        weight = None if method == "dense_rank" else F.col("_cnt")
-        pos = group_positions(hist, group, order, weight, f"{label}{i}")
-        cols = group + keys
-        renamed = {c: f"_rk{j}" for j, c in enumerate(cols)}
-        pos = pos.select(*[F.col(c).alias(a) for c, a in renamed.items()],
-                         (F.col("_before") + 1).alias(out_col))
-        cond = None
-        for c, a in renamed.items():
-            e = F.col(c).eqNullSafe(F.col(a))
-            cond = e if cond is None else cond & e
-        out = out.join(pos, cond, "inner").drop(*renamed.values())
+    out = materialize(df, label + "-rows") if store else df
+    entries = []
+    for i, _ in enumerate(specs):
+        keys = [(F.col(name) if j == i else F.lit(None).cast(df.schema[name].dataType))
+                .alias(f"_rk{j}_{k}")
+                for j, (order, _, _) in enumerate(specs) for k, (name, _) in enumerate(order)]
+        entries.append(F.struct(F.lit(i).alias("_spec"), *keys))
+    flat = out.select(*group, F.explode(F.array(*entries)).alias("_e")).select(*group, "_e.*")
+    hist = flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("_cnt"))
+    dense = [i for i, s in enumerate(specs) if s[2] == "dense_rank"]
+    if len(dense) == len(specs):
+        weight = None
+    else:
+        weight = F.when(F.col("_spec").isin(dense), F.lit(1)).otherwise(F.col("_cnt"))
+    order = [(f"_rk{j}_{k}", d) for j, s in enumerate(specs) for k, (_, d) in enumerate(s[0])]
+    pos = group_positions(hist, ["_spec", *group], order, weight, label)
+    if len(specs) > 1:
+        pos = materialize(pos, label + "-numbers")
+    for i, (order, out_col, _) in enumerate(specs):
+        cols = group + [name for name, _ in order]
+        names = group + [f"_rk{i}_{k}" for k in range(len(order))]
+        renamed = [f"_on{k}" for k in range(len(cols))]
+        side = pos.where(F.col("_spec") == i).select(
+            *[F.col(c).alias(a) for c, a in zip(names, renamed)],
+            (F.col("_before") + 1).alias(out_col),
+            *([F.col("_total").alias(total)] if total and i == 0 else []))
+        cond = F.lit(True)
+        for c, a in zip(cols, renamed):
+            cond = cond & F.col(c).eqNullSafe(F.col(a))
+        out = out.join(side, cond, "inner").drop(*renamed)
     return out
 
 
 def rank_within(df: DataFrame, group: Sequence[str], order: Order, out_col: str,
-                method: str = "rank", label: str = "rank") -> DataFrame:
+                method: str = "rank", label: str = "rank", store: bool = True) -> DataFrame:
     """RANK() / DENSE_RANK() OVER (PARTITION BY group ORDER BY order)."""
-    return ranks_within(df, group, [(order, out_col, method)], label)
+    return ranks_within(df, group, [(order, out_col, method)], label, store)
 
 
 def rank_all(df: DataFrame, order: Order, out_col: str, method: str = "dense_rank",
-             label: str = "rankall") -> DataFrame:
+             label: str = "rankall", store: bool = True) -> DataFrame:
     """Ungrouped RANK/DENSE_RANK (``OVER (ORDER BY ...)``) without a single-partition window."""
-    return rank_within(df, [], order, out_col, method, label)
+    return rank_within(df, [], order, out_col, method, label, store)

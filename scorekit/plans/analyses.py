@@ -42,17 +42,20 @@ from ..functions import (
     weighted,
 )
 from ..operators import (
-    group_positions,
+    at_or_before,
     group_stats,
+    median_of,
     median_table,
-    ntile_of,
-    ntile_within,
+    middle,
     order_exprs,
     rank_all,
     rank_within,
     ranks_within,
     row_positions,
+    tile_ends,
+    tile_of,
     topk_within,
+    with_cuts,
 )
 from ..session import join_stored, materialize, with_scalars
 
@@ -100,20 +103,6 @@ def case_insensitive(df: DataFrame, cols: Sequence[str] = ("Country",),
     return df.withColumns({c: F.collate(F.col(c), collation) for c in cols})
 
 
-def _join_on_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Attach a keyed table (one row per key) to rows; NULL keys match NULL keys."""
-    side = materialize(table, label)
-    renamed = {k: f"_k{i}" for i, k in enumerate(keys)}
-    side = side.select(*[F.col(k).alias(a) for k, a in renamed.items()],
-                       *[c for c in side.columns if c not in renamed])
-    cond = None
-    for k, a in renamed.items():
-        e = F.col(k).eqNullSafe(F.col(a))
-        cond = e if cond is None else cond & e
-    return rows.join(side, cond, "inner").drop(
-        *renamed.values())
-
-
 def _not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cond = None
     for c in cols:
@@ -191,30 +180,24 @@ def credibility_rank(df: DataFrame, group: str = "Country", score: str = "Rating
 def leader_classes(df: DataFrame, group: str = "Country", score: str = "Rating",
                    weight: str = "RatingCount", name: str = "Name", key: str = "id",
                    tiles: int = 4) -> DataFrame:
-    base = _not_null(df, [score, weight]).select(key, name, group, score, weight)
+    # rows without a group would not meet its median
+    base = _not_null(df, [score, weight, group]).select(key, name, group, score, weight)
     order = [(score, "desc"), (weight, "desc"), (name, "asc"), (key, "asc")]
-    pos = row_positions(base, [group], order, "_row", "_n", label="q5-tile")
-    pos = pos.withColumn("rating_quartile", ntile_of("_row", "_n", tiles))
-    medians = median_table(base, [group], weight, "median_ratingcount", label="q5-median")
-    bench = join_stored(pos, medians, [group], label="q5-median-side")
-    top = F.col("rating_quartile") == 1
+    # the last row of tile 1 and both middle weights, found in one histogram round
+    leaders = tile_ends("leader", order, tiles, first=1)
+    bench = with_cuts(base, [group], [leaders, middle("median", weight)], "q5-cuts")
     w, med = F.col(weight), F.col("median_ratingcount")
-    classified = (bench
+    top = at_or_before(order, F.col("_cuts.leader_0"))
+    classified = (bench.withColumn("median_ratingcount", median_of("median"))
                   .withColumn("performance_group",
                               F.when(top & (w < med), LEADER_ORDER[0])
                                .when(top & (w >= med), LEADER_ORDER[1])
                                .otherwise(LEADER_ORDER[2]))
-                  .withColumn("review_gap_to_median", round_half_away(med - w, 2)))
-    # Rows outside tile 1 are exactly the third class and hold positions t1+1..n
-    # of the same order, so their rank is arithmetic; only tile 1 (<= 1/tiles of
-    # the rows) is sorted again per (group, class).
-    q = F.floor(F.col("_n") / tiles)
-    first_tile = F.when(F.col("_n") % tiles > 0, q + 1).otherwise(q)
-    rest = (classified.filter(~top)
-            .withColumn("segment_rank", (F.col("_row") - first_tile).cast("long")))
-    leaders = row_positions(classified.filter(top), [group, "performance_group"], order,
-                            "segment_rank", "_seg_n", label="q5-rank")
-    ranked = leaders.drop("_seg_n").unionByName(rest)
+                  .withColumn("review_gap_to_median", round_half_away(med - w, 2))
+                  .drop("_cuts"))
+    # every row's rank is asked for: one sort, by (group, class)
+    ranked = row_positions(classified, [group, "performance_group"], order,
+                           "segment_rank", "_seg_n", label="q5-rank")
     return (ranked.select(group, name, score, weight, "median_ratingcount", "performance_group",
                           "review_gap_to_median", F.col("segment_rank").cast("long"))
                   .orderBy(group, field_position("performance_group", LEADER_ORDER),
@@ -262,8 +245,9 @@ def overperformers(df: DataFrame, tiles: int = 3, labels=TILE_LABELS, margin: fl
                    k: int = 3, size: str = "Employees_Count", score: str = "Rating",
                    name: str = "Name", key: str = "id") -> DataFrame:
     base = _not_null(df, [score, size]).select(key, name, "Country", score, size)
-    tiled = ntile_within(base, [], [(size, "asc"), (name, "asc"), (key, "asc")], tiles,
-                         "size_bucket_no", label="q7-tile")
+    ends = tile_ends("size", [(size, "asc"), (name, "asc"), (key, "asc")], tiles)
+    tiled = with_cuts(base, [], [ends], "q7-cuts").withColumn("size_bucket_no",
+                                                              tile_of(ends, tiles)).drop("_cuts")
     label = F.lit(labels[-1])
     for i in range(len(labels) - 1, 0, -1):
         label = F.when(F.col("size_bucket_no") == i, labels[i - 1]).otherwise(label)
@@ -290,24 +274,15 @@ def overperformers(df: DataFrame, tiles: int = 3, labels=TILE_LABELS, margin: fl
 def review_bias(df: DataFrame, tiles: int = 10, group: str = "Country", score: str = "Rating",
                 weight: str = "RatingCount", name: str = "Name", key: str = "id") -> DataFrame:
     base = _not_null(df, [score, weight]).select(key, name, group, score, weight)
-    desc_order = [(weight, "desc"), (name, "asc"), (key, "asc")]
-    pos = row_positions(base, [group], desc_order, label="q8-pos")
-    # Rows tied on the weight keep their (name, key) order in both directions, so
-    # the ascending position follows from the descending one, the rank of the
-    # weight and the tie count: asc = n - m - 2*rank + desc + 2.  Rank and tie
-    # count come from the (group, weight) histogram; no second sort of the rows.
-    hist = base.groupBy(group, weight).agg(F.count(F.lit(1)).alias("_m"))
-    ties = group_positions(hist, [group], [(weight, "desc")], F.col("_m"), "q8-ties")
-    ties = ties.select(group, weight, (F.col("_before") + 1).alias("_wrank"), "_m")
-    pos = _join_on_keys(pos, ties, [group, weight], "q8-ties-side")
-    pos = pos.withColumn("_arow", F.col("_n") - F.col("_m") - 2 * F.col("_wrank")
-                         + F.col("_row") + 2)
-    most = ntile_of("_row", "_n", tiles)
-    least = ntile_of("_arow", "_n", tiles)
-    extreme = (pos.withColumn("_most", most).withColumn("_least", least)
-                  .filter((F.col("_most") == 1) | (F.col("_least") == 1))
-                  .withColumn("review_group", F.when(F.col("_most") == 1, MOST_REVIEWED)
-                                               .when(F.col("_least") == 1, LEAST_REVIEWED)))
+    # only the first tiles of both directions are wanted: two border rows per group,
+    # found in one round; no row is sorted or numbered
+    most = tile_ends("most", [(weight, "desc"), (name, "asc"), (key, "asc")], tiles, first=1)
+    least = tile_ends("least", [(weight, "asc"), (name, "asc"), (key, "asc")], tiles, first=1)
+    cut = with_cuts(base, [group], [most, least], "q8-cuts")
+    extreme = cut.withColumn("review_group", F.when(
+        at_or_before(most.order, F.col("_cuts.most_0")), MOST_REVIEWED).when(
+        at_or_before(least.order, F.col("_cuts.least_0")), LEAST_REVIEWED)).where(
+        F.col("review_group").isNotNull())
     is_most = F.col("review_group") == MOST_REVIEWED
     is_least = F.col("review_group") == LEAST_REVIEWED
     summary = extreme.groupBy(group).agg(
@@ -329,7 +304,8 @@ def review_bias(df: DataFrame, tiles: int = 10, group: str = "Country", score: s
                                                    .otherwise(BIAS_NONE))
                .withColumn("_absgap", F.abs(lo - hi)))
     summary = materialize(summary, "q8-summary")
-    ranked = rank_all(summary, [("_absgap", "desc")], "bias_rank", "dense_rank", label="q8-rank")
+    ranked = rank_all(summary, [("_absgap", "desc")], "bias_rank", "dense_rank", "q8-rank",
+                      store=False)
     return (ranked.select(group, "most_reviewed_company_count", "least_reviewed_company_count",
                           "avg_rating_most_reviewed", "avg_rating_least_reviewed",
                           "avg_ratingcount_most_reviewed", "avg_ratingcount_least_reviewed",
@@ -361,7 +337,7 @@ def competitive_intensity(df: DataFrame, as_of_year: int | None = None,
         "competitive_intensity_score", round_half_away("_raw_score", 4))
     ranked = rank_all(scored, [("competitive_intensity_score", "desc"), ("avg_rating", "desc"),
                                ("company_count", "desc")], "competitive_rank", "dense_rank",
-                      label="q9-rank")
+                      "q9-rank", store=False)
     return (ranked.select(group, *cols, "competitive_intensity_score", "competitive_rank")
                   .orderBy("competitive_rank", F.col(group).asc_nulls_first()))
 
@@ -477,12 +453,12 @@ def composite_rank(df: DataFrame, as_of_year: int | None = None, weights=(0.50,
                    zero_year_as_null: bool = False) -> DataFrame:
     base = _age_rows(df, as_of_year, ["Rating", "Employees_Count"], zero_year_as_null).select(
         "id", "Name", group, "Rating", "Employees_Count", "company_age")
-    sized = group_stats(base, [group], [F.count(F.lit(1)).alias("country_company_count")],
-                        label="q13-sizes")
-    r = ranks_within(sized, [group], [([("Rating", "desc")], "rating_rank", "rank"),
-                                      ([("Employees_Count", "desc")], "employee_rank", "rank"),
-                                      ([("company_age", "desc")], "age_rank", "rank")],
-                     label="q13-ranks")
+    # rows without a group have no group size and no score
+    r = ranks_within(base.where(F.col(group).isNotNull()), [group],
+                     [([("Rating", "desc")], "rating_rank", "rank"),
+                      ([("Employees_Count", "desc")], "employee_rank", "rank"),
+                      ([("company_age", "desc")], "age_rank", "rank")],
+                     "q13-ranks", store=False, total="country_company_count")
     n = F.col("country_company_count")
     ranks = ["rating_rank", "employee_rank", "age_rank"]
     score = weighted([(w, rank_score(rk, n)) for w, rk in zip(weights, ranks)])
@@ -524,7 +500,7 @@ def concentration(df: DataFrame, group: str = "Country", member: str = "Headquar
     r = ranks_within(per_group, [], [
         ([("hhi_concentration_index", "desc")], "concentration_rank", "dense_rank"),
         ([("avg_rating", "desc")], "rating_rank", "dense_rank"),
-        ([("avg_employees", "desc")], "size_rank", "dense_rank")], label="q14-ranks")
+        ([("avg_employees", "desc")], "size_rank", "dense_rank")], "q14-ranks", store=False)
     return (r.select(group, "company_count", "unique_headquarters", "hhi_concentration_index",
                      "largest_hq_share", "avg_rating", "avg_employees", "concentration_rank",
                      "rating_rank", "size_rank")
