@@ -37,7 +37,10 @@ SUM_SCALE = 9
 
 
 def exact_sum(c, scale: int = SUM_SCALE) -> Column:
-    """SUM(x) in decimal arithmetic, so partial sums combine in any order."""
+    """SUM(x) in decimal arithmetic, so partial sums combine in any order.
+
+    Each value is rounded to ``scale`` decimals.  A value that does not fit (NaN,
+    infinite, 1e29 or more) raises an error in ANSI mode."""
     return F.sum(_c(c).cast(DecimalType(38, scale)))
 
 
@@ -45,10 +48,17 @@ def exact_avg(c, scale: int = SUM_SCALE) -> Column:
     """AVG(x) with an exact sum: ``double(sum(decimal(x))) / count(x)``.
 
     ``scale`` is the number of decimals kept of each value (0 for whole
-    numbers).  Aggregate expression; use inside ``agg``.
+    numbers), so with the default values below 5e-10 count as 0.  If a value has no
+    decimal form (NaN, infinite, 1e29 or more) or the sum has none, the result is the
+    plain average of doubles: NaN and infinity come through.  Aggregate expression; use
+    inside ``agg``.
     """
     x = _c(c)
-    return exact_sum(x, scale).cast("double") / F.nullif(F.count(x), F.lit(0))
+    exact = x.try_cast(DecimalType(38, scale))
+    total = F.try_sum(exact)
+    fits = (F.count(exact) == F.count(x)) & total.isNotNull()
+    return F.when(fits, total.cast("double") / F.nullif(F.count(x), F.lit(0))).otherwise(
+        F.avg(x.cast("double")))
 
 
 def nullsafe_div(num, den) -> Column:

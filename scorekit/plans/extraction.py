@@ -147,21 +147,28 @@ NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy
          "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c",
          "rdquo": "\u201d", "bull": "\u2022", "middot": "\u00b7", "euro": "\u20ac",
          "pound": "\u00a3", "amp": "&"}
-#: A decimal or hexadecimal reference.
-_NUMERIC = "(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
+#: A decimal or hexadecimal reference; leading zeros do not count.
+_NUMERIC = "(?i)&#(x[0-9a-f]+|[0-9]+);"
+#: What a reference to no character (0, a surrogate, beyond the last code point) stands for.
+REPLACEMENT = 0xFFFD
+LAST_CODE_POINT = 0x10FFFF
 
 
 def decode_entities(c: Column) -> Column:
     """Decode numeric character references and the named ones of ``NAMED``
-    (``&amp;`` last)."""
+    (``&amp;`` last).  A number that is no character gives U+FFFD."""
     parts = F.split(c, _NUMERIC, -1)
     found = F.regexp_extract_all(c, F.lit(_NUMERIC), F.lit(1))
 
     def char(r: Column) -> Column:
-        hexa = F.lower(F.substring(r, 1, 1)) == "x"
-        code = F.when(hexa, F.conv(F.substr(r, F.lit(2)), 16, 10)).otherwise(r).cast("int")
-        four = F.lpad(F.hex(code), 8, "0")  # UTF-32, big-endian
-        return F.decode(F.unhex(four), "UTF-32")
+        digits = F.regexp_replace(r, "^[xX]?0*", "")
+        code = (F.when(F.length(digits) > 7, REPLACEMENT)
+                 .when(F.lower(F.substring(r, 1, 1)) == "x", F.conv(digits, 16, 10).try_cast("int"))
+                 .otherwise(digits.try_cast("int")))
+        no_char = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (
+            code > LAST_CODE_POINT)
+        four = F.lpad(F.hex(F.when(no_char, REPLACEMENT).otherwise(code)), 8, "0")
+        return F.decode(F.unhex(four), "UTF-32")  # big-endian
 
     numeric = F.array_join(F.zip_with(parts, F.transform(found, char),
                                       lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
@@ -171,19 +178,27 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+def markup(html: Column) -> Column:
+    """The page without comments and without the text of scripts and styles, in which
+    nothing is a tag.  What is left open reaches to the end of the page."""
+    return F.regexp_replace(
+        html, r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|(<(script|style)\b[^>]*>).*?(?:</\2\s*>|\z)", "$1")
+
+
 def attribute_values(html: Column, tag: str, attribute: str) -> Column:
-    """Values of an attribute of every ``<tag>``: names in any case, quoted or not."""
+    """Values of an attribute of every ``<tag>``: names in any case, quoted or not, set off
+    by white space or a slash."""
     value = r"""(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+)"""
-    other = rf"""(?:\s+[^\s"'<>/=]+(?:\s*=\s*{value})?)*?"""
+    other = rf"""(?:[\s/]+[^\s"'<>/=]+(?:\s*=\s*{value})?)*?"""
     raw = F.regexp_extract_all(
-        html, F.lit(rf"(?is)<{tag}{other}\s+{attribute}\s*=\s*({value})"), F.lit(1))
+        markup(html), F.lit(rf"(?is)<{tag}{other}[\s/]+{attribute}\s*=\s*({value})"), F.lit(1))
     return F.transform(raw, lambda v: decode_entities(
         F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2")))
 
 
 def tag_texts(html: Column, tag: str) -> Column:
     """Inner text of every ``<tag>`` element (inner tags removed, entities decoded)."""
-    inner = F.regexp_extract_all(html, F.lit(f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>"), F.lit(1))
+    inner = F.regexp_extract_all(markup(html), F.lit(f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>"), F.lit(1))
     return F.transform(inner, lambda s: decode_entities(F.regexp_replace(s, "<[^>]*>", "")))
 
 

@@ -81,3 +81,13 @@ def test_field_position(spark):
     got = _map(spark, ["Popular Leader", "x", None, "Average Performer"],
                lambda c: field_position(c, order))
     assert got == [2, 0, 0, 3]
+
+
+@pytest.mark.parametrize("values, scale, want", [
+    ([float("nan"), 1.0], 9, "nan"), ([float("inf"), 1.0], 9, "inf"), ([1e30, 0.0], 9, "5e+29"),
+    ([0.1] * 10, 9, "0.1"), ([None, 2.0, 4.0], 9, "3.0"), ([None], 9, "None"), ([], 9, "None"),
+    ([1e-12, 1e-12], 9, "0.0"), ([9e28] * 20, 9, "9e+28")])
+def test_exact_avg_of_numbers_without_a_decimal_form(spark, values, scale, want):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.agg(exact_avg("x", scale).alias("a")).first()["a"]
+    assert str(got) == want or got == pytest.approx(float(want), rel=1e-12)

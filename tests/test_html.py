@@ -1,5 +1,7 @@
 """HTML parser, card and overview extraction semantics."""
 
+import pytest
+
 from scorekit.plans import extraction as X
 from scorekit.sources import html as H
 
@@ -82,3 +84,31 @@ def test_links_in_any_quotes_and_case(spark):
     heads = spark.createDataFrame([(1, "<H1 id=a>T &amp;lt; &#8364;&hellip;</H1 >")],
                                   "page_id long, html string")
     assert X.page_headings(heads).first().heading == "T &lt; \u20ac\u2026"
+
+
+def headings_and_links(spark, html):
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return X.page_headings(pages).first().heading, [r.href for r in X.page_links(pages).collect()]
+
+
+@pytest.mark.parametrize("ref, text", [
+    ("&#9999999;", "�"), ("&#xD800;", "�"), ("&#57343;", "�"), ("&#0;", "�"),
+    ("&#x110000;", "�"), ("&#x10FFFF;", "\U0010ffff"), ("&#99999999999999999999;", "�"),
+    ("&#xffffffffffffffffffff;", "�"), ("&#0000000065;", "A"), ("&#X00000041;", "A"),
+    ("&#128512;", "\U0001f600"), ("&#;&#x;&#12", "&#;&#x;&#12"), ("&#55357;&#56832;", "�" * 2)])
+def test_numeric_references(spark, ref, text):
+    heading, links = headings_and_links(spark, f"<h1>a{ref}b</h1><a href='{ref}'>x</a>")
+    assert heading == f"a{text}b" and links == [text]
+
+
+def test_comments_scripts_and_styles_hold_no_elements(spark):
+    heading, links = headings_and_links(spark, """<!-- <a href="com"> <h1>no</h1> -->
+        <script type=x>var a = '<a href="js">'; <!-- </script><a href=1><style><a href=css></STYLE >
+        <a href=2><h1>T<!-- c --> <a href=3>U</a></h1><!--><a href=4>--><a href=5><!-- open <a href=6>""")
+    assert heading == "T U" and links == ["1", "2", "3", "4", "5"]
+    assert headings_and_links(spark, "<script>no end <h1>x</h1><a href=1>") == (None, [])
+
+
+def test_attributes_after_a_slash(spark):
+    _, links = headings_and_links(spark, "<a/href=k><A HREF=y/><a class='c'/href='z'><a /href = w>")
+    assert links == ["k", "y/", "z", "w"]
