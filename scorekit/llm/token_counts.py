@@ -1,30 +1,33 @@
 """Token counts without ids: pieces are counted once per distinct pre-token.
 
 A byte-pair tokenizer never merges across pre-tokens, so a text's token count is the
-sum over its pre-tokens of their pieces.  One pass writes each document's pre-token
-frequencies.  Its distinct pre-tokens (combined in each task before they shuffle) are
-split into pieces once, wherever they occur, and only their number is kept.  Joining
-those numbers to the frequencies and summing gives every document's count; no list of
-ids is ever built, kept or moved.
-
-The join is built for Zipf's law.  A pre-token that holds more than one in ``HOT`` of
-all (document, pre-token) rows is broadcast: there are ``HOT`` of them at most, with a
-key of at most ``KEY_BYTES + 7`` bytes, so under 10 MB whatever the corpus.  They take
-the bulk of the rows, which then never shuffle; what is left is joined by shuffle, and
-no key of it holds more than one in ``HOT`` of the rows.
+sum over its pre-tokens of their pieces.
+
+1. One pass splits the texts.  It numbers the distinct pre-tokens of a *block* of documents
+   as they come and writes each document's frequencies (number, count), and the block's
+   dictionary (number, pre-token) behind them.
+2. The dictionaries are shuffled by pre-token.  A pre-token is split into pieces once,
+   wherever it occurs, and only the number of pieces goes back to its blocks.
+3. Frequencies meet the piece counts of their block, and products are summed per document.
+
+No list of ids is ever built, kept or moved.  What shuffles by pre-token is a row per
+*distinct* pre-token of a block, some percent of the tokens.  A pre-token that every
+document uses has one row a block, so no key is hot; and a block ends at ``BLOCK_TOKENS``
+distinct pre-tokens or ``BLOCK_PAIRS`` frequencies, so a group of the last step is of
+bounded size, however long a document is.  Nothing is broadcast or collected.
 
 Pre-tokens are found with ``pattern``, the tokenizer's own split rule, by the
 ``regex`` module.  Its Unicode tables and the tokenizer's may differ in young characters, so
 texts that hold one which Python's own (older) table does not know go to the tokenizer's
-own splitter.  The strings of added tokens are cut out first, as the library does.  Without a pattern the tokenizer's own normalizer and
-splitter do it all.
+own splitter.  The strings of added tokens are cut out first, as the library does.
+Without a pattern the tokenizer's own normalizer and splitter do it all.
 
 Edge cases: null and empty texts have 0 tokens and 0 bytes; null ids and repeated rows
 are ordinary rows (rows are told apart by their place in the written frequencies); a very
-long text is split ``BLOCK`` characters at a time, at a space between two other
-characters, where a pre-token always starts, and its frequencies go out ``CHUNK``
-distinct pre-tokens a row; a pre-token longer than ``KEY_BYTES`` is joined by its SHA-256;
-ties do not arise; an empty table gives no rows; extra columns are ignored.
+long text is split ``PART`` characters at a time, at a space between two other
+characters, where a pre-token always starts, and its frequencies are written in rows of
+``CHUNK`` distinct pre-tokens, which may lie in several blocks; ties do not arise; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,40 +36,29 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
 
-#: A pre-token with more than one in HOT of the frequency rows is broadcast.
-HOT = 1 << 17
-KEY_BYTES = 64
-#: Characters of a text that are split at a time, and distinct pre-tokens a written row.
-BLOCK = 1 << 20
-CHUNK = 1 << 16
+#: Distinct pre-tokens, and frequencies, at which a block ends.
+BLOCK_TOKENS, BLOCK_PAIRS = 1 << 18, 1 << 22
+#: Characters of a text that are split at a time, and frequencies a written row.
+PART, CHUNK = 1 << 20, 1 << 16
 #: Pre-tokens split into pieces in one call.
 ENCODE = 4096
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_SCHEMA = "row long, {id} n_bytes long, tokens array<string>, counts array<int>"
-
-
-@cache
-def young_characters() -> re.Pattern:
-    """Matches a character that Python's Unicode table has no entry for."""
-    known = [unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)]
-    edges = [c for c in range(0x110000) if c == 0 or known[c] != known[c - 1]] + [0x110000]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges, edges[1:])
-                                    if not known[a]) + "]")
 
 
 class PreTokens:
     """Pre-token frequencies of whole texts."""
 
-    def __init__(self, tokenizer_json: str, pattern: str | None = None, block: int = BLOCK):
+    def __init__(self, tokenizer_json: str, pattern: str | None = None, part: int = PART):
         import regex
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(tokenizer_json)
@@ -77,14 +69,22 @@ class PreTokens:
         added = sorted((t.content for t in tokens), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.find = regex.compile(pattern).findall if pattern else None
-        self.young = young_characters().search
-        self.block = block if pattern and not any(" " in a for a in added) else None
+        self.old = set(map(chr, range(128)))  # characters found to be in the older table
+        self.part = part if pattern and not any(" " in a for a in added) else None
+
+    def young(self, text: str) -> bool:
+        """Does the text hold a character that Python's Unicode table has no entry for?"""
+        if text.isascii():
+            return False
+        new = set(text) - self.old
+        self.old.update(c for c in new if unicodedata.category(c) != "Cn")
+        return not new <= self.old
 
     def parts(self, text: str) -> Iterator[str]:
-        """The text in pieces of about ``block`` characters."""
+        """The text in pieces of about ``part`` characters."""
         at = 0
-        while self.block and len(text) - at > self.block:
-            cut = _CUT.search(text, at + self.block)
+        while self.part and len(text) - at > self.part:
+            cut = _CUT.search(text, at + self.part)
             if not cut:
                 break
             yield text[at:cut.start()]
@@ -92,7 +92,7 @@ class PreTokens:
         yield text[at:] if at else text
 
     def plain(self, text: str) -> list[str]:
-        if self.find and (text.isascii() or not self.young(text)):
+        if self.find and not self.young(text):
             return self.find(text)
         if self.find:
             return [text[i:j] for _, (i, j) in self.split.pre_tokenize_str(text)]
@@ -110,99 +110,157 @@ class PreTokens:
         return out
 
 
+class Block:
+    """Frequencies and dictionary of some documents, as rows to write."""
+
+    SCHEMA = ("block long, row long, doc_id {id}, n_bytes long, pieces int, numbers array<int>, "
+              "counts array<int>, first int, tokens array<string>")
+
+    def __init__(self, block: int, id_type: pa.DataType):
+        self.block, self.id_type = block, id_type
+        self.number: dict[str, int] = {}
+        self.pairs, self.rows = 0, []
+
+    def add(self, row: int, doc_id, n_bytes: int, n_rows: int, words: list[str],
+            counts: list[int]) -> None:
+        number = self.number
+        numbers = [number.setdefault(w, len(number)) for w in words]
+        self.rows.append((row, doc_id, n_bytes, n_rows, numbers, counts))
+        self.pairs += len(words)
+
+    def full(self, tokens: int, pairs: int) -> bool:
+        return len(self.number) >= tokens or self.pairs >= pairs
+
+    def _batch(self, n: int, row, doc_id, n_bytes, pieces, numbers, counts, first, tokens):
+        ints = pa.list_(pa.int32())
+        kinds = [pa.int64(), pa.int64(), self.id_type, pa.int64(), pa.int32(), ints, ints,
+                 pa.int32(), pa.list_(pa.string())]
+        columns = [[self.block] * n, row, doc_id, n_bytes, pieces, numbers, counts, first, tokens]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([None] * n if c is None else c, k) for c, k in zip(columns, kinds)],
+            names=["block", "row", "doc_id", "n_bytes", "pieces", "numbers", "counts", "first",
+                   "tokens"])
+
+    def frequencies(self) -> Iterator[pa.RecordBatch]:
+        """The documents' rows so far, which are then let go."""
+        if self.rows:
+            row, doc_id, n_bytes, n_rows, numbers, counts = zip(*self.rows)
+            yield self._batch(len(row), row, doc_id, n_bytes, n_rows, numbers, counts, None, None)
+            self.rows = []
+
+    def dictionary(self) -> Iterator[pa.RecordBatch]:
+        words = list(self.number)
+        for at in range(0, len(words), CHUNK):
+            yield self._batch(1, None, None, None, None, None, None, [at], [words[at:at + CHUNK]])
+
+
 def pre_token_counts(docs: DataFrame, tokenizer_json: str, pattern: str | None = None,
-                     id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK,
-                     chunk: int = CHUNK) -> DataFrame:
-    """``row, doc_id, n_bytes, tokens, counts``, written once: ``chunk`` distinct pre-tokens
-    a row, and at least one row a document."""
+                     id_col: str = "doc_id", text_col: str = "text", part: int = PART,
+                     chunk: int = CHUNK, block_tokens: int = BLOCK_TOKENS,
+                     block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """Frequencies and dictionaries, written once.
+
+    A row with ``tokens`` is a part of its block's dictionary: pre-tokens of the numbers from
+    ``first`` on.  Any other row has frequencies ``numbers, counts`` of document ``row``,
+    which has as many such rows as ``pieces`` says."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = PreTokens(tokenizer_json, pattern, block)
-        row = TaskContext.get().partitionId() << 33
+        count = PreTokens(tokenizer_json, pattern, part)
+        at = TaskContext.get().partitionId() << 33  # numbers rows and blocks
+        row, block = at, None
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                rows, place, size, tokens, counts = [], [], [], [], []
-                for i, t in enumerate(part.column(1)):
-                    text = t.as_py() or ""
-                    found = count(text)
-                    words, ns = list(found), list(found.values())
-                    for k in range(0, max(len(words), 1), chunk):
-                        rows.append(row)
-                        place.append(i)
-                        size.append(len(text.encode()))
-                        tokens.append(words[k:k + chunk])
-                        counts.append(ns[k:k + chunk])
-                    row += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), part.column(0).take(pa.array(place, pa.int64())),
-                     pa.array(size, pa.int64()), pa.array(tokens, pa.list_(pa.string())),
-                     pa.array(counts, pa.list_(pa.int32()))],
-                    names=["row", "doc_id", "n_bytes", "tokens", "counts"])
+            block = block or Block(at, b.schema.field(0).type)
+            for i, (doc_id, t) in enumerate(zip(b.column(0), b.column(1))):
+                text = t.as_py() or ""
+                found = count(text)
+                words, counts = list(found), list(found.values())
+                starts = range(0, max(len(words), 1), chunk)
+                for k in starts:
+                    block.add(row, doc_id.as_py(), len(text.encode()), len(starts),
+                              words[k:k + chunk], counts[k:k + chunk])
+                    if block.full(block_tokens, block_pairs):
+                        yield from block.frequencies()
+                        yield from block.dictionary()
+                        block = Block(block.block + 1, block.id_type)
+                row += 1
+                if i % 256 == 255:
+                    yield from block.frequencies()
+            yield from block.frequencies()
+        if block:
+            yield from block.dictionary()
 
     ship_package(docs.sparkSession)
-    return materialize(texts.mapInArrow(run, _SCHEMA.format(id=f"doc_id {id_type},")),
-                       "pre-tokens")
-
-
-def key_of(token: Column) -> Column:
-    """The token itself up to ``KEY_BYTES`` bytes, its SHA-256 beyond."""
-    return F.when(F.octet_length(token) <= KEY_BYTES, token).otherwise(
-        F.concat(F.lit("sha256:"), F.sha2(token, 256)))
+    return materialize(texts.mapInArrow(run, Block.SCHEMA.format(id=id_type)), "pre-tokens")
 
 
-def piece_counts(freqs: DataFrame, tokenizer_json: str, pattern: str | None = None) -> DataFrame:
-    """``key, rows, pieces`` per distinct pre-token, written once; ``rows`` is the number of
-    frequency rows that hold it."""
-    distinct = (freqs.select(F.explode("tokens").alias("token"))
-                     .groupBy("token").agg(F.count(F.lit(1)).alias("rows")))
+def piece_counts(written: DataFrame, tokenizer_json: str, pattern: str | None = None) -> DataFrame:
+    """``block, number, pieces`` of every dictionary entry; a pre-token's entries lie side by
+    side, and it is split into pieces once."""
+    entries = (written.where("tokens is not null")
+               .select("block", "first", F.posexplode("tokens").alias("at", "token"))
+               .select("block", (F.col("first") + F.col("at")).alias("number"), "token"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(tokenizer_json)
         added = {t.content for t in tok.get_added_tokens_decoder().values()}
+        last, last_n = None, 0
+
+        def pieces_of(words: list[str]) -> list[int]:
+            if pattern:
+                return [len(e) for e in tok.encode_batch(words, add_special_tokens=False)]
+            # split already, in the model's own alphabet
+            return [1 if w in added else len(tok.model.tokenize(w)) for w in words]
+
         for b in batches:
             for at in range(0, b.num_rows, ENCODE):
-                part = b.slice(at, ENCODE)
-                words = part.column(0).to_pylist()
-                if pattern:
-                    n = [len(e) for e in tok.encode_batch(words, add_special_tokens=False)]
-                else:  # split already, in the model's own alphabet
-                    n = [1 if w in added else len(tok.model.tokenize(w)) for w in words]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1),
-                                                  pa.array(n, pa.int64())],
-                                                 names=["token", "rows", "pieces"])
+                some = b.slice(at, ENCODE)
+                runs = [(w, len(list(same))) for w, same in groupby(some.column(2).to_pylist())]
+                known = runs[0][0] == last  # the run goes on from the rows before
+                new = [w for w, _ in runs[known:]]
+                n = [last_n] * known + (pieces_of(new) if new else [])
+                last, last_n = runs[-1][0], n[-1]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1),
+                     pa.array(np.repeat(np.array(n, np.int64), [k for _, k in runs]))],
+                    names=["block", "number", "pieces"])
+
+    ship_package(written.sparkSession)
+    return (entries.repartition("token").sortWithinPartitions("token")
+                   .mapInArrow(run, "block long, number int, pieces long"))
+
 
-    counted = distinct.mapInArrow(run, "token string, rows long, pieces long")
-    return materialize(counted.select(key_of(F.col("token")).alias("key"), "rows", "pieces"),
-                       "pieces")
+def _sums(frequencies: pa.Table, pieces: pa.Table) -> pa.Table:
+    """Token counts of one block's frequency rows."""
+    of = np.zeros(pieces.num_rows, np.int64)
+    of[pieces.column("number").to_numpy()] = pieces.column("pieces").to_numpy()
+    rows = frequencies.column("numbers").combine_chunks()
+    numbers = rows.flatten().to_numpy()
+    counts = frequencies.column("counts").combine_chunks().flatten().to_numpy()
+    sizes = rows.value_lengths().to_numpy()
+    totals = np.concatenate([[0], np.cumsum(of[numbers] * counts)])
+    ends = np.cumsum(sizes)
+    return frequencies.select(["row", "doc_id", "n_bytes", "pieces"]).append_column(
+        "n_tokens", pa.array(totals[ends] - totals[ends - sizes]))
 
 
 def token_counts(docs: DataFrame, tokenizer_json: str, pattern: str | None = None,
-                 id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens`` per row of ``docs``."""
-    freqs = pre_token_counts(docs, tokenizer_json, pattern, id_col, text_col)
-    pieces = piece_counts(freqs, tokenizer_json, pattern)
-    total = pieces.agg(F.sum("rows")).first()[0] or 0
-    is_hot = F.col("rows") * hot > total
-    common = pieces.where(is_hot).select(F.col("key").alias("hot_key"),
-                                         F.col("pieces").alias("hot_pieces"))
-    pairs = (freqs.select("row", "doc_id", "n_bytes",
-                          F.explode_outer(F.arrays_zip("tokens", "counts")).alias("pair"))
-                  .select("row", "doc_id", "n_bytes", key_of(F.col("pair.tokens")).alias("key"),
-                          F.col("pair.counts").alias("n")))
-    # at most ``hot`` keys: each holds more than one in ``hot`` of the rows
-    met = pairs.join(F.broadcast(common), F.col("key") == F.col("hot_key"), "left")
-    first = met.select("row", "doc_id", "n_bytes", (F.col("n") * F.col("hot_pieces")).alias("t"))
-    id_type = freqs.schema["doc_id"].dataType
-    rare = (met.where("key is not null and hot_key is null").select("row", "key", "n")
-               .join(pieces.where(~is_hot).select("key", "pieces"), "key")
-               .select("row", F.lit(None).cast(id_type).alias("doc_id"),
-                       F.lit(None).cast("long").alias("n_bytes"),
-                       (F.col("n") * F.col("pieces")).alias("t")))
-    return (first.unionByName(rare).groupBy("row")
-                 .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
-                      F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("n_tokens"))
-                 .drop("row"))
+                 id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens`` per row of ``docs``; ``sizes`` are those of
+    :func:`pre_token_counts`."""
+    written = pre_token_counts(docs, tokenizer_json, pattern, id_col, text_col, **sizes)
+    pieces = piece_counts(written, tokenizer_json, pattern)
+    id_type = written.schema["doc_id"].dataType.simpleString()
+    frequencies = written.where("tokens is null").select("block", "row", "doc_id", "n_bytes",
+                                                         "pieces", "numbers", "counts")
+    summed = frequencies.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(
+        _sums, f"row long, doc_id {id_type}, n_bytes long, pieces int, n_tokens long")
+    summed = materialize(summed, "token-sums")
+    # only documents whose frequencies fill several rows are added up
+    long = (summed.where("pieces > 1").groupBy("row")
+                  .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"),
+                       F.sum("n_tokens").alias("n_tokens")))
+    columns = ["doc_id", "n_bytes", "n_tokens"]
+    return summed.where("pieces = 1").select(columns).unionByName(long.select(columns))

@@ -3,7 +3,6 @@
 import public_tokenizers as P
 import pytest
 import regex
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from scorekit.llm import token_counts as T
@@ -38,12 +37,13 @@ def test_matches_the_tokenizer(docs, tokenizer):
     assert got(T.token_counts(docs, JSON, P.PATTERN)) == brute(tokenizer, rows_of(docs))
 
 
-@pytest.mark.parametrize("hot", [1, 200, 1 << 17])
-def test_hot_and_rare_pre_tokens(spark, docs, tokenizer, hot):
-    """No pre-token, some, or most of them go by broadcast."""
+@pytest.mark.parametrize("sizes", [{}, {"block_tokens": 1}, {"block_pairs": 700},
+                                   {"block_tokens": 300, "chunk": 50, "part": 90}])
+def test_blocks_of_any_size(spark, docs, tokenizer, sizes):
+    """One block a task, one a document, and blocks that end within documents."""
     tricky = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
     some = docs.select("doc_id", "text").limit(40).unionByName(tricky)
-    assert got(T.token_counts(some, JSON, P.PATTERN, hot=hot)) == brute(tokenizer, rows_of(some))
+    assert got(T.token_counts(some, JSON, P.PATTERN, **sizes)) == brute(tokenizer, rows_of(some))
 
 
 def test_edge_rows(edge, empty, tokenizer):
@@ -64,42 +64,60 @@ def test_another_vocabulary(docs):
 def test_chunks_of_a_document_and_string_ids(spark, tokenizer):
     rows = [("a", " ".join(f"w{i}" for i in range(900))), ("a", "short"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id string, text string")
-    freqs = T.pre_token_counts(df, JSON, P.PATTERN, chunk=100)
-    sizes = [len(r["tokens"]) for r in rows_of(freqs)]
-    assert max(sizes) == 100 and min(sizes) == 0 and freqs.select("row").distinct().count() == 3
-    assert got(T.token_counts(df, JSON, P.PATTERN)) == brute(tokenizer, rows_of(df))
+    written = T.pre_token_counts(df, JSON, P.PATTERN, chunk=100).where("tokens is null")
+    sizes = [len(r["numbers"]) for r in rows_of(written)]
+    assert max(sizes) == 100 and min(sizes) == 0 and written.select("row").distinct().count() == 3
+    assert sorted({r["pieces"] for r in rows_of(written)}) == [1, sizes.count(100) + 1]
+    assert got(T.token_counts(df, JSON, P.PATTERN, chunk=100)) == brute(tokenizer, rows_of(df))
 
 
-@pytest.mark.parametrize("block", [1, 5, 40])
-def test_blocks_change_nothing(block):
+@pytest.mark.parametrize("part", [1, 5, 40])
+def test_parts_change_nothing(part):
     text = ("Some  words\t here, it's 12 x <|endoftext|> y\n\n z " * 20
             + "word " * 30 + "՘ a֋ b ")
-    whole, cut = T.PreTokens(JSON, P.PATTERN), T.PreTokens(JSON, P.PATTERN, block)
+    whole, cut = T.PreTokens(JSON, P.PATTERN), T.PreTokens(JSON, P.PATTERN, part)
     assert cut(text) == whole(text) and len(list(cut.parts(text))) > 3
 
 
 def test_characters_known_to_the_pattern_split_as_in_the_library(tokenizer):
     """Every character but those that Python's own table does not know."""
+    split = T.PreTokens(JSON, P.PATTERN)
     known = [c for c in map(chr, range(0x110000))
-             if not "\ud800" <= c <= "\udfff" and not T.young_characters().match(c)]
+             if not "\ud800" <= c <= "\udfff" and not split.young(c)]
     find = regex.compile(P.PATTERN).findall
     for at in range(0, len(known), 1000):
         text = "".join(f"a{c}a 1{c}1 !{c}! {c}\n" for c in known[at:at + 1000])
-        split = tokenizer.pre_tokenizer.pre_tokenize_str(text)
-        assert [text[i:j] for _, (i, j) in split] == find(text)
-
-
-def test_pieces_are_counted_once_per_distinct_pre_token(docs):
-    freqs = T.pre_token_counts(docs, JSON, P.PATTERN)
-    pieces = T.piece_counts(freqs, JSON, P.PATTERN)
-    assert pieces.count() == pieces.select("key").distinct().count()
-    assert pieces.agg(F.sum("rows")).first()[0] == (
-        freqs.select(F.sum(F.size("tokens"))).first()[0])
+        found = tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        assert [text[i:j] for _, (i, j) in found] == find(text)
+    assert split.young("a\u0558") and not split.young("a\u0556")
+
+
+def test_each_entry_of_a_block_has_its_pieces(docs, tokenizer):
+    written = T.pre_token_counts(docs, JSON, P.PATTERN, block_tokens=2000)
+    words = {(r["block"], r["first"] + i): w for r in rows_of(written) if r["tokens"] is not None
+             for i, w in enumerate(r["tokens"])}
+    assert len({b for b, _ in words}) > 3
+    got = {(r["block"], r["number"]): r["pieces"]
+           for r in rows_of(T.piece_counts(written, JSON, P.PATTERN))}
+    assert got.keys() == words.keys()
+    some = sorted(words)[::37]
+    assert [got[k] for k in some] == [len(tokenizer.encode(words[k]).ids) for k in some]
+
+
+def test_a_pre_token_of_every_block_is_split_once(spark):
+    """Runs of one pre-token go on over batches; the rows of others lie between them."""
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", 10_000
+    df = spark.createDataFrame([(i, f"same x{i} same" + " -" * 40) for i in range(300)],
+                               "doc_id long, text string")
+    spark.conf.set(key, 7)
+    try:
+        rows = rows_of(T.token_counts(df, JSON, P.PATTERN, block_tokens=2))
+    finally:
+        spark.conf.set(key, old)
+    assert sorted(map(str, rows)) == sorted(map(str, rows_of(T.token_counts(df, JSON, P.PATTERN))))
 
 
-def test_long_pre_tokens_have_short_keys(spark, tokenizer):
+def test_long_pre_tokens(spark, tokenizer):
     df = spark.createDataFrame([(i, "-" * 300 + "=" * i) for i in range(200)],
                                "doc_id long, text string")
-    pieces = T.piece_counts(T.pre_token_counts(df, JSON, P.PATTERN), JSON, P.PATTERN)
-    assert pieces.agg(F.max(F.octet_length("key"))).first()[0] == T.KEY_BYTES + 7
     assert got(T.token_counts(df, JSON, P.PATTERN)) == brute(tokenizer, rows_of(df))
