@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -50,6 +51,10 @@ from ..session import materialize, ship_package
 BLOCK_TOKENS, BLOCK_PAIRS = 1 << 18, 1 << 22
 #: Characters of a text that are split at a time, and frequencies a written row.
 PART, CHUNK = 1 << 20, 1 << 16
+#: Documents a written row at most.
+ROW_DOCS = 256
+#: Bits of a number within its block: a block ends soon after BLOCK_TOKENS.
+NUMBER_BITS = 20
 #: Pre-tokens split into pieces in one call.
 ENCODE = 4096
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -110,48 +115,81 @@ class PreTokens:
         return out
 
 
+def packed(sizes: list[int], numbers: list[int], counts: list[int]) -> bytes:
+    """Frequencies of several documents, of ``sizes`` pairs each, in a byte or two a pair:
+    numbers sorted within a document, their steps and the counts by byte planes, zipped."""
+    number = np.array(numbers, np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((number, doc))
+    number = number[order]
+    step = np.diff(number, prepend=0)
+    starts = np.cumsum([0, *sizes[:-1]])[np.array(sizes) > 0]
+    step[starts] = number[starts]
+    both = np.concatenate([step, np.array(counts, np.int64)[order]]).astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(sizes: np.ndarray, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts that :func:`packed` took."""
+    planes = np.frombuffer(zlib.decompress(payload), np.uint8).reshape(4, -1)
+    step, counts = np.split(planes.T.copy().view("<u4").ravel().astype(np.int64), 2)
+    number = np.cumsum(step)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    return number - np.repeat(number[starts] - step[starts], sizes[sizes > 0]), counts
+
+
 class Block:
-    """Frequencies and dictionary of some documents, as rows to write."""
+    """Frequencies and dictionary of some documents, as rows to write: rows of several
+    documents' frequencies, then rows of the dictionary."""
 
-    SCHEMA = ("block long, row long, doc_id {id}, n_bytes long, pieces int, numbers array<int>, "
-              "counts array<int>, first int, tokens array<string>")
+    SCHEMA = ("block long, row array<long>, doc_id array<{id}>, n_bytes array<long>, "
+              "pieces array<int>, sizes array<int>, payload binary, "
+              "first int, tokens array<string>")
 
     def __init__(self, block: int, id_type: pa.DataType):
         self.block, self.id_type = block, id_type
         self.number: dict[str, int] = {}
-        self.pairs, self.rows = 0, []
+        self.pairs = 0
+        self._start()
 
-    def add(self, row: int, doc_id, n_bytes: int, n_rows: int, words: list[str],
+    def _start(self) -> None:
+        self.docs: list[tuple] = []  # row, id, bytes, rows of the document, pairs
+        self.numbers: list[int] = []
+        self.counts: list[int] = []
+
+    def add(self, row: int, doc_id, n_bytes: int, pieces: int, words: list[str],
             counts: list[int]) -> None:
         number = self.number
-        numbers = [number.setdefault(w, len(number)) for w in words]
-        self.rows.append((row, doc_id, n_bytes, n_rows, numbers, counts))
+        self.docs.append((row, doc_id, n_bytes, pieces, len(words)))
+        self.numbers += [number.setdefault(w, len(number)) for w in words]
+        self.counts += counts
         self.pairs += len(words)
 
     def full(self, tokens: int, pairs: int) -> bool:
         return len(self.number) >= tokens or self.pairs >= pairs
 
-    def _batch(self, n: int, row, doc_id, n_bytes, pieces, numbers, counts, first, tokens):
-        ints = pa.list_(pa.int32())
-        kinds = [pa.int64(), pa.int64(), self.id_type, pa.int64(), pa.int32(), ints, ints,
-                 pa.int32(), pa.list_(pa.string())]
-        columns = [[self.block] * n, row, doc_id, n_bytes, pieces, numbers, counts, first, tokens]
+    def _batch(self, columns: list) -> pa.RecordBatch:
+        longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+        kinds = [longs, pa.list_(self.id_type), longs, ints, ints, pa.binary(), pa.int32(),
+                 pa.list_(pa.string())]
         return pa.RecordBatch.from_arrays(
-            [pa.array([None] * n if c is None else c, k) for c, k in zip(columns, kinds)],
-            names=["block", "row", "doc_id", "n_bytes", "pieces", "numbers", "counts", "first",
+            [pa.array([self.block], pa.int64()),
+             *[pa.array([c], k) for c, k in zip(columns, kinds)]],
+            names=["block", "row", "doc_id", "n_bytes", "pieces", "sizes", "payload", "first",
                    "tokens"])
 
     def frequencies(self) -> Iterator[pa.RecordBatch]:
-        """The documents' rows so far, which are then let go."""
-        if self.rows:
-            row, doc_id, n_bytes, n_rows, numbers, counts = zip(*self.rows)
-            yield self._batch(len(row), row, doc_id, n_bytes, n_rows, numbers, counts, None, None)
-            self.rows = []
+        """One row of the documents since the last, which are then let go."""
+        if self.docs:
+            columns = [list(c) for c in zip(*self.docs)]
+            payload = packed(columns[-1], self.numbers, self.counts)
+            yield self._batch([*columns, payload, None, None])
+            self._start()
 
     def dictionary(self) -> Iterator[pa.RecordBatch]:
         words = list(self.number)
         for at in range(0, len(words), CHUNK):
-            yield self._batch(1, None, None, None, None, None, None, [at], [words[at:at + CHUNK]])
+            yield self._batch([None] * 6 + [at, words[at:at + CHUNK]])
 
 
 def pre_token_counts(docs: DataFrame, tokenizer_json: str, pattern: str | None = None,
@@ -161,18 +199,18 @@ def pre_token_counts(docs: DataFrame, tokenizer_json: str, pattern: str | None =
     """Frequencies and dictionaries, written once.
 
     A row with ``tokens`` is a part of its block's dictionary: pre-tokens of the numbers from
-    ``first`` on.  Any other row has frequencies ``numbers, counts`` of document ``row``,
-    which has as many such rows as ``pieces`` says."""
+    ``first`` on.  Any other row has the frequencies of several documents ``row`` as a
+    ``payload``; a document is in as many such rows as its entry of ``pieces`` says."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = PreTokens(tokenizer_json, pattern, part)
-        at = TaskContext.get().partitionId() << 33  # numbers rows and blocks
-        row, block = at, None
+        partition = TaskContext.get().partitionId()
+        row, block = partition << 33, None
         for b in batches:
-            block = block or Block(at, b.schema.field(0).type)
-            for i, (doc_id, t) in enumerate(zip(b.column(0), b.column(1))):
+            block = block or Block(partition << 16, b.schema.field(0).type)
+            for doc_id, t in zip(b.column(0), b.column(1)):
                 text = t.as_py() or ""
                 found = count(text)
                 words, counts = list(found), list(found.values())
@@ -184,11 +222,11 @@ def pre_token_counts(docs: DataFrame, tokenizer_json: str, pattern: str | None =
                         yield from block.frequencies()
                         yield from block.dictionary()
                         block = Block(block.block + 1, block.id_type)
+                    elif len(block.numbers) >= chunk or len(block.docs) >= ROW_DOCS:
+                        yield from block.frequencies()
                 row += 1
-                if i % 256 == 255:
-                    yield from block.frequencies()
-            yield from block.frequencies()
         if block:
+            yield from block.frequencies()
             yield from block.dictionary()
 
     ship_package(docs.sparkSession)
@@ -196,11 +234,12 @@ def pre_token_counts(docs: DataFrame, tokenizer_json: str, pattern: str | None =
 
 
 def piece_counts(written: DataFrame, tokenizer_json: str, pattern: str | None = None) -> DataFrame:
-    """``block, number, pieces`` of every dictionary entry; a pre-token's entries lie side by
-    side, and it is split into pieces once."""
+    """``entry, pieces`` of every dictionary entry (``block << NUMBER_BITS | number``); a
+    pre-token's entries lie side by side, and it is split into pieces once."""
+    entry = F.shiftleft("block", NUMBER_BITS) + F.col("first") + F.col("at")
     entries = (written.where("tokens is not null")
                .select("block", "first", F.posexplode("tokens").alias("at", "token"))
-               .select("block", (F.col("first") + F.col("at")).alias("number"), "token"))
+               .select(entry.alias("entry"), "token"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -217,33 +256,40 @@ def piece_counts(written: DataFrame, tokenizer_json: str, pattern: str | None =
         for b in batches:
             for at in range(0, b.num_rows, ENCODE):
                 some = b.slice(at, ENCODE)
-                runs = [(w, len(list(same))) for w, same in groupby(some.column(2).to_pylist())]
+                runs = [(w, len(list(same))) for w, same in groupby(some.column(1).to_pylist())]
                 known = runs[0][0] == last  # the run goes on from the rows before
                 new = [w for w, _ in runs[known:]]
                 n = [last_n] * known + (pieces_of(new) if new else [])
                 last, last_n = runs[-1][0], n[-1]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1),
-                     pa.array(np.repeat(np.array(n, np.int64), [k for _, k in runs]))],
-                    names=["block", "number", "pieces"])
+                    [some.column(0),
+                     pa.array(np.repeat(np.array(n, np.int32), [k for _, k in runs]))],
+                    names=["entry", "pieces"])
 
     ship_package(written.sparkSession)
     return (entries.repartition("token").sortWithinPartitions("token")
-                   .mapInArrow(run, "block long, number int, pieces long"))
+                   .mapInArrow(run, "entry long, pieces int"))
 
 
 def _sums(frequencies: pa.Table, pieces: pa.Table) -> pa.Table:
-    """Token counts of one block's frequency rows."""
+    """Token counts of one block's documents, or parts of documents."""
     of = np.zeros(pieces.num_rows, np.int64)
-    of[pieces.column("number").to_numpy()] = pieces.column("pieces").to_numpy()
-    rows = frequencies.column("numbers").combine_chunks()
-    numbers = rows.flatten().to_numpy()
-    counts = frequencies.column("counts").combine_chunks().flatten().to_numpy()
-    sizes = rows.value_lengths().to_numpy()
-    totals = np.concatenate([[0], np.cumsum(of[numbers] * counts)])
-    ends = np.cumsum(sizes)
-    return frequencies.select(["row", "doc_id", "n_bytes", "pieces"]).append_column(
-        "n_tokens", pa.array(totals[ends] - totals[ends - sizes]))
+    numbers = pieces.column("entry").to_numpy() & ((1 << NUMBER_BITS) - 1)
+    of[numbers] = pieces.column("pieces").to_numpy()
+    names = ["row", "doc_id", "n_bytes", "pieces"]
+    columns: list[list] = [[] for _ in names]
+    n_tokens = [np.empty(0, np.int64)]
+    for i in range(frequencies.num_rows):
+        for c, name in zip(columns, names):
+            c.append(frequencies.column(name)[i].values)
+        sizes = np.array(frequencies.column("sizes")[i].as_py(), np.int64)
+        number, counts = unpacked(sizes, frequencies.column("payload")[i].as_py())
+        ends = np.cumsum(sizes)
+        totals = np.concatenate([[0], np.cumsum(of[number] * counts)])
+        n_tokens.append(totals[ends] - totals[ends - sizes])
+    kinds = [frequencies.schema.field(name).type.value_type for name in names]
+    return pa.table([*[pa.chunked_array(c, k) for c, k in zip(columns, kinds)],
+                     pa.array(np.concatenate(n_tokens))], names=[*names, "n_tokens"])
 
 
 def token_counts(docs: DataFrame, tokenizer_json: str, pattern: str | None = None,
@@ -252,10 +298,10 @@ def token_counts(docs: DataFrame, tokenizer_json: str, pattern: str | None = Non
     :func:`pre_token_counts`."""
     written = pre_token_counts(docs, tokenizer_json, pattern, id_col, text_col, **sizes)
     pieces = piece_counts(written, tokenizer_json, pattern)
-    id_type = written.schema["doc_id"].dataType.simpleString()
-    frequencies = written.where("tokens is null").select("block", "row", "doc_id", "n_bytes",
-                                                         "pieces", "numbers", "counts")
-    summed = frequencies.groupBy("block").cogroup(pieces.groupBy("block")).applyInArrow(
+    id_type = written.schema["doc_id"].dataType.elementType.simpleString()
+    frequencies = written.where("tokens is null").drop("first", "tokens")
+    of_block = pieces.groupBy(F.shiftright("entry", NUMBER_BITS).alias("block"))
+    summed = frequencies.groupBy("block").cogroup(of_block).applyInArrow(
         _sums, f"row long, doc_id {id_type}, n_bytes long, pieces int, n_tokens long")
     summed = materialize(summed, "token-sums")
     # only documents whose frequencies fill several rows are added up

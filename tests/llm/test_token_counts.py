@@ -1,8 +1,11 @@
 """Token counts: the tokenizer itself is the brute force."""
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from scorekit.llm import token_counts as T
@@ -64,10 +67,11 @@ def test_another_vocabulary(docs):
 def test_chunks_of_a_document_and_string_ids(spark, tokenizer):
     rows = [("a", " ".join(f"w{i}" for i in range(900))), ("a", "short"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id string, text string")
-    written = T.pre_token_counts(df, JSON, P.PATTERN, chunk=100).where("tokens is null")
-    sizes = [len(r["numbers"]) for r in rows_of(written)]
-    assert max(sizes) == 100 and min(sizes) == 0 and written.select("row").distinct().count() == 3
-    assert sorted({r["pieces"] for r in rows_of(written)}) == [1, sizes.count(100) + 1]
+    written = rows_of(T.pre_token_counts(df, JSON, P.PATTERN, chunk=100).where("tokens is null"))
+    docs = [(r, p, n) for w in written for r, p, n in zip(w["row"], w["pieces"], w["sizes"])]
+    sizes = [n for _, _, n in docs]
+    assert max(sizes) == 100 and min(sizes) == 0 and len({r for r, _, _ in docs}) == 3
+    assert sorted({p for _, p, _ in docs}) == [1, sizes.count(100) + 1]
     assert got(T.token_counts(df, JSON, P.PATTERN, chunk=100)) == brute(tokenizer, rows_of(df))
 
 
@@ -97,7 +101,7 @@ def test_each_entry_of_a_block_has_its_pieces(docs, tokenizer):
     words = {(r["block"], r["first"] + i): w for r in rows_of(written) if r["tokens"] is not None
              for i, w in enumerate(r["tokens"])}
     assert len({b for b, _ in words}) > 3
-    got = {(r["block"], r["number"]): r["pieces"]
+    got = {divmod(r["entry"], 1 << T.NUMBER_BITS): r["pieces"]
            for r in rows_of(T.piece_counts(written, JSON, P.PATTERN))}
     assert got.keys() == words.keys()
     some = sorted(words)[::37]
@@ -121,3 +125,14 @@ def test_long_pre_tokens(spark, tokenizer):
     df = spark.createDataFrame([(i, "-" * 300 + "=" * i) for i in range(200)],
                                "doc_id long, text string")
     assert got(T.token_counts(df, JSON, P.PATTERN)) == brute(tokenizer, rows_of(df))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 2 ** 20), st.integers(1, 2 ** 31), max_size=6),
+                min_size=1, max_size=6))
+def test_packing_is_a_round_trip(docs):
+    sizes = [len(d) for d in docs]
+    payload = T.packed(sizes, [n for d in docs for n in d], [c for d in docs for c in d.values()])
+    numbers, counts = T.unpacked(np.array(sizes), payload)
+    at = np.cumsum([0, *sizes])
+    assert [dict(zip(numbers[a:b].tolist(), counts[a:b].tolist())) for a, b in zip(at, at[1:])] == docs
