@@ -76,7 +76,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str = "tmp") -> DataFrame:
+def materialize(df: DataFrame, label: str = "tmp", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint root and read it back.
 
     This cuts the lineage (a lost executor re-reads files instead of
@@ -84,8 +84,19 @@ def materialize(df: DataFrame, label: str = "tmp") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and nothing reads any more (for jobs
+    that go on for long, such as streams)."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_dir(spark: SparkSession) -> str:
