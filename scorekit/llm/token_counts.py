@@ -32,6 +32,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -48,15 +49,15 @@ from pyspark.sql import functions as F
 from ..session import materialize, ship_package
 
 #: Distinct pre-tokens, and frequencies, at which a block ends.
-BLOCK_TOKENS, BLOCK_PAIRS = 1 << 18, 1 << 22
+BLOCK_TOKENS, BLOCK_PAIRS = 1 << 19, 1 << 22
 #: Characters of a text that are split at a time, and frequencies a written row.
 PART, CHUNK = 1 << 20, 1 << 16
 #: Documents a written row at most.
 ROW_DOCS = 256
 #: Bits of a number within its block: a block ends soon after BLOCK_TOKENS.
 NUMBER_BITS = 20
-#: Pre-tokens split into pieces in one call.
-ENCODE = 4096
+#: Dictionary entries that are split into pieces and sorted at a time.
+ENCODE = 1 << 14
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -230,7 +231,8 @@ def pre_token_counts(docs: DataFrame, tokenizer_json: str, pattern: str | None =
             yield from block.dictionary()
 
     ship_package(docs.sparkSession)
-    return materialize(texts.mapInArrow(run, Block.SCHEMA.format(id=id_type)), "pre-tokens")
+    return materialize(texts.mapInArrow(run, Block.SCHEMA.format(id=id_type)), "pre-tokens",
+                       compression="zstd")
 
 
 def piece_counts(written: DataFrame, tokenizer_json: str, pattern: str | None = None) -> DataFrame:
@@ -242,6 +244,8 @@ def piece_counts(written: DataFrame, tokenizer_json: str, pattern: str | None =
                .select(entry.alias("entry"), "token"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task is one thread: others would hold memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(tokenizer_json)
         added = {t.content for t in tok.get_added_tokens_decoder().values()}
@@ -261,10 +265,11 @@ def piece_counts(written: DataFrame, tokenizer_json: str, pattern: str | None =
                 new = [w for w, _ in runs[known:]]
                 n = [last_n] * known + (pieces_of(new) if new else [])
                 last, last_n = runs[-1][0], n[-1]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0),
-                     pa.array(np.repeat(np.array(n, np.int32), [k for _, k in runs]))],
-                    names=["entry", "pieces"])
+                entry = some.column(0).to_numpy()
+                order = np.argsort(entry)  # neighbours of a block shuffle in fewer bytes
+                pieces = np.repeat(np.array(n, np.int32), [k for _, k in runs])
+                yield pa.RecordBatch.from_arrays([pa.array(entry[order]), pa.array(pieces[order])],
+                                                 names=["entry", "pieces"])
 
     ship_package(written.sparkSession)
     return (entries.repartition("token").sortWithinPartitions("token")
