@@ -158,17 +158,17 @@ def rows_at(df: DataFrame, group: Sequence[str], cuts: Sequence[Cuts],
                         F.posexplode(wanted).alias("_i", "_at"), first.alias("_first"),
                         last.alias("_last"))
                 .where("_at between _first and _last"))
-    found = materialize(found, label + "-found")
-    if not exhaustive and not found.where("not _kept").isEmpty():
-        return rows_at(df, group, cuts, label, exhaustive=True)
-    out = []
+    out = [F.count(F.when(~F.col("_kept"), 1)).alias("_missed")]
     for i, c in enumerate(cuts):
         here = F.col("_cut") == i
         out.append(F.max(F.when(here, F.col("_total"))).alias(f"{c.name}_n"))
         key = F.struct(*[F.col(f"_k{i}_{j}").alias(f"k{j}") for j in range(len(c.order))])
         out += [F.any_value(F.when(here & (F.col("_i") == j), key), True).alias(f"{c.name}_{j}")
                 for j in range(len(c.positions(F.lit(1))))]
-    return materialize(found.groupBy(*group).agg(*out), label + "-rows")
+    rows = materialize(found.groupBy(*group).agg(*out), label + "-rows")
+    if not exhaustive and not rows.where("_missed > 0").isEmpty():
+        return rows_at(df, group, cuts, label, exhaustive=True)
+    return rows.drop("_missed")
 
 
 def at_or_before(order: Order, border: Column) -> Column:

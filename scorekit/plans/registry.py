@@ -8,11 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exact_avg
 from ..functions.text import country_of, employee_count, suffixed_count
-from ..session import scratch_dir
+from ..operators import group_median, skew_join
+from ..operators import sketches as S
+from ..session import materialize, scratch_dir
 from ..sources import card_pages as P
-from ..sources import catalog, files
+from ..sources import catalog, files, frontier, page_tables, rejects
 from ..sources.bindings import stored
+from ..sources.merge_table import scratch_table
 from ..sources.tables import read_table
 from . import analyses as A
 from . import cleaning as C
@@ -31,7 +35,6 @@ def _on_companies(fn, **kw) -> Query:
 
 
 def _group_median(df):
-    from ..operators import group_median
     return group_median(df, ["Country"], "RatingCount", "median_ratingcount")
 
 
@@ -119,7 +122,48 @@ def _catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.catalog.setCurrentDatabase(before)
 
 
+def _skewed_benchmark(df: DataFrame) -> DataFrame:
+    """Ratings against the benchmark of their (Country, segment), half the rows of a
+    country in one segment: how many are above it."""
+    rows = materialize(df.select(
+        "Country", F.when(F.col("id") % 2 == 0, "all").otherwise(F.col("Headquarters"))
+        .alias("Segment"), "Rating"), "segments")
+    keys = ["Country", "Segment"]
+    bench = rows.groupBy(*keys).agg(exact_avg("Rating").alias("segment_avg_rating"))
+    rated = skew_join(rows, bench, keys)
+    return rated.groupBy(*keys).agg(
+        F.max("segment_avg_rating").alias("segment_avg_rating"),
+        F.count(F.when(F.col("Rating") > F.col("segment_avg_rating"), 1)).alias("n_above"),
+        F.count(F.lit(1)).alias("n"))
+
+
+def _median_sketch(df: DataFrame) -> DataFrame:
+    """Sketches stored per country and year, merged per country, beside the exact median."""
+    rows = df.where(F.col("Employees_Count").isNotNull())
+    group, batch, col = ["Country"], "Company_year", "Employees_Count"
+    sketches = materialize(S.quantile_sketches(rows, [*group, batch], col), "sketches")
+    near = S.median_within_bound(rows, group, batch, col, sketches)
+    exact = group_median(rows, group, col, "median")
+    return near.join(exact.select(F.col("Country").alias("_c"), "median"),
+                     F.col("Country").eqNullSafe(F.col("_c"))).drop("_c")
+
+
+def _distinct_sketch(df: DataFrame) -> DataFrame:
+    """Names per country over both crawl batches, from sketches stored per batch."""
+    rows = df.withColumn("Country", country_of("Headquarters"))
+    sketches = materialize(S.distinct_sketches(rows, ["Country", "batch"], "Name"), "sketches")
+    exact = rows.groupBy("Country").agg(F.countDistinct("Name").alias("names"))
+    about = S.merge_distinct(sketches, ["Country"], "about").withColumnRenamed("Country", "_c")
+    return exact.join(about, F.col("Country").eqNullSafe(F.col("_c"))).select(
+        "Country", "names",
+        (F.abs(F.col("about") - F.col("names")) <= 0.03 * F.col("names")).alias("within_3_percent"))
+
+
 TABLE_QUERIES: dict[str, Query] = {
+    "top_rated_by_size": _on_companies(A.top_rated, by=(("Rating", "desc"),
+                                                        ("Employees_Count", "desc"))),
+    "skewed_benchmark": _on_orders(_skewed_benchmark),
+    "median_sketch": _on_orders(_median_sketch),
     "country_filter": _on_companies(A.in_group, value="NATION_7"),
     "first_rows": _on_companies(A.first_rows, k=5),
     "age_segment_strength_today": _on_companies(A.age_segments),
@@ -180,6 +224,54 @@ def _null_profile(raw):
                                 "Company_year", "Employees Count"])
 
 
+def _column_profile(raw):
+    """One pass over all columns; the estimates beside exact counts, as flags."""
+    cols = ["Name", "Rating", "Rating Count", "Headquarters", "Company_year", "Employees Count"]
+    found = Q.column_profile(raw, cols, limits={"Name": 18, "Headquarters": 30})
+    exact = raw.agg(*[F.countDistinct(c).alias(c) for c in cols])
+    exact = exact.unpivot([], cols, "_column", "distinct_count")
+    return found.join(exact, F.col("column_name") == F.col("_column")).select(
+        "column_name", "row_count", "null_count", "min_length", "max_length", "over_limit",
+        "distinct_count",
+        (F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
+         <= 0.03 * F.col("distinct_count")).alias("estimate_within_3_percent"),
+        F.col("top_values")[0]["count"].alias("top_count"))
+
+
+def _table_report(raw):
+    return Q.table_report(raw, ["pos"], {"Name": 18, "Headquarters": 30})
+
+
+def _incremental_merge(raw):
+    """The cleaned batches merged one after the other into a bucketed table."""
+    rows = C.impute_constants(C.parse_fields(raw)).withColumn(
+        "Rating", F.col("Rating").try_cast("double")).dropna(subset=["Name", "Rating"])
+    rows = rows.select("batch", "pos", "Name", "Headquarters")
+    spark = raw.sparkSession
+    table = scratch_table(spark, scratch_dir(spark), ["Name", "Headquarters"], ["batch", "pos"], 32)
+    for batch in (2, 1):  # the later crawl arrives first
+        table.merge(rows.where(F.col("batch") == batch))
+    return table.read()
+
+
+def _tolerant_load(raw):
+    """The scraped rows as CSV lines, some of them damaged, loaded with their rejects."""
+    pos = F.col("pos")
+    damaged = raw.withColumns({
+        "Rating Count": F.when(pos % 29 == 1, F.lit("many")).otherwise(F.col("Rating Count")),
+        "Rating": F.when(pos % 37 == 3, F.lit("good")).otherwise(F.col("Rating")),
+        "Headquarters": F.when(pos % 31 == 2, F.repeat(F.lit("Long Road "), 30))
+                         .otherwise(F.col("Headquarters"))})
+    line = F.to_csv(F.struct(*raw.columns))
+    line = (F.when(pos % 23 == 0, F.concat(line, F.lit(",one,more")))
+             .when(pos % 41 == 5, F.concat_ws(",", "batch", "pos")).otherwise(line))
+    path = f"{scratch_dir(raw.sparkSession)}/lines-{uuid.uuid4().hex}"
+    damaged.select(line.alias("value")).write.text(path)
+    accepted, refused = rejects.load_csv(raw.sparkSession, path, header=False)
+    return accepted.select("batch", "pos", F.lit("accepted").alias("outcome")).unionByName(
+        refused.select("batch", "pos", F.col(rejects.REASON).alias("outcome")))
+
+
 def _point_corrections(raw):
     return C.apply_point_corrections(raw).select("batch", "pos", "row_index", "Headquarters")
 
@@ -212,6 +304,11 @@ CLEANING_QUERIES: dict[str, Query] = {
     "load_companies": _on_raw(_load_companies),
     "null_profile": _on_raw(_null_profile),
     "point_corrections": _on_raw(_point_corrections),
+    "distinct_sketch": _on_raw(_distinct_sketch),
+    "column_profile": _on_raw(_column_profile),
+    "table_report": _on_raw(_table_report),
+    "incremental_merge": _on_raw(_incremental_merge),
+    "tolerant_load": _on_raw(_tolerant_load),
 }
 
 
@@ -242,7 +339,48 @@ def _url_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("url")))
 
 
+#: First page of the crawl that the frontier queries look at.
+FRONTIER_START = 101
+
+
+def _crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """A log of fetched page ranges, one per order, and the last page wanted."""
+    key = F.col("o_orderkey").cast("long")
+    first = F.col("o_custkey").cast("long") * 5 + key % 4
+    log = read_table(spark, sf_dir, "orders").select(
+        first.alias("first"),
+        F.when(key % 31 == 0, first - 2).when(key % 37 != 0, first + key % 3).alias("last"))
+    return log, log.agg(F.max("last")).first()[0] + 50
+
+
+def _page_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, stop = _crawl(spark, sf_dir)
+    missing = frontier.missing_ranges(log, FRONTIER_START, stop)
+    twice = frontier.repeated_ranges(log, FRONTIER_START, stop)
+    return missing.select(F.lit("missing").alias("state"), "first", "last").unionByName(
+        twice.select(F.lit("repeated").alias("state"), "first", "last"))
+
+
+def _frontier_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages still to fetch."""
+    log, stop = _crawl(spark, sf_dir)
+    return frontier.page_urls(frontier.missing_ranges(log, FRONTIER_START, stop), P.LISTING_URL)
+
+
+def _cards_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_tables.cards_by_sql(spark, P.listing_pages(spark, sf_dir))
+
+
+def _elements_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return page_tables.elements_by_sql(spark, pages, "div.ad").withColumnRenamed("text", "ad_text")
+
+
 EXTRACTION_QUERIES: dict[str, Query] = {
+    "page_frontier": _page_frontier,
+    "frontier_urls": _frontier_urls,
+    "cards_by_sql": _cards_by_sql,
+    "elements_by_sql": _elements_by_sql,
     "cards_extract": _cards_extract,
     "detail_enrich": _detail_enrich,
     "url_frontier": _url_frontier,
