@@ -1,30 +1,34 @@
-"""Toxicity by compression distance: a zstandard dictionary trained on ordinary text,
-and the same dictionary with passages of toxic text before its own.
+"""Toxicity by compression distance: zstandard dictionaries trained on ordinary and on
+toxic text.
 
 A text is cut into windows of ``WINDOW`` words; each window is compressed once with
-either dictionary.  Where the toxic dictionary saves bytes, the window holds words
-that toxic text has and ordinary text lacks.  Both dictionaries share the entropy
-tables and all ordinary passages, so lengths are comparable and differ only by the
-passages that set them apart.  How many windows, and what share
-of them, save at least 1, 2, ... bytes goes through a logistic calibration.
-
-The toxic passages are all words of toxic documents whose beginnings (``MIN_STEM`` to
-``MAX_STEM`` bytes) occur in clearly more toxic than ordinary documents, and all runs
-of such words that at least two toxic documents have; near copies among the sample
-count once.  Their size follows the sample.  Dictionaries come from two thirds of the
-sample, the calibration from the rest.
+either dictionary.  Where the toxic dictionary saves bytes, the window holds what toxic
+text has and ordinary text lacks.  How many windows, and what share of them, save at
+least 1, 2, ... bytes goes through a logistic calibration.
+
+zstandard trains the ordinary dictionary on windows of ordinary documents and the toxic one
+on toxic passages of toxic documents.  A passage is a run of words whose beginnings
+(``MIN_STEM`` to ``MAX_STEM`` bytes) occur in clearly more toxic than ordinary documents, as
+it stands in a text; a passage of many documents is as many samples.  Near copies among the
+sample count once.  When windows are compressed, the toxic dictionary's content comes
+before the ordinary one's, with the ordinary one's entropy tables, so lengths are
+comparable and differ only by what was learnt from toxic text.  Dictionaries come from two
+thirds of the sample, the calibration from the rest.
 
 Bound of the fit: at most ``MAX_FIT`` documents of each class, chosen by a hash of
 their id.  Their whole texts are read, in Arrow passes: keys of near copies, document
-counts of stems, marked and drawn words, and the calibration's features; only these
-reach the driver.  The ordinary passages are ``BASE_BYTES`` that zstandard picks from
-``PLAIN_DRAWS`` words of the ordinary documents.  The three bounds are parameters of
-``fit_on``.  Scoring reads whole texts, with no bound.
-
-Edge cases: null and empty texts score as texts without windows; null labels are
-not used; with fewer than ``LEAST_FIT`` documents of a class every score is the share
-of toxic labels; null ids are not held out; an empty table gives no rows; repeated
-rows score alike; extra columns are ignored.
+counts of stems, toxic passages, drawn ordinary windows, and the calibration's features;
+only these reach the driver.  The ordinary dictionary has ``BASE_BYTES`` that zstandard picks
+from ``PLAIN_DRAWS`` windows, drawn from all of the ordinary documents; the toxic one
+follows the sample, with room for all passages.  The bounds are parameters of ``fit_on``.
+Scoring reads whole texts, with no bound.
+
+Edge cases: null and empty texts score as texts without windows; a very long text is
+scored by all of its windows, like any other; null labels are not used; with fewer than
+``LEAST_FIT`` documents of a class, or too little text for a dictionary, every score is the
+share of toxic labels; null ids are not held out; ties in a score mean nothing here, as
+nothing is ranked; an empty table gives no rows; repeated rows score alike; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +48,10 @@ WINDOW = 8
 MAX_WINDOW_BYTES = 512
 MAX_FIT = 3000
 LEAST_FIT = 12
-BASE_BYTES = 16384
-PLAIN_DRAWS = 60_000
+BASE_BYTES = 32768
+PLAIN_DRAWS = 120_000
+#: Passages are short: the trainer picks segments of this size by runs of this many bytes.
+SEGMENT, RUN = 32, 8
 #: Counted stems that a worker holds before it passes them on.
 MAX_COUNTED = 200_000
 MIN_STEM, MAX_STEM = 4, 10
@@ -154,15 +160,15 @@ def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.R
 
 
 def _profiles(sample: DataFrame) -> list[dict]:
-    """``n, y, keys, words``: near-copy keys and the count of distinct words of each text."""
+    """``n, y, keys, windows``: near-copy keys and the count of windows of each text."""
     types = [pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, y, words in _texts(batches, None):
-            yield _rows(["n", "y", "keys", "words"], types,
-                        [(n, y, _copy_keys(words), len(set(words)))])
+            yield _rows(["n", "y", "keys", "windows"], types,
+                        [(n, y, _copy_keys(words), len(windows_of(words)))])
 
-    rows = sample.mapInArrow(run, "n int, y int, keys array<binary>, words long")
+    rows = sample.mapInArrow(run, "n int, y int, keys array<binary>, windows long")
     return sorted(rows.toArrow().to_pylist(), key=lambda r: r["n"])
 
 
@@ -190,50 +196,50 @@ def _marked_stems(sample: DataFrame, train: dict[int, set[int]]) -> set[bytes]:
     return set(stems.select("stem").toArrow().column(0).to_pylist())
 
 
-def _runs(words: list[bytes], marked: set[bytes]) -> set[bytes]:
-    """Stretches of two or more marked words, as they stand in the text."""
+def _runs(words: list[bytes], marked) -> set[bytes]:
+    """Stretches of marked words, as they stand in the text."""
     out, run = set(), []
     for w in [*words, None]:
-        if w in marked:
+        if w is not None and marked(w):
             run.append(w)
         else:
-            if len(run) > 1:
-                out.add(b" ".join(run))
+            if run:
+                out.add(b" " + b" ".join(run))
             run = []
     return out
 
 
-def _training_words(sample: DataFrame, train: dict[int, set[int]], stems: set[bytes],
-                    n_plain: int, plain_draws: int) -> tuple[dict[bytes, int], list[bytes]]:
-    """Document counts of the toxic documents' words with a marked stem, and of the runs of
-    such words that two documents have; and ``plain_draws`` of the ordinary documents'
-    ``n_plain`` distinct words, drawn by a hash of document and word."""
+def _training_text(sample: DataFrame, train: dict[int, set[int]], stems: set[bytes],
+                   n_plain: int, plain_draws: int) -> tuple[list[bytes], list[bytes]]:
+    """Toxic passages, each once per document that has it; and ``plain_draws`` of the ordinary
+    documents' ``n_plain`` windows, drawn by a hash of document and window."""
     import xxhash
     both = train[0] | train[1]
     below = int(min(1.0, 1.2 * plain_draws / max(1, n_plain)) * 2**64)
     types = [pa.binary(), pa.binary()]
 
+    def is_marked(w: bytes) -> bool:
+        return any(w[:k] in stems for k in range(MIN_STEM, MAX_STEM + 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, y, words in _texts(batches, both):
-            if y:  # words have no hash, runs an empty one
-                marked = {w for w in set(words)
-                          if any(w[:k] in stems for k in range(MIN_STEM, MAX_STEM + 1))}
-                out = [(w, None) for w in marked] + [(r, b"") for r in _runs(words, marked)]
+            if y:  # passages have no hash
+                out = [(r, None) for r in _runs(words, is_marked)]
             else:
-                drawn = ((w, xxhash.xxh3_64_digest(w, n)) for w in set(words))
+                drawn = ((w, xxhash.xxh3_64_digest(w, n)) for w in windows_of(words))
                 out = [(w, h) for w, h in drawn if int.from_bytes(h, "big") < below]
-            yield _rows(["word", "h"], types, out)
+            yield _rows(["text", "h"], types, out)
 
-    rows = sample.mapInArrow(run, "word binary, h binary").groupBy("word", "h").count()
-    rows = rows.where("h is null or h != X'' or count > 1").toArrow().to_pylist()
-    marked = {r["word"]: r["count"] for r in rows if not r["h"]}
-    plain = sorted((r["h"], r["word"]) for r in rows if r["h"])
-    return marked, [w for _, w in plain[:plain_draws]]
+    rows = (sample.mapInArrow(run, "text binary, h binary").groupBy("text", "h").count()
+                  .toArrow().to_pylist())
+    toxic = sorted((r["count"], r["text"]) for r in rows if not r["h"])
+    plain = sorted((r["h"], r["text"]) for r in rows if r["h"])
+    return [t for c, t in toxic for _ in range(c)], [w for _, w in plain[:plain_draws]]
 
 
-def _toxic_passages(marked: dict[bytes, int]) -> bytes:
-    """All marked words and runs, the most frequent last."""
-    return b"".join(b" " + w for w, c in sorted(marked.items(), key=lambda x: (x[1], x[0])))
+def _content(dictionary: bytes) -> bytes:
+    """A dictionary without its header."""
+    return dictionary[dictionary.index(HEADER_END) + len(HEADER_END):]
 
 
 def _held_features(sample: DataFrame, held: set[int],
@@ -272,15 +278,17 @@ def fit(sample: DataFrame, share: float, base_bytes: int = BASE_BYTES,
     train = {v: set(_distinct([(r["n"], r["keys"]) for i, r in enumerate(d) if i % 3]))
              for v, d in by.items()}
     stems = _marked_stems(sample, train)
-    marked, plain = _training_words(sample, train, stems,
-                                    sum(r["words"] for r in by[0] if r["n"] in train[0]),
-                                    plain_draws)
+    toxic, plain = _training_text(sample, train, stems,
+                                  sum(r["windows"] for r in by[0] if r["n"] in train[0]),
+                                  plain_draws)
     try:
-        base = zs.train_dictionary(base_bytes, [b" " + w for w in plain]).as_bytes()
-    except zs.ZstdError:  # too little text for a dictionary
+        base = zs.train_dictionary(base_bytes, plain).as_bytes()
+        room = 1024 + 2 * sum(map(len, set(toxic)))
+        learnt = _content(zs.train_dictionary(room, toxic, k=SEGMENT, d=RUN, split_point=1.0)
+                          .as_bytes())
+    except (zs.ZstdError, ValueError):  # too little text for a dictionary
         return Model(share=share)
-    at = base.index(HEADER_END) + len(HEADER_END)
-    model = Model(base, base[:at] + _toxic_passages(marked) + base[at:], share=share)
+    model = Model(base, base.removesuffix(_content(base)) + learnt + _content(base), share=share)
     x, y = _held_features(sample, {r["n"] for d in by.values() for r in d[::3]}, model)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
@@ -293,8 +301,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
            max_fit: int = MAX_FIT, base_bytes: int = BASE_BYTES,
            plain_draws: int = PLAIN_DRAWS) -> Model:
     """Fit on at most ``max_fit`` labelled documents of each class for which
-    ``usable``, a condition on the id, holds; ``base_bytes`` and ``plain_draws`` bound
-    the ordinary passages and the words that they are picked from."""
+    ``usable``, a condition on the id, holds; ``base_bytes`` bounds the ordinary dictionary,
+    ``plain_draws`` the windows that it is trained on."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     marked = marked.where("id is not null and y in (0, 1)")
     if usable is not None:
