@@ -12,7 +12,9 @@ Each text is read once and no row shuffles; the scan of a candidate is linear in
 length.  Offsets are code points, ends exclusive.
 
 Edge cases: null and empty texts have no spans; rows with null ids, and repeated rows,
-are scanned like any other; an empty table gives no rows; extra columns are ignored.
+are scanned like any other; of spans that start together the kinds' order decides; a very
+long text is scanned whole, matches and spans ``CHUNK`` at a time, so that no step copies
+more than a chunk; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,19 +67,42 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
+#: Matches or spans of a text that one inner loop collects.
+CHUNK = 256
+
+
+def _chunks(rows: str) -> str:
+    """SQL for an array cut into arrays of ``CHUNK`` elements."""
+    return (f"transform(if(size({rows}) = 0, cast(array() as array<int>), "
+            f"sequence(0, (size({rows}) - 1) div {CHUNK})), "
+            f"c -> slice({rows}, c * {CHUNK} + 1, {CHUNK}))")
+
+
+def _once(value: str, name: str, then: str) -> str:
+    """SQL for ``then``, in which ``name`` stands for ``value``, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
 def _matches(text: str, pattern: str, group: int) -> str:
     """SQL for ``array<struct<start,end,found,value>>`` of all matches of a pattern, left
-    to right: the text between matches gives their places."""
+    to right: the text between matches gives their places, first within a chunk of matches,
+    then from the lengths of the chunks."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
     found, value = (f"regexp_extract_all({text}, '{p}', {g})" for g in (0, group))
     zipped = (f"filter(transform(arrays_zip(split({text}, '{p}', -1), {found}, {value}), "
               "z -> named_struct('gap', z.`0`, 'found', z.`1`, 'value', z.`2`)), "
               "z -> z.found is not null)")
     empty = "cast(array() as array<struct<start:int,end:int,found:string,value:string>>)"
-    return (f"aggregate({zipped}, named_struct('at', 0, 'out', {empty}), (s, z) -> named_struct("
-            "'at', s.at + length(z.gap) + length(z.found), 'out', concat(s.out, array("
-            "named_struct('start', s.at + length(z.gap), 'end', s.at + length(z.gap) "
-            "+ length(z.found), 'found', z.found, 'value', z.value)))), s -> s.out)")
+    within = (f"aggregate(k, named_struct('at', 0, 'out', {empty}), (s, z) -> named_struct("
+              "'at', s.at + length(z.gap) + length(z.found), 'out', concat(s.out, array("
+              "named_struct('start', s.at + length(z.gap), 'end', s.at + length(z.gap) "
+              "+ length(z.found), 'found', z.found, 'value', z.value)))))")
+    starts = ("aggregate(ks, named_struct('at', 0, 'out', cast(array() as array<int>)), "
+              "(s, k) -> named_struct('at', s.at + k.at, 'out', concat(s.out, array(s.at))), "
+              "s -> s.out)")
+    moved = (f"flatten(zip_with(ks, {starts}, (k, at) -> transform(k.out, m -> named_struct("
+             "'start', m.start + at, 'end', m.end + at, 'found', m.found, 'value', m.value))))")
+    return _once(zipped, "zs", _once(f"transform({_chunks('zs')}, k -> {within})", "ks", moved))
 
 
 def _spans(matches: str, kind: str, least: int) -> str:
@@ -110,13 +135,22 @@ def lowest_sum(value: str, window: int) -> str:
 
 
 def _blanked(text: str, spans: str) -> str:
-    """SQL for the text with a blank for every character of the spans."""
+    """SQL for the text with a blank for every character of the spans: region by region,
+    each from the end of the spans before to that of a chunk of spans."""
     upto = "greatest(s.at, b.start)"
-    return (f"aggregate(array_sort({spans}), named_struct('at', 0, 'out', ''), (s, b) -> "
-            "named_struct('at', greatest(s.at, b.end), 'out', concat(s.out, "
-            f"substring({text}, s.at + 1, {upto} - s.at), "
-            f"repeat(' ', greatest(s.at, b.end) - {upto}))), "
-            f"s -> concat(s.out, substring({text}, s.at + 1)))")
+    inner = ("aggregate(r.spans, named_struct('at', r.first, 'out', ''), (s, b) -> "
+             "named_struct('at', greatest(s.at, b.end), 'out', concat(s.out, "
+             f"substring(t, s.at - r.first + 1, {upto} - s.at), "
+             f"repeat(' ', greatest(s.at, b.end) - {upto}))), s -> s.out)")
+    region = _once(f"substring({text}, r.first + 1, r.last - r.first)", "t", inner)
+    last = "greatest(s.at, array_max(transform(k, b -> b.end)))"
+    none = ("cast(array() as array<struct<first:int,last:int,spans:array<struct<"
+            "start:int,end:int>>>>)")
+    regions = (f"aggregate({_chunks('bs')}, named_struct('at', 0, 'out', {none}), (s, k) -> "
+               f"named_struct('at', {last}, 'out', concat(s.out, array(named_struct("
+               f"'first', s.at, 'last', {last}, 'spans', k)))), s -> array_join(concat("
+               f"transform(s.out, r -> {region}), array(substring({text}, s.at + 1))), ''))")
+    return _once(f"array_sort({spans})", "bs", regions)
 
 
 def _entropy_spans(candidates: str) -> str:
