@@ -23,7 +23,8 @@ shuffle; only the matching pairs do, summed map-side per document.
 Base phrases are found in the word sequence itself, wherever they stand.
 
 Edge cases: null and empty texts, and texts without words, have no place and score 0;
-null ids and repeated rows are scanned like any other; an empty table gives no rows;
+null ids and repeated rows are scanned like any other; a very long text is more blocks;
+words of equal frequency are ordered by the word itself; an empty table gives no rows;
 extra columns are ignored.
 """
 
@@ -42,22 +43,54 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"),
            ("general public license", "gpl"))
-# Wording of public license notices, and their labels.
+# Wording of public license notices and clauses, and their labels.  Each is a
+# clause that sets its license apart: a notice that differs from another license's by its
+# name alone would meet that one's text as well.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this "
             "software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all "
+            "copies or substantial portions of the software"),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages "
+            "or other liability whether in an action of contract tort or otherwise"),
     ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed "
+               "under the license is distributed on an as is basis"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public "
             "license"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license "
+            "document but changing it is not allowed"),
+    ("lgpl", "a program that contains no derivative of any portion of the library but is designed "
+             "to work with the library by being compiled or linked with it"),
+    ("agpl", "if you modify the program your modified version must prominently offer all users "
+             "interacting with it remotely through a computer network"),
     ("cc", "licensed under cc by nc 4 0"),
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc", "you are free to share copy and redistribute the material in any medium or format"),
+    ("cc", "to the extent possible under law the author has waived all copyright and related or "
+           "neighboring rights to this work"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are "
             "permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of "
+            "conditions and the following disclaimer"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any "
+            "express or implied warranties including but not limited to"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with "
+            "or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event "
+             "will the authors be held liable for any damages arising from the use"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be "
+             "misrepresented as being the original software"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one"),
+    ("epl", "this program and the accompanying materials are made available under the terms of "
+            "the eclipse public license"),
+    ("epl", "the program including contributions may always be distributed subject to the version "
+            "of the agreement under which it was received"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this "
+                  "software either in source code form or as a compiled binary"),
 )
 CONTAINMENT = 80
 BLOCK, STRIDE = 64, 32
@@ -110,6 +143,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrases in order), ``blocks`` (``(first_word, label, containment)`` of the matching
     blocks)."""
     spark = docs.sparkSession
+    long = [t for _, t in templates if len(t.split()) > BLOCK - STRIDE]
+    if long:
+        raise ValueError(f"over {BLOCK - STRIDE} words, so block borders may cut it: {long[0]}")
     lines = docs.select(F.col(id_col).alias("doc_id"), word_line(text_col).alias("line"))
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     rank = word_order(lines, vocabulary)

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from scorekit.llm.licenses import (BLOCK, CONTAINMENT, PHRASES, STRIDE, TEMPLATES, license_digest,
                                    scan_licenses)
 
@@ -46,3 +48,26 @@ def test_native_plan_and_empty_table(docs, empty):
     plan = scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
     assert license_digest(empty).count() == 0
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("This tool is released under the Apache License.", "apache"),
+    ("released under the zlib license", ""),
+    ("Licensed under the MIT license version 2 0", "mit"),
+    ("The house was released under the license of the county; mit is a word here.", "")])
+def test_notices_of_another_license_get_no_label(spark, text, labels):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert rows_of(license_digest(df))[0]["labels"] == labels
+
+
+def test_each_clause_alone_gets_its_own_label(spark):
+    cases = spark.createDataFrame([(i, f"Notice: {t}. " + "word " * 40)
+                                   for i, (_, t) in enumerate(TEMPLATES)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in rows_of(license_digest(cases))}
+    assert got == {i: name for i, (name, _) in enumerate(TEMPLATES)}
+    assert len({name for name, _ in TEMPLATES}) >= 10
+
+
+def test_templates_that_block_borders_may_cut_are_refused(spark, docs):
+    with pytest.raises(ValueError):
+        scan_licenses(docs, templates=(("long", "w " * (BLOCK - STRIDE + 1)),))
