@@ -13,7 +13,8 @@ back is an ordinary shuffle join, whose large side adaptive execution splits.
 
 Edge cases: a null text is the empty text; null ids sort last, so such a row
 stays only if every row of its group has a null id; fully repeated rows (same
-id, same text) are told apart by their row number, and one of them stays; an
+id, same text) are told apart by their row number, and one of them stays; that number
+also decides ties of equal ids; of a very long text only the digest moves; an
 empty table gives no rows.
 """
 

@@ -20,8 +20,9 @@ a whole source in one task: documents fall by hash into buckets of about
 ``BUCKET_ROWS`` rows, buckets are summed map-side, and only a bucket's rows meet.
 
 Edge cases: null text has size 0 and is never taken; null is a source of its
-own, last; rows equal in id, source and text follow each other in the stream;
-an empty table gives no rows; extra columns stay out of the result.
+own, last; rows equal in id, source and text follow each other in the stream; equal
+positions are ordered by hash; a very long text is one number of words, and is cut like
+any other where its source's target ends; an empty table gives no rows; extra columns stay out of the result.
 """
 
 from __future__ import annotations

@@ -24,8 +24,8 @@ Chances: at the threshold a pair shares no band with probability
 
 Edge cases: null or empty texts, and texts without words, have the empty set,
 no node and no link; fewer words than a shingle give one shingle of all words;
-null ids count as larger than any id; repeated rows are one node; an empty
-table gives no rows; extra columns are ignored.
+null ids count as larger than any id; repeated rows are one node; a very long text is a
+large set, confirmed in full; a pair at the threshold is linked; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

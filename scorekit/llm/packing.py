@@ -15,7 +15,9 @@ and a lost task is simply run again with the same result.  Sequence numbers
 hold the partition number in their high bits.
 
 Edge cases: a null or empty text is the single id 0; null ids and repeated rows
-are ordinary rows; extra columns are ignored; an empty table gives no rows.
+are ordinary rows; a very long text fills whole windows and leaves one rest like any other;
+rests of equal length are taken as they came; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

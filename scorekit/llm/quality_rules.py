@@ -12,8 +12,8 @@ is under ``KEEP_AT``.
 
 Edge cases: null and empty texts have no words and fail the base rules; null labels
 and ids are not used in fitting; with fewer than ``LEAST_FIT`` labelled documents, or
-one class alone, the base rules decide; repeated rows are judged alike; an empty table
-gives no rows; extra columns are ignored.
+one class alone, the base rules decide; repeated rows are judged alike, and a score at the
+limit is kept; a very long text is measured whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,8 +21,9 @@ of the k-th key cover all rows and whole texts.
 
 Edge cases: null and empty texts have no n-gram and importance 0; null ids and
 repeated rows are ordinary rows, and rows equal in id and text share key and fate;
-without a label of good quality, or without a bad one, every document is kept; an
-empty table gives no rows; extra columns are ignored.
+ties with the last key kept are kept; a very long text is turned into n-grams whole, by
+one worker; without a label of good quality, or without a bad one, every document is kept;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

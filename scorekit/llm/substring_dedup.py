@@ -20,8 +20,8 @@ hashes; a heavy hash is split by adaptive execution.
 
 Edge cases: null texts and texts shorter than a window lose nothing (null: no
 words); a window repeated inside its own document counts; repeated rows repeat all
-their windows; null ids are ordinary; an empty table gives no rows; extra columns
-are ignored.
+their windows; null ids are ordinary; a very long text has one window a word, all of them
+judged; there is nothing to tie; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
