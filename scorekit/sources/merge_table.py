@@ -109,6 +109,9 @@ class BucketedTable:
         first = materialize(keep_first(batch, self.keys, self.order)
                             .withColumn(BUCKET, self._bucket_of(buckets)), "merge-batch")
         touched = self._ids(first)
+        if not touched:  # an empty batch; it starts no table
+            discard(first)
+            return Merged(0, 0, 0)
         if stored is None:
             self._write(first, self._place(1, buckets), buckets)
             done = Merged(first.count(), len(touched), len(touched))

@@ -111,6 +111,9 @@ def test_empty_batches_and_missing_tables(spark, table):
     with pytest.raises(ValueError):
         table.read()
     df = spark.createDataFrame(rows_of(1, range(20)), SCHEMA)
+    assert table.merge(df.limit(0)) == Merged(0, 0, 0)
+    with pytest.raises(ValueError):
+        table.read()
     table.merge(df)
     assert table.merge(df.limit(0)) == Merged(0, 0, 0)
     assert table.read().count() == 20
