@@ -5,8 +5,8 @@ group's order.  To find such rows, sorting the whole table is far too much work:
 
 1. One aggregation keeps a quantile sketch per group and order.  Its values a little
    before and after each wanted position enclose the row that is looked for.
-2. In one histogram round over all groups, orders and positions, rows outside the
-   intervals collapse to a count per gap (in each task, before they shuffle); only rows
+2. In one histogram round over all groups and positions (a scan an order), rows outside
+   the intervals collapse to a count per gap (in each task, before they shuffle); only rows
    inside, about ``2 * MARGIN`` of them a position, and ties, keep their sort keys.
 3. The histogram is numbered by :func:`group_positions` with the counts as weights, so
    every entry knows its exact position, and the wanted rows are read off.
@@ -116,23 +116,28 @@ def _histogram(df: DataFrame, group: Sequence[str], cuts: Sequence[Cuts],
     """``_cut, group, _place, _kept, keys..., _count``: entries inside the intervals with
     their keys, and one entry per gap outside.  Without ``bounds`` all entries are kept."""
     rows = df if bounds is None else _attach(df, bounds, group, "_bounds")
-    entries = []
+    parts = []
     for i, c in enumerate(cuts):
-        x = _image(df, c.order)
+        r = rows.withColumn("_x", _image(df, c.order))
         if bounds is None:
-            place, kept = F.lit(0), F.lit(True)
+            r = r.withColumns({"_place": F.lit(0), "_kept": F.lit(True)})
         else:
             ends = [F.col(f"_bounds._c{i}")[j] for j in range(2 * len(c.shares))]
-            begun = sum(((x >= e).cast("int") for e in ends[::2]), F.lit(0))
-            over = sum(((x > e).cast("int") for e in ends[1::2]), F.lit(0))
-            place, kept = begun + over, begun > over  # both follow the order
-        keys = [F.when(kept, F.col(name)).alias(f"_k{k}_{j}") if k == i
+            r = r.withColumns({
+                "_begun": sum(((F.col("_x") >= e).cast("int") for e in ends[::2]), F.lit(0)),
+                "_over": sum(((F.col("_x") > e).cast("int") for e in ends[1::2]), F.lit(0))})
+            # both follow the order
+            r = r.withColumns({"_place": F.col("_begun") + F.col("_over"),
+                               "_kept": F.col("_begun") > F.col("_over")})
+        keys = [F.when(F.col("_kept"), F.col(name)).alias(f"_k{k}_{j}") if k == i
                 else F.lit(None).cast(df.schema[name].dataType).alias(f"_k{k}_{j}")
                 for k, other in enumerate(cuts) for j, (name, _) in enumerate(other.order)]
-        entries.append(F.struct(F.lit(i).alias("_cut"), place.alias("_place"),
-                                kept.alias("_kept"), *keys))
-    flat = rows.select(*group, F.explode(F.array(*entries)).alias("_e")).select(*group, "_e.*")
-    return flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("_count"))
+        r = r.select(F.lit(i).alias("_cut"), *group, "_place", "_kept", *keys)
+        parts.append(r.groupBy(*r.columns).agg(F.count(F.lit(1)).alias("_count")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def rows_at(df: DataFrame, group: Sequence[str], cuts: Sequence[Cuts],
@@ -140,7 +145,7 @@ def rows_at(df: DataFrame, group: Sequence[str], cuts: Sequence[Cuts],
     """One row per group: ``{name}_n``, its row count, and for each position of each of
     ``cuts`` the sort key at it, a struct ``{name}_{i}`` of ``k0, k1, ...`` (written once).
 
-    ``df`` is read twice (the sketch, the histogram), so it should be cheap to read.
+    ``df`` is read once for the sketches and once an order, so it should be cheap to read.
     ``exhaustive`` skips the sketch and keeps every entry."""
     group = list(group)
     bounds = None if exhaustive else _intervals(df, group, cuts, label)
