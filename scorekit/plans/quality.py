@@ -48,7 +48,7 @@ def _any_over(limits: Mapping[str, int]) -> Column:
 
 
 #: Values that the heavy-hitter summary of a column tracks; counts are exact for columns with
-#: fewer distinct values.
+#: no more distinct values.
 TRACKED = 10_000
 
 
@@ -62,7 +62,9 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int
     column's entry in ``limits`` (NULL without one).  The distinct count comes from a
     HyperLogLog sketch of ``2^lg`` buckets, ``top_values`` (an array of value and count) from
     a summary of ``tracked`` values: every value with more than ``4 / tracked`` of the
-    rows is in it.  Each task sends one row of sketches, whatever the column holds."""
+    rows is in it.  In a column of more distinct values its counts are estimates, and it may
+    be empty (a column of keys); :func:`value_report` counts them all.  Each task sends one
+    row of sketches, whatever the column holds."""
     cols = list(columns or df.columns)
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(f"_{i}") for i, c in enumerate(cols)])
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -86,6 +88,21 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int
                         "over_limit", "distinct_estimate", "top_values"))
 
 
+def value_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per column, exact: ``column_name, distinct_count, top_count`` (rows of the most
+    frequent value, NULL without one) over the non-null values as text.
+
+    Rows are counted per column and value, in each task first, then the counts per column; no
+    task holds all values of a column.  A table without rows has no row here."""
+    cols = list(columns or df.columns)
+    text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+    counts = (text.unpivot([], [F.col(f"`{c}`") for c in cols], "column_name", "_v")
+                  .groupBy("column_name", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    return counts.groupBy("column_name").agg(
+        F.count("_v").alias("distinct_count"),
+        F.max(F.when(F.col("_v").isNotNull(), F.col("_n"))).alias("top_count"))
+
+
 def table_report(df: DataFrame, keys: Sequence[str], limits: Mapping[str, int]) -> DataFrame:
     """One row: ``row_count, column_count, duplicate_keys`` (keys that occur more than once)
     and ``over_length`` (rows with a text over its limit)."""

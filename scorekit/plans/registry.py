@@ -225,17 +225,19 @@ def _null_profile(raw):
 
 
 def _column_profile(raw):
-    """One pass over all columns; the estimates beside exact counts, as flags."""
+    """One pass over all columns; the estimates beside exact counts, as flags.  The summary's
+    top count holds while it tracks every value of a column, else the exact one."""
     cols = ["Name", "Rating", "Rating Count", "Headquarters", "Company_year", "Employees Count"]
     found = Q.column_profile(raw, cols, limits={"Name": 18, "Headquarters": 30})
-    exact = raw.agg(*[F.countDistinct(c).alias(c) for c in cols])
-    exact = exact.unpivot([], cols, "_column", "distinct_count")
-    return found.join(exact, F.col("column_name") == F.col("_column")).select(
+    exact = Q.value_report(raw, cols).withColumnRenamed("column_name", "_column")
+    distinct = F.coalesce("distinct_count", F.lit(0))
+    return found.join(exact, F.col("column_name") == F.col("_column"), "left").select(
         "column_name", "row_count", "null_count", "min_length", "max_length", "over_limit",
-        "distinct_count",
-        (F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
-         <= 0.03 * F.col("distinct_count")).alias("estimate_within_3_percent"),
-        F.col("top_values")[0]["count"].alias("top_count"))
+        distinct.alias("distinct_count"),
+        (F.abs(F.col("distinct_estimate") - distinct) <= 0.03 * distinct)
+        .alias("estimate_within_3_percent"),
+        F.when(distinct <= Q.TRACKED, F.get("top_values", F.lit(0))["count"])
+         .otherwise(F.col("top_count")).alias("top_count"))
 
 
 def _table_report(raw):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorekit.operators import sketches as S
 from scorekit.plans import quality as Q
+from scorekit.plans.registry import _column_profile
 from scorekit.session import materialize
 
 
@@ -85,6 +86,39 @@ def test_profile_of_an_empty_table(spark):
             for r in got] == [(0, 0, None, 0)] * 2
 
 
+def test_value_report(spark):
+    data = [("a", 1, None), ("a", 2, None), (None, 2, None), (None, 3, None), (None, 2, None)]
+    df = spark.createDataFrame(data, "s string, `no.ne` int, z string")
+    got = {r["column_name"]: tuple(r)[1:] for r in Q.value_report(df).collect()}
+    assert got == {"s": (1, 2), "no.ne": (3, 3), "z": (0, None)}
+    assert [tuple(r) for r in Q.value_report(df, ["s"]).collect()] == [("s", 1, 2)]
+
+
+def test_column_profile_query_of_keys_and_nulls(spark):
+    """More distinct names than the summary tracks, none frequent enough to stay in it."""
+    i = F.col("id")
+    raw = spark.range(3 * Q.TRACKED).select(
+        F.concat(F.lit("n"), F.when(i < 9, 0).otherwise(i)).alias("Name"),
+        F.when(i % 4 > 0, (i % 4).cast("string")).alias("Rating"),
+        (i * 7).cast("string").alias("Rating Count"), F.lit("x" * 31).alias("Headquarters"),
+        F.lit(None).cast("string").alias("Company_year"),
+        (i % Q.TRACKED).cast("string").alias("Employees Count"))
+    columns = ("row_count", "null_count", "max_length", "over_limit", "distinct_count",
+               "estimate_within_3_percent", "top_count")
+    got = {r["column_name"]: tuple(r[c] for c in columns) for r in _column_profile(raw).collect()}
+    n = 3 * Q.TRACKED
+    assert got == {
+        "Name": (n, 0, 6, 0, n - 8, True, 9),
+        "Rating": (n, n // 4, 1, None, 3, True, n // 4),
+        "Rating Count": (n, 0, 6, None, n, True, 1),
+        "Headquarters": (n, 0, 31, n, 1, True, n),
+        "Company_year": (n, n, None, None, 0, True, None),
+        "Employees Count": (n, 0, 4, None, Q.TRACKED, True, 3)}
+    assert [tuple(r[c] for c in columns) for r in _column_profile(raw.limit(0)).select(*columns)
+            .distinct().orderBy("over_limit").collect()] == [(0, 0, None, None, 0, True, None),
+                                                  (0, 0, None, 0, 0, True, None)]
+
+
 def test_table_report(spark):
     df = spark.createDataFrame([(1, "abc"), (1, "x"), (2, None), (None, "abcd"), (None, "y")],
                                "k int, s string")
